@@ -4,5 +4,6 @@ from __future__ import annotations
 
 from testbed.entry import Entry
 from testbed.results_energy import ENERGY, FOOD
+from testbed.results_other import OTHER
 
-ENTRIES: dict[str, Entry] = {**ENERGY, **FOOD}
+ENTRIES: dict[str, Entry] = {**ENERGY, **FOOD, **OTHER}
