@@ -44,6 +44,7 @@ def chart_table(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame
     return df
 
 
-def map_table(df: DataFrame, **columns: str) -> DataFrame:
-    """Renames to what a map reads: `subRegion`, `value` and facet columns."""
-    return df.withColumnsRenamed({old: new for new, old in columns.items()})
+def map_table(df: DataFrame, region: str, value: str, **facets: str) -> DataFrame:
+    """Renames to what a map reads: `subRegion`, `value` and facets such as `row`, `col`, `class`."""
+    names = {region: "subRegion", value: "value", **{column: facet for facet, column in facets.items()}}
+    return df.withColumnsRenamed(names)

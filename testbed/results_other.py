@@ -404,15 +404,15 @@ def melted(sheet):
         FROM {sheet} UNPIVOT INCLUDE NULLS (v FOR y IN ("2020", "2025", "2030", "2035", "2040", "2045", "2050"))"""
 
 
-def compliance(body, mid="WHEN contains(scenario, 'MinHist') THEN 'MinHist'", **ctes):
+def compliance(body, book="sheet", mid="WHEN contains(scenario, 'MinHist') THEN 'MinHist'", **ctes):
     label = f"""CASE WHEN contains(scenario, 'Gini25') THEN 'Gini25' WHEN contains(scenario, 'Gini50') THEN 'Gini50' {mid}
         WHEN contains(scenario, 'RegGHGPol') THEN 'Baseline' ELSE scenario END"""
     cell = lambda s: f"max(value) FILTER (WHERE scenario = '{s}')"
     return side(
-        SHEETS, body, **GWPCTE,
-        gas=f"""{melted('sheet_non_co2')} UNION ALL
-            SELECT scenario, region, 'CO2LUC', year, {strict('value')} FROM ({melted('sheet_luc')}) AS a GROUP BY scenario, region, year
-            UNION ALL SELECT scenario, region, 'CO2', year, {strict('value')} FROM ({melted('sheet_co2')}) AS b
+        [f"{book}_co2", f"{book}_luc", f"{book}_non_co2", "sheet_target"], body, **GWPCTE,
+        gas=f"""{melted(book + '_non_co2')} UNION ALL
+            SELECT scenario, region, 'CO2LUC', year, {strict('value')} FROM ({melted(book + '_luc')}) AS a GROUP BY scenario, region, year
+            UNION ALL SELECT scenario, region, 'CO2', year, {strict('value')} FROM ({melted(book + '_co2')}) AS b
             GROUP BY scenario, region, year""",
         tot=f"""SELECT {label} AS scenario, region, year, coalesce(sum(value * gwp), 0) AS value FROM gas LEFT JOIN gw USING (ghg)
             GROUP BY scenario, region, year""",
@@ -429,10 +429,7 @@ def sheets(t):
 
 def chart_sheets(t):
     """The chart's workbook has no lowest-history run."""
-    def plain(name):
-        df = t.side(name)
-        return df.where(~F.col("scenario").contains("MinHist"))
-    return CO.Sheets(plain("sheet_co2"), plain("sheet_luc"), plain("sheet_non_co2"), t.side("sheet_target"))
+    return CO.Sheets(*[t.side(n) for n in ("chart_co2", "chart_luc", "chart_non_co2", "sheet_target")])
 
 
 GAPS = " UNION ALL ".join(
@@ -454,7 +451,7 @@ OTHER |= {
         compliance("""SELECT replace(region, '_', ' ') AS region, year, 'GtCO2e' AS Units, scenario, v / 1000 AS "GHG" FROM (
             SELECT region, year, 'Gini25' AS scenario, "Gini25" AS v FROM cw UNION ALL
             SELECT region, year, 'Gini50', "Gini50" FROM cw UNION ALL SELECT region, year, 'Target', ghg_target FROM cw) AS x
-            WHERE year = 2050 AND region <> 'European Free Trade Association'"""), {"GHG": 6}),
+            WHERE year = 2050 AND region <> 'European Free Trade Association'""", "chart"), {"GHG": 6}),
 }
 
 # ---- income distribution ---------------------------------------------------------------

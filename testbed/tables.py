@@ -191,12 +191,14 @@ SEGMENTS = {
 MODEL_YEARS = tuple(range(2015, 2051, 5))
 
 
-def _wide_sheet(d: Dialect, gas: str, value: str) -> str:
+def _wide_sheet(d: Dialect, gas: str, value: str, with_history: bool) -> str:
     f = facts(d, "policy")
     years = ", ".join(
         f"sum(CASE WHEN year = {y} THEN {value} END) AS {d.name(str(y))}" for y in MODEL_YEARS
     )
-    label = f"CASE WHEN scenario = '{LABELS['policy'][1]}' AND ln = 7 THEN 'RegGHGPol_MinHist_Ineq' ELSE scenario END"
+    label = "scenario"
+    if with_history:
+        label = f"CASE WHEN scenario = '{LABELS['policy'][1]}' AND ln = 7 THEN 'RegGHGPol_MinHist_Ineq' ELSE scenario END"
     return f"""SELECT {label} AS scenario, region, {gas} AS ghg, 'MT' AS unit, {years}
         FROM {f} GROUP BY {label}, region, {gas}"""
 
@@ -252,12 +254,12 @@ def side_sql(name: str, d: Dialect) -> str:
         years = ", ".join(f"sum(CASE WHEN year = {y} THEN q END) AS X{y}" for y in MODEL_YEARS)
         return f"""SELECT {label} AS sce, region, 'resid_' || decile AS decile, {years} FROM {f}
             GROUP BY {label}, region, decile"""
-    if name == "sheet_co2":
-        return _wide_sheet(d, "'CO2'", "q")
-    if name == "sheet_luc":
-        return _wide_sheet(d, "'CO2'", "q - 20")
-    if name == "sheet_non_co2":
-        return _wide_sheet(d, d.pick(GASES, "sk % 13"), "pk % 30 * 1e0")
+    if name.endswith(("_co2", "_luc", "_non_co2")):
+        gas, value = {
+            "co2": ("'CO2'", "q"), "luc": ("'CO2'", "q - 20"),
+            "non_co2": (d.pick(GASES, "sk % 13"), "pk % 30 * 1e0"),
+        }[name.split("_", 1)[1]]
+        return _wide_sheet(d, gas, value, with_history=name.startswith("sheet"))
     if name == "sheet_target":
         f = facts(d, "policy")
         return f"""SELECT region, year, CAST(sum(q) * 2 - 500 AS VARCHAR(30)) AS value FROM {f} GROUP BY region, year"""
