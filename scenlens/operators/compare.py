@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenlens.constants import PERCENT
-from scenlens.functions import safe_div
-from scenlens.operators.reshape import pivot_cells, pivot_sums, to_long
+from scenlens.functions import safe_div, strict_sum, strict_sum_where
+from scenlens.operators.reshape import pivot_cells, pivot_sums, sum_by, to_long
 from scenlens.scenarios import ScenarioFamily
 
 
@@ -32,21 +32,21 @@ def spread(
 ) -> DataFrame:
     """One column per canonical scenario.
 
-    `cells="sum"` adds up all rows of a cell; `cells="single"` expects exactly
-    one and fails otherwise.
+    `cells="sum"` adds up all rows of a cell: first by the raw label as it
+    stands, so that labels are read once per cell and not once per row, then by
+    scenario.  `cells="single"` expects exactly one row and fails otherwise.
     """
-    pivot = {"sum": pivot_sums, "single": pivot_cells}[cells]
-    return pivot(df, ids, family.canonical(raw), family.names, value)
+    if cells == "single":
+        return pivot_cells(df, ids, family.canonical(raw), family.names, value)
+    summed = sum_by(df, [raw, *ids], value)
+    return pivot_sums(summed, ids, family.canonical(raw), family.names, value)
 
 
 def compare(
     df: DataFrame, ids: Sequence[str], family: ScenarioFamily, kind: str = "abs",
     value: str = "value", out: str = "value", raw: str = "scenario", cells: str = "sum",
 ) -> DataFrame:
-    """Long table of every variant measured against the baseline.
-
-    The whole comparison needs one shuffle, on `ids`.
-    """
+    """Long table of every variant measured against the baseline."""
     wide = spread(df, ids, family, value, raw, cells)
     base = F.col(family.baseline)
     measured = wide.select(
@@ -55,6 +55,44 @@ def compare(
     return to_long(measured, ids, [family.reported(v) for v in family.variants], "scenario", out)
 
 
+def net_and_relative(
+    df: DataFrame, group: Sequence[str], detail: Sequence[str], family: ScenarioFamily,
+    value: str = "value", raw: str = "scenario",
+) -> DataFrame:
+    """Net change and relative change of the total, side by side.
+
+    The net change adds up the differences of the `detail` cells, so it is NULL
+    when a scenario lacks a cell.  The relative change compares the totals of
+    the cells each scenario has.  Both come from one pass over the cells.
+    """
+    summed = sum_by(df, [raw, *group, *detail], value)
+    name = family.canonical(raw)
+    cells = summed.groupBy(*group, *detail).agg(*[
+        column
+        for n in family.names
+        for column in (
+            strict_sum_where(name == n, value).alias(n),
+            (F.count_if(name == n) > 0).alias(f"__has_{n}"),
+        )
+    ])
+    totals = cells.groupBy(*group).agg(
+        *[strict_sum_where(F.col(f"__has_{n}"), n).alias(n) for n in family.names],
+        *[
+            strict_sum(change("abs", F.col(v), F.col(family.baseline))).alias(f"__net_{v}")
+            for v in family.variants
+        ],
+    )
+    rows = F.array(*[
+        F.struct(
+            F.lit(family.reported(v)).alias("scenario"),
+            F.col(f"__net_{v}").alias("total_value"),
+            change("percent", F.col(v), F.col(family.baseline)).alias("annual_change"),
+        )
+        for v in family.variants
+    ])
+    return totals.select(*group, F.inline(rows))
+
+
 def gap_to_target(df: DataFrame, target: str, scenarios, ids: Sequence[str], out: str) -> DataFrame:
     """Long table of `target - scenario`; negative means the target is missed.
 

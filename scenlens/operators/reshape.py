@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenlens.constants import FIRST_YEAR, LAST_YEAR
-from scenlens.functions import strict_sum_where
+from scenlens.functions import strict_sum, strict_sum_where
 
 
 class DuplicateCell(ValueError):
@@ -20,6 +20,11 @@ def _named(names) -> dict:
     return names if isinstance(names, dict) else {str(n): n for n in names}
 
 
+def sum_by(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Strict sum per key, under the name of the summed column."""
+    return df.groupBy(*keys).agg(strict_sum(value).alias(value))
+
+
 def pivot_sums(
     df: DataFrame, ids: Sequence[str], names_from: str | Column, names, value: str = "value"
 ) -> DataFrame:

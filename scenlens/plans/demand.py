@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenlens import constants as C
@@ -10,16 +10,16 @@ from scenlens.functions import (
     contains,
     ordinal,
     recode_first,
-    separator_piece,
     safe_div,
+    separator_piece,
     split_decile,
-    strict_sum,
 )
 from scenlens.operators import (
     decile_gini,
     decile_shares,
     palma,
     pivot_cells,
+    sum_by,
     union_all,
 )
 from scenlens.plans.energy import BUILDINGS
@@ -31,13 +31,16 @@ SERVICE = "transport service output by tech"
 GROUP = ["scenario", "region", "sector", "year"]
 
 
-def _runs(df: DataFrame, family: ScenarioFamily) -> DataFrame:
-    return df.where(F.col("scenario").isin(*POLICY_RUNS)).withColumn("scenario", family.canonical())
+def _runs(df: DataFrame, wanted: Column, labels, family: ScenarioFamily) -> DataFrame:
+    """Rows of the policy runs summed by region, year and raw labels."""
+    kept = df.where(F.col("scenario").isin(*POLICY_RUNS) & wanted)
+    summed = sum_by(kept, ["scenario", "region", "year", *labels])
+    return summed.withColumn("scenario", family.canonical())
 
 
 def household_rows(prj: Project, family: ScenarioFamily = POLICY_EXACT) -> DataFrame:
     """Modern residential energy by decile."""
-    rows = _runs(prj.query(BUILDINGS, "sector", "region"), family).where(contains("sector", "modern"))
+    rows = _runs(prj.query(BUILDINGS, "sector", "region"), contains("sector", "modern"), ["sector"], family)
     return rows.select(
         "scenario", "region", "year", "value",
         separator_piece("sector", "_", 2).alias("decile"),
@@ -47,7 +50,7 @@ def household_rows(prj: Project, family: ScenarioFamily = POLICY_EXACT) -> DataF
 
 def transport_rows(prj: Project, family: ScenarioFamily = POLICY_EXACT) -> DataFrame:
     """Passenger transport service by decile."""
-    rows = _runs(prj.query(SERVICE, "sector", "region"), family).where(contains("sector", "trn_pass_d|aviat"))
+    rows = _runs(prj.query(SERVICE, "sector", "region"), contains("sector", "trn_pass_d|aviat"), ["sector"], family)
     label, decile = split_decile("sector")
     return rows.select(
         "scenario", "region", "year", "value", decile.alias("decile"),
@@ -58,8 +61,9 @@ def transport_rows(prj: Project, family: ScenarioFamily = POLICY_EXACT) -> DataF
 
 def food_rows(prj: Project, family: ScenarioFamily = POLICY_EXACT) -> DataFrame:
     """Non-staple food by decile."""
-    rows = _runs(prj.query(FOOD_DEMAND, "gcam-consumer", "input", "region"), family)
-    return rows.where(contains("input", "NonStaples")).select(
+    table = prj.query(FOOD_DEMAND, "gcam-consumer", "input", "region")
+    rows = _runs(table, contains("input", "NonStaples"), ["gcam-consumer"], family)
+    return rows.select(
         "scenario", "region", "year", "value",
         F.regexp_replace(separator_piece("gcam-consumer", "_", 2), "Group", "d").alias("decile"),
         F.lit("Non-staple food").alias("sector"),
@@ -95,10 +99,7 @@ def _map_form(df: DataFrame, value: str) -> DataFrame:
 
 
 def demand_inequality(prj: Project) -> DataFrame:
-    """Palma-type ratios of all demands in the map years.  N58
-
-    The three demands are stacked before the group-by, so they share a shuffle.
-    """
+    """Palma-type ratios of all demands in the map years.  N58"""
     return _map_form(palma(all_rows(prj), GROUP), "palma")
 
 
@@ -114,7 +115,7 @@ def demand_inequality_ratio(prj: Project, family: ScenarioFamily = POLICY_EXACT)
 
 def demand_by_decile(prj: Project) -> DataFrame:
     """Demand per decile of all three kinds.  N60"""
-    return all_rows(prj).groupBy(*GROUP, "decile").agg(strict_sum("value").alias("value"))
+    return sum_by(all_rows(prj), [*GROUP, "decile"])
 
 
 def demand_shares(prj: Project) -> DataFrame:

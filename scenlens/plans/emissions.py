@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenlens import constants as C
-from scenlens.functions import contains, recode_first, separator_piece, strict_sum, sum0
-from scenlens.operators import change, compare, spread, union_all, year_window
+from scenlens.functions import contains, recode_first, separator_piece, sum0
+from scenlens.operators import change, compare, spread, sum_by, union_all, year_window
 from scenlens.scenarios import (
     ANY_POLICY,
     NO_POLICY,
@@ -25,14 +25,22 @@ NON_CO2 = "nonCO2 emissions by region"
 GAS_COLUMNS = ["scenario", "region", "year", "ghg", "value"]
 
 
-def co2_equivalent(gases: DataFrame, gwp: DataFrame, keys) -> DataFrame:
+def co2_equivalent(gases: DataFrame, gwp: DataFrame, keys, group: Column | None = None) -> DataFrame:
     """Emissions weighted by warming potential and added up.
 
     A gas without a potential adds nothing; its group stays in the result.
+    Each gas is summed before it is weighted, so the lookup and the optional
+    `group` label see one row per gas and key.  Missing values add nothing at
+    either step.
     """
+    summed = gases.groupBy(*keys, "ghg").agg(F.sum("value").alias("value"))
+    by = list(keys)
+    if group is not None:
+        summed = summed.withColumn("group", group)
+        by.append("group")
     return (
-        gases.join(gwp, "ghg", "left")
-        .groupBy(*keys, F.lit("MtCO2e").alias("Units"))
+        summed.join(gwp, "ghg", "left")
+        .groupBy(*by, F.lit("MtCO2e").alias("Units"))
         .agg(sum0(F.col("value") * F.col("gwp")).alias("value"))
     )
 
@@ -42,7 +50,7 @@ def _as_gas(df: DataFrame, gas: str) -> DataFrame:
 
 
 def _regional_sum(df: DataFrame) -> DataFrame:
-    return df.groupBy("scenario", "region", "year").agg(strict_sum("value").alias("value"))
+    return sum_by(df, ["scenario", "region", "year"])
 
 
 def world_ghg(prj: Project, gwp: DataFrame, family: ScenarioFamily = ANY_POLICY) -> DataFrame:
@@ -69,13 +77,14 @@ def world_ghg(prj: Project, gwp: DataFrame, family: ScenarioFamily = ANY_POLICY)
 def pollutants(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """World emissions of nine pollutants, agricultural parts included.  N72"""
     gas = separator_piece("ghg", "_", 1)
+    raw = prj.query(NON_CO2, "ghg").where(F.col("year").between(C.FIRST_YEAR, C.LAST_YEAR))
     rows = (
-        prj.query(NON_CO2, "ghg").where(F.col("year").between(C.FIRST_YEAR, C.LAST_YEAR))
+        sum_by(raw, ["scenario", "ghg", "year", "Units"])
         .withColumn("scenario", family.canonical())
         .withColumn("ghg", F.when(contains(gas, "HFC"), "HFC").otherwise(gas))
         .where(F.col("ghg").isin(*C.POLLUTANTS))
     )
-    return rows.groupBy("scenario", "ghg", "year", "Units").agg(strict_sum("value").alias("value"))
+    return sum_by(rows, ["scenario", "ghg", "year", "Units"])
 
 
 def _regional_gases(prj: Project) -> DataFrame:
@@ -115,16 +124,15 @@ def gas_group(gas: Column | str = "ghg", n2o_apart: bool = False) -> Column:
 
 def regional_ghg_by_group(prj: Project, gwp: DataFrame, family: ScenarioFamily = REGIONAL_GHG) -> DataFrame:
     """Regional totals by group of gases.  N75"""
-    rows = _regional_gases(prj).withColumn("group", gas_group())
-    return co2_equivalent(rows, gwp, ["scenario", "region", "group", "year"]).withColumn(
-        "scenario", family.canonical()
-    )
+    total = co2_equivalent(_regional_gases(prj), gwp, ["scenario", "region", "year"], gas_group())
+    return total.withColumn("scenario", family.canonical())
 
 
 def world_co2(prj: Project, family: ScenarioFamily = NO_POLICY) -> DataFrame:
     """World CO2 of the runs without policy.  N81"""
-    rows = year_window(prj.query(CO2_REGION)).withColumn("scenario", family.levels(family.canonical()))
-    return rows.groupBy("scenario", "year", "Units").agg(strict_sum("value").alias("value"))
+    keys = ["scenario", "year", "Units"]
+    raw = sum_by(year_window(prj.query(CO2_REGION)), keys)
+    return sum_by(raw.withColumn("scenario", family.levels(family.canonical())), keys)
 
 
 def value_span(df: DataFrame, value: str = "value") -> DataFrame:

@@ -13,16 +13,17 @@ from scenlens.functions import (
     recode_first,
     safe_div,
     split_decile,
-    strict_sum,
 )
 from scenlens.operators import (
     change,
     compare,
+    net_and_relative,
     pivot_cells,
     pivot_sums,
     split_equally,
     spread,
     strict_lookup,
+    sum_by,
     to_aggregate_region,
     union_all,
     year_window,
@@ -59,44 +60,50 @@ def income_deciles(prj: Project) -> DataFrame:
     )
 
 
+def _world(prj: Project, query: str, rules) -> DataFrame:
+    """World sums by raw sector label, then the label rewritten."""
+    return sum_by(prj.query(query, "sector"), SECTOR_KEYS).withColumn("sector", recode_first("sector", rules))
+
+
+def _world_as(prj: Project, query: str, sector: str) -> DataFrame:
+    """World sums of a table without sectors, under one sector name."""
+    return sum_by(prj.query(query), ["scenario", "year", "Units"]).withColumn("sector", F.lit(sector))
+
+
 def _buildings(prj: Project) -> DataFrame:
-    return prj.query(BUILDINGS, "sector").withColumn("sector", recode_first("sector", C.BUILDING_SECTORS))
+    return _world(prj, BUILDINGS, C.BUILDING_SECTORS)
 
 
 def _industry(prj: Project) -> DataFrame:
-    return prj.query(INDUSTRY).withColumn("sector", F.lit("Industry"))
+    return _world_as(prj, INDUSTRY, "Industry")
 
 
 def _transport(prj: Project) -> DataFrame:
-    return prj.query(TRANSPORT, "sector").withColumn("sector", recode_first("sector", C.TRANSPORT_SECTORS))
+    return _world(prj, TRANSPORT, C.TRANSPORT_SECTORS)
 
 
 def _transport_total(prj: Project) -> DataFrame:
-    return prj.query(TRANSPORT_TOTAL).withColumn("sector", F.lit("Transport"))
-
-
-def _sum(df: DataFrame, keys) -> DataFrame:
-    return df.groupBy(*keys).agg(strict_sum("value").alias("value"))
+    return _world_as(prj, TRANSPORT_TOTAL, "Transport")
 
 
 def buildings_energy(prj: Project) -> DataFrame:
     """World energy of buildings by service.  N13, N76"""
-    return _sum(_buildings(prj), SECTOR_KEYS)
+    return sum_by(_buildings(prj), SECTOR_KEYS)
 
 
 def industry_energy(prj: Project) -> DataFrame:
     """World energy of industry.  N14, N76"""
-    return _sum(_industry(prj), SECTOR_KEYS)
+    return _industry(prj)
 
 
 def transport_energy(prj: Project) -> DataFrame:
     """World energy of transport by mode.  N15"""
-    return _sum(_transport(prj), SECTOR_KEYS)
+    return sum_by(_transport(prj), SECTOR_KEYS)
 
 
 def transport_total_energy(prj: Project) -> DataFrame:
     """World energy of transport as one sector.  N76"""
-    return _sum(_transport_total(prj), SECTOR_KEYS)
+    return _transport_total(prj)
 
 
 def _all_sectors(prj: Project, by_mode: bool) -> DataFrame:
@@ -106,17 +113,14 @@ def _all_sectors(prj: Project, by_mode: bool) -> DataFrame:
 
 
 def final_energy_change(prj: Project, family: ScenarioFamily = POLICY, by_mode: bool = True) -> DataFrame:
-    """Change of energy by sector and year.  N16, N76 (`by_mode=False`)
-
-    Sums, pivot and difference share one shuffle of the three stacked scans.
-    """
+    """Change of energy by sector and year.  N16, N76 (`by_mode=False`)"""
     return compare(year_window(_all_sectors(prj, by_mode)), ["year", "sector", "Units"], family)
 
 
 def final_energy_levels(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Energy by sector in the level years.  N17"""
     rows = _all_sectors(prj, True).where(F.col("year").isin(*C.LEVEL_YEARS))
-    return _sum(rows.withColumn("scenario", family.canonical()), SECTOR_KEYS)
+    return sum_by(rows.withColumn("scenario", family.canonical()), SECTOR_KEYS)
 
 
 def final_energy_totals(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
@@ -145,23 +149,11 @@ def final_energy_relative(prj: Project, family: ScenarioFamily = POLICY, by_mode
 
 
 def final_energy_labelled(prj: Project, family: ScenarioFamily = POLICY, by_mode: bool = True) -> DataFrame:
-    """Net change of the total per year joined with its label.  N20, N77
-
-    Both sides start from the same sums by sector, so the scan and its shuffle
-    run once and are reused.
-    """
-    by_sector = _sum(
-        year_window(_all_sectors(prj, by_mode)).withColumn("scenario", family.canonical()),
-        SECTOR_KEYS,
-    )
-    totals = (
-        compare(by_sector, ["year", "sector", "Units"], family)
-        .groupBy("year", "scenario").agg(strict_sum("value").alias("total_value"))
-    )
-    labels = compare(by_sector, ["year"], family, "percent", out="annual_change").withColumn(
+    """Net change of the total per year with the label of the relative change.  N20, N77"""
+    rows = year_window(_all_sectors(prj, by_mode))
+    return net_and_relative(rows, ["year"], ["sector", "Units"], family).withColumn(
         "label", percent_label("annual_change")
     )
-    return totals.join(labels, ["year", "scenario"], "left")
 
 
 def _with_decile(df: DataFrame) -> DataFrame:
@@ -172,14 +164,19 @@ def _with_decile(df: DataFrame) -> DataFrame:
 DECILE_KEYS = ["scenario", "region", "sector", "decile", "year", "Units"]
 
 
+REGION_KEYS = ["scenario", "region", "sector", "year", "Units"]
+
+
 def _buildings_decile(prj: Project) -> DataFrame:
     rows = prj.query(BUILDINGS, "sector", "region").where(contains("sector", "resid"))
-    return _with_decile(rows).withColumn("sector", recode_first("sector", C.BUILDING_SECTORS[1:]))
+    labelled = _with_decile(sum_by(rows, REGION_KEYS))
+    return labelled.withColumn("sector", recode_first("sector", C.BUILDING_SECTORS[1:]))
 
 
 def _transport_decile(prj: Project) -> DataFrame:
     rows = prj.query(TRANSPORT, "sector", "region").where(contains("sector", "trn_pass|trn_aviation"))
-    return _with_decile(rows).withColumn("sector", recode_first("sector", C.PASSENGER_SECTORS))
+    labelled = _with_decile(sum_by(rows, REGION_KEYS))
+    return labelled.withColumn("sector", recode_first("sector", C.PASSENGER_SECTORS))
 
 
 def _decile_rows(prj: Project) -> DataFrame:
@@ -189,12 +186,12 @@ def _decile_rows(prj: Project) -> DataFrame:
 
 def buildings_by_decile(prj: Project) -> DataFrame:
     """Residential energy by region and decile.  N21"""
-    return _sum(_buildings_decile(prj), DECILE_KEYS)
+    return sum_by(_buildings_decile(prj), DECILE_KEYS)
 
 
 def transport_by_decile(prj: Project) -> DataFrame:
     """Passenger energy by region and decile.  N22"""
-    return _sum(_transport_decile(prj), DECILE_KEYS)
+    return sum_by(_transport_decile(prj), DECILE_KEYS)
 
 
 def population_aggregate(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
@@ -267,7 +264,7 @@ def income_growth_poorest(prj: Project, family: ScenarioFamily = POLICY) -> Data
 
 def poorest_energy_growth(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Energy per person of the lowest decile, 2050 over 2020, beside income growth.  N27"""
-    rows = _sum(
+    rows = sum_by(
         _decile_rows(prj).where((F.col("decile") == "d1") & F.col("year").isin(2020, 2050))
         .withColumn("scenario", family.canonical()),
         DECILE_KEYS,

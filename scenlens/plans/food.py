@@ -16,7 +16,9 @@ from scenlens.functions import (
 )
 from scenlens.operators import (
     compare,
+    net_and_relative,
     strict_lookup,
+    sum_by,
     to_aggregate_region,
     year_window,
 )
@@ -35,7 +37,9 @@ def staple_flag(commodity: Column | str) -> Column:
 
 
 def _commodities(prj: Project) -> DataFrame:
-    return prj.query(FOOD_TYPES, "technology").withColumnRenamed("technology", "subsector")
+    """World sums by commodity."""
+    rows = prj.query(FOOD_TYPES, "technology").withColumnRenamed("technology", "subsector")
+    return sum_by(rows, ["scenario", "subsector", "year", "Units"])
 
 
 def commodity_change(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
@@ -61,20 +65,31 @@ def commodity_levels(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame
     )
 
 
-def food_rows(prj: Project) -> DataFrame:
-    """Food demand with decile and demand class read from the labels."""
+def _read_labels(df: DataFrame) -> DataFrame:
+    """Decile and demand class out of the consumer and input labels."""
     return (
-        prj.query(FOOD_DEMAND, "gcam-consumer", "input", "region")
-        .withColumn("decile", F.regexp_replace(alnum_piece("gcam-consumer", 2), "Group", "d"))
+        df.withColumn("decile", F.regexp_replace(alnum_piece("gcam-consumer", 2), "Group", "d"))
         .withColumn("demand", alnum_piece("input", 2))
-        .select("scenario", "region", "year", "decile", "demand", "value", "Units")
+        .drop("gcam-consumer", "input")
     )
 
 
+def food_rows(prj: Project) -> DataFrame:
+    """Food demand, one row per cell of the table, with its labels read."""
+    rows = prj.query(FOOD_DEMAND, "gcam-consumer", "input", "region")
+    return _read_labels(rows).select("scenario", "region", "year", "decile", "demand", "value", "Units")
+
+
+def food_sums(prj: Project, *keys: str) -> DataFrame:
+    """Food demand summed by `keys` and the raw labels, which are read after that."""
+    rows = prj.query(FOOD_DEMAND, "gcam-consumer", "input", "region")
+    return _read_labels(sum_by(rows, ["scenario", "year", "gcam-consumer", "input", *keys]))
+
+
 def food_relative(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Relative change of world demand by class, with its label.  N37"""
     return (
-        compare(year_window(food_rows(prj)), ["year", "demand"], family, "percent", out="annual_change")
+        compare(year_window(food_sums(prj)), ["year", "demand"], family, "percent", out="annual_change")
         .withColumn("label", percent_label("annual_change"))
         .withColumn("demand", F.regexp_replace("demand", "NonStaples", "Non-staples"))
     )
@@ -87,18 +102,14 @@ def _totals(prj: Project, family: ScenarioFamily) -> DataFrame:
     )
 
 
-def _labelled(totals: DataFrame, labels: DataFrame) -> DataFrame:
-    return (
-        totals.join(labels, ["year", "scenario", "sector"], "left")
-        .na.drop("any")
-        .withColumn("sector_level", ordinal("sector", C.STAPLE_LEVELS))
-    )
+def _labelled(totals: DataFrame) -> DataFrame:
+    return totals.na.drop("any").withColumn("sector_level", ordinal("sector", C.STAPLE_LEVELS))
 
 
 def food_labelled(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Total change by staple flag joined with its label, complete rows only.  N38"""
     labels = food_relative(prj, family).withColumnRenamed("demand", "sector")
-    return _labelled(_totals(prj, family), labels)
+    return _labelled(_totals(prj, family).join(labels, ["year", "scenario", "sector"], "left"))
 
 
 def food_group_change(prj: Project, groups: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
@@ -129,7 +140,7 @@ def food_map(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
 def food_percent(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Regional relative change of demand, artefacts overwritten.  N42"""
     return (
-        compare(year_window(food_rows(prj)), ["year", "region", "demand", "Units"], family, "percent")
+        compare(year_window(food_sums(prj, "region", "Units")), ["year", "region", "demand", "Units"], family, "percent")
         .select(
             F.col("scenario").alias("sce"), F.col("region").alias("subRegion"),
             "year", "demand", "value", F.lit("%").alias("Units"),
@@ -144,9 +155,11 @@ def food_subsector_change(prj: Project, family: ScenarioFamily = POLICY) -> Data
     The table names its subsector twice: `subsector_3` is the fine name,
     `subsector_4` the text the group rules look at.
     """
-    rows = year_window(prj.query(FOOD_TYPES, "subsector_3", "subsector_4", "region")).withColumn(
-        "subsector", recode_last("subsector_4", C.SUBSECTOR_GROUPS, F.col("subsector_3"))
+    raw = sum_by(
+        year_window(prj.query(FOOD_TYPES, "subsector_3", "subsector_4", "region")),
+        ["scenario", "region", "year", "Units", "subsector_3", "subsector_4"],
     )
+    rows = raw.withColumn("subsector", recode_last("subsector_4", C.SUBSECTOR_GROUPS, F.col("subsector_3")))
     return compare(rows, ["year", "region", "subsector", "Units"], family)
 
 
@@ -175,7 +188,7 @@ def _kcal_per_day(rows: DataFrame, people: DataFrame) -> DataFrame:
 
 def intake_change(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
     """Change of daily calories per person by decile and class.  N45"""
-    rows = year_window(food_rows(prj)).withColumn("scenario", family.canonical())
+    rows = year_window(food_sums(prj, "region", "Units")).withColumn("scenario", family.canonical())
     rolled = to_aggregate_region(rows, regions, ["scenario", "region", "decile", "demand", "year", "Units"])
     eaten = _kcal_per_day(rolled, population_decile_aggregate(prj, regions, family))
     return compare(
@@ -185,7 +198,7 @@ def intake_change(prj: Project, regions: DataFrame, family: ScenarioFamily = POL
 
 def intake_level(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
     """Daily calories per person by decile, with the population.  N53"""
-    rows = year_window(food_rows(prj)).withColumn("scenario", family.canonical())
+    rows = year_window(food_sums(prj, "region", "Units")).withColumn("scenario", family.canonical())
     rolled = to_aggregate_region(rows, regions, ["scenario", "region", "decile", "year", "Units"])
     eaten = _kcal_per_day(rolled, population_decile_aggregate(prj, regions, family))
     return eaten.withColumn("region", display_region())
@@ -201,4 +214,6 @@ def staple_relative(prj: Project, family: ScenarioFamily) -> DataFrame:
 
 def staple_labelled(prj: Project, family: ScenarioFamily) -> DataFrame:
     """Total change by staple flag joined with its label, complete rows only.  N80"""
-    return _labelled(_totals(prj, family), staple_relative(prj, family))
+    rows = year_window(_commodities(prj)).withColumn("sector", staple_flag("subsector"))
+    totals = net_and_relative(rows, ["year", "sector"], ["subsector", "Units"], family)
+    return _labelled(totals.withColumn("label", percent_label("annual_change")))

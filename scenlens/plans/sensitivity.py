@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenlens import constants as C
-from scenlens.functions import recode_first, strict_avg, strict_sum
-from scenlens.operators import fit_line, strict_lookup, union_all, year_window
+from scenlens.functions import recode_first, strict_avg
+from scenlens.operators import fit_line, strict_lookup, sum_by, union_all, year_window
 from scenlens.plans.energy import BUILDINGS, INDUSTRY, TRANSPORT_TOTAL
 from scenlens.plans.prices import PRICES
 from scenlens.sources import Project
@@ -34,7 +34,7 @@ def regional_energy(prj: Project) -> DataFrame:
     """Total final energy per region: three tables stacked, one group-by.  N84"""
     keep = ["scenario", "region", "year", "Units", "value"]
     rows = union_all(*[prj.query(q, "region").select(*keep) for q in (BUILDINGS, INDUSTRY, TRANSPORT_TOTAL)])
-    return year_window(rows).groupBy(*keep[:-1]).agg(strict_sum("value").alias("value"))
+    return sum_by(year_window(rows), keep[:-1])
 
 
 def world_price(prj: Project) -> DataFrame:

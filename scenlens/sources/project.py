@@ -47,11 +47,11 @@ class Project:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> Project:
-        """Tables written by `save`."""
-        index = spark.read.schema("query string, folder string").json(f"{root}/{_INDEX}")
+        """Tables written by `save`; of several under one name, the latest."""
+        index = spark.read.schema("query string, folder string, saved timestamp").json(f"{root}/{_INDEX}")
+        latest = index.groupBy("query").agg(F.max_by("folder", "saved").alias("folder"))
         return cls({
-            r.query: (lambda f=r.folder: spark.read.parquet(f"{root}/{f}"))
-            for r in index.distinct().collect()
+            r.query: (lambda f=r.folder: spark.read.parquet(f"{root}/{f}")) for r in latest.collect()
         })
 
     @staticmethod
@@ -59,7 +59,9 @@ class Project:
         """Write one named table, partitioned so that scenario filters prune files."""
         folder = f"{_slug(name)}_{uuid.uuid4().hex[:8]}"
         df.write.partitionBy(*partition_by).parquet(f"{root}/{folder}")
-        index = df.sparkSession.range(1).select(F.lit(name).alias("query"), F.lit(folder).alias("folder"))
+        index = df.sparkSession.range(1).select(
+            F.lit(name).alias("query"), F.lit(folder).alias("folder"), F.current_timestamp().alias("saved")
+        )
         index.write.mode("append").json(f"{root}/{_INDEX}")
 
     def names(self) -> list[str]:

@@ -65,7 +65,7 @@ from scenlens.sources import (
     read_wide_years,
     shared_folder,
 )
-from testbed.entry import Entry, canon, long, number_text as number_sql, strict, wide
+from testbed.entry import Entry, canon, long, number_text as number_sql, wide
 
 RAW = {"N": "RegGHGPol_Ineq", "A": "RegGHGPol_Gini25_Ineq", "R": "RegGHGPol_Gini50_Ineq"}
 RAW_SQL = "CASE l_returnflag WHEN 'N' THEN 'RegGHGPol_Ineq' WHEN 'A' THEN 'RegGHGPol_Gini25_Ineq' ELSE 'RegGHGPol_Gini50_Ineq' END"
@@ -140,8 +140,8 @@ def add(name: str, run, sql: str | None, digits: dict[str, int] | None = None) -
 # ---- recodes and comparisons ---------------------------------------------------
 
 add("q_scenario_recode",
-    lambda t: lines(t).groupBy(POLICY.canonical().alias("scenario")).agg(
-        strict_sum("l_quantity").alias("value"), F.count(F.lit(1)).alias("n")),
+    lambda t: lines(t).groupBy("scenario").agg(strict_sum("l_quantity").alias("value"), F.count(F.lit(1)).alias("n"))
+    .groupBy(POLICY.canonical().alias("scenario")).agg(strict_sum("value").alias("value"), F.sum("n").alias("n")),
     f"SELECT {canon(column='s')} AS scenario, sum(l_quantity) AS value, count(*) AS n FROM (SELECT {RAW_SQL} AS s, l_quantity FROM lineitem) AS x GROUP BY 1")
 add("q_diff_baseline",
     lambda t: compare(sector_rows(t), ["year", "sector", "Units"], POLICY),
@@ -187,9 +187,10 @@ add("q_display_region",
     lambda t: t.base("nation").select(display_region(F.concat("n_name", F.lit("_Trade"))).alias("a"), display_region("n_name").alias("b")),
     "SELECT 'EFTA' AS a, replace(n_name, '_', ' ') AS b FROM nation")
 add("q_gas_group",
-    lambda t: t.base("events").withColumn("ghg", recode_first("event_type", [
-        ("is", "click", "CO2"), ("is", "view", "CO2LUC"), ("is", "purchase", "CH4_AGR"), ("is", "error", "N2O")])).groupBy(
-        gas_group().alias("group"), gas_group("ghg", True).alias("group_n2o")).agg(F.count(F.lit(1)).alias("n")),
+    lambda t: t.base("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "ghg", recode_first("event_type", [
+            ("is", "click", "CO2"), ("is", "view", "CO2LUC"), ("is", "purchase", "CH4_AGR"), ("is", "error", "N2O")])
+    ).groupBy(gas_group().alias("group"), gas_group("ghg", True).alias("group_n2o")).agg(F.sum("n").alias("n")),
     """SELECT CASE event_type WHEN 'click' THEN 'CO2' WHEN 'view' THEN 'CO2_LUC' WHEN 'purchase' THEN 'CH4' ELSE 'F-gases' END AS "group",
     CASE event_type WHEN 'click' THEN 'CO2' WHEN 'view' THEN 'CO2_LUC' WHEN 'purchase' THEN 'CH4' WHEN 'error' THEN 'N2O' ELSE 'F-gases' END AS group_n2o,
     count(*) AS n FROM events GROUP BY 1, 2""")

@@ -18,7 +18,7 @@ from scenlens.plans import prices as P
 from scenlens.plans import sensitivity as SA
 from scenlens.sources import gwp, market_regions, region_map
 from testbed.entry import WINDOW, Entry, canon, display, long, number_text, region_rows, side, strict, study, wide
-from testbed.results_energy import POPAGG, REG, ROWS, roll
+from testbed.results_energy import POPAGG, ROWS, roll
 from testbed.tables import DUCK, side_sql
 
 # ---- nutrition -------------------------------------------------------------
