@@ -20,8 +20,14 @@ from pyspark.sql import types as T
 _COPIES = "__copies"
 
 
-def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Small table written in code, as a local relation with a broadcast hint."""
+def inline_table(
+    spark: SparkSession, rows: Sequence[tuple], schema: str, key: Sequence[str] = ()
+) -> DataFrame:
+    """Small table written in code, as a local relation with a broadcast hint.
+
+    `key` names columns that identify a row; doubled keys are an error here, so
+    `strict_lookup` need not count them again.
+    """
     fields = T.StructType.fromDDL(schema).fields
     columns = list(zip(*rows)) if rows else [()] * len(fields)
     arrow_types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
@@ -29,57 +35,79 @@ def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
         f.name: pa.array(list(c), arrow_types[f.dataType.simpleString()])
         for f, c in zip(fields, columns)
     })
-    return F.broadcast(spark.createDataFrame(table))
+    df = F.broadcast(spark.createDataFrame(table))
+    if key:
+        if len(set(zip(*[table[k].to_pylist() for k in key]))) < len(rows):
+            raise ValueError(f"doubled key {list(key)} in an inline table")
+        df.verified_key = tuple(key)
+    return df
+
+
+def verified_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Checks once, with a job, that `key` identifies the rows of `df`.
+
+    The returned table carries that fact to `strict_lookup`; tables derived
+    from it do not.
+    """
+    twice = df.groupBy(*key).agg(F.count(F.lit(1)).alias(_COPIES)).where(F.col(_COPIES) > 1).take(1)
+    if twice:
+        raise ValueError(f"doubled key {twice[0].asDict()}")
+    df.verified_key = tuple(key)
+    return df
+
+
+def lookup(df: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join on the shared columns `on`, where missing keys match each other.
+
+    Besides being the rule of the study, null-safe keys keep the optimizer from
+    adding "key is not null" filters to `right`.  For keys read out of labels
+    such filters would move below the aggregation and parse every raw row.
+    """
+    on = list(on)
+    extra = [c for c in right.columns if c not in on]
+    keyed = right.withColumnsRenamed({k: f"__r_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in on])
+    return df.join(keyed, same, "left").select(*[F.col(f"`{c}`") for c in [*df.columns, *extra]])
 
 
 def strict_lookup(
-    df: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    *,
-    unique: bool = False,
-    null_safe: bool = False,
+    df: DataFrame, right: DataFrame, on: Sequence[str], *, unique: bool = False
 ) -> DataFrame:
-    """Left join that fails the job when a row finds no match or several.
+    """`lookup` that fails the job when a row finds no match or several.
 
     The check is a filter on the joined rows, so it is not pruned away when the
     looked-up columns are unused.  A filter on `df` columns applied later may
     be pushed below it; rows removed that way are not checked.  Use
     `unmatched` to test a whole input.
 
-    `unique=True` states that `on` is a key of `lookup` by construction (for
-    example right after a group-by on it) and saves the counting step.
+    `unique=True` states that `on` is a key of `right` by construction (for
+    example right after a group-by on it) and saves the counting step, as does
+    a table from `verified_key`.
     """
     on = list(on)
-    extra = [c for c in lookup.columns if c not in on]
-    if unique:
-        right = lookup.withColumn(_COPIES, F.lit(1))
+    known = getattr(right, "verified_key", None)
+    if unique or (known and set(known) <= set(on)):
+        counted = right.withColumn(_COPIES, F.lit(1))
     else:
-        right = lookup.groupBy(*on).agg(
-            *[F.any_value(c).alias(c) for c in extra],
+        counted = right.groupBy(*on).agg(
+            *[F.any_value(c).alias(c) for c in right.columns if c not in on],
             F.count(F.lit(1)).alias(_COPIES),
         )
-    if null_safe:
-        right = right.withColumnsRenamed({k: f"__r_{k}" for k in on})
-        hit = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in on])
-        joined = df.join(right, hit, "left").drop(*[f"__r_{k}" for k in on])
-    else:
-        joined = df.join(right, on, "left")
     key_text = F.to_json(F.struct(*on))
-    problem = (
-        F.when(F.col(_COPIES).isNull(), F.concat(F.lit("strict lookup: no match for "), key_text))
-        .when(F.col(_COPIES) > 1, F.concat(F.lit("strict lookup: several matches for "), key_text))
-    )
-    checked = joined.where(
-        F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(F.lit(True))
-    )
-    return checked.select(*df.columns, *[c for c in extra if c not in df.columns])
+
+    def fail(what: str):
+        return F.raise_error(F.concat(F.lit(f"strict lookup: {what} for "), key_text)).cast("boolean")
+
+    copies = F.col(_COPIES)
+    return lookup(df, counted, on).where(
+        F.when(copies.isNull(), fail("no match")).when(copies > 1, fail("several matches")).otherwise(F.lit(True))
+    ).drop(_COPIES)
 
 
-def unmatched(df: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
+def unmatched(df: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Distinct keys of `df` without a partner: an empty result means all match."""
     on = list(on)
-    return df.select(*on).distinct().join(lookup, on, "left_anti")
+    return df.select(*on).distinct().join(right, on, "left_anti")
 
 
 def cross_with(df: DataFrame, **columns) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenlens.functions import safe_div, strict_sum
-from scenlens.operators.joins import strict_lookup
+from scenlens.operators.joins import lookup, strict_lookup
 
 
 def to_aggregate_region(
     df: DataFrame, regions: DataFrame, keys: Sequence[str], value: str = "value"
 ) -> DataFrame:
     """Strict sum by `keys` with `region` replaced by its aggregate region."""
-    named = strict_lookup(df, regions.select("region", "region_agg"), ["region"])
+    named = strict_lookup(df, regions, ["region"])
     by = [F.col("region_agg").alias("region") if k == "region" else F.col(k) for k in keys]
     return named.groupBy(*by).agg(strict_sum(value).alias(value))
 
@@ -28,14 +28,8 @@ def with_group_total(
     Totals are aggregated first (map-side) and joined back, so a group with a
     large part of all rows is never gathered in one task as a window would do.
     """
-    group = list(group)
     totals = df.groupBy(*group).agg(strict_sum(value).alias(out))
-    totals = totals.withColumnsRenamed({k: f"__t_{k}" for k in group})
-    same = None
-    for k in group:
-        here = F.col(k).eqNullSafe(F.col(f"__t_{k}"))
-        same = here if same is None else same & here
-    return df.join(totals, same, "left").select(*df.columns, out)
+    return lookup(df, totals, group)
 
 
 def share_of_group(

@@ -167,21 +167,34 @@ DECILE_KEYS = ["scenario", "region", "sector", "decile", "year", "Units"]
 REGION_KEYS = ["scenario", "region", "sector", "year", "Units"]
 
 
-def _buildings_decile(prj: Project) -> DataFrame:
+def _label_sums(rows: DataFrame, decile: str | None, rules) -> DataFrame:
+    """Sums by raw label, then the decile split off and the label rewritten.
+
+    A wanted decile is tested on the raw label, before anything is split.
+    """
+    if decile is not None:
+        rows = rows.where(F.col("sector").endswith(f"_{decile}"))
+    return _with_decile(sum_by(rows, REGION_KEYS)).withColumn("sector", recode_first("sector", rules))
+
+
+def _buildings_decile(prj: Project, decile: str | None = None) -> DataFrame:
     rows = prj.query(BUILDINGS, "sector", "region").where(contains("sector", "resid"))
-    labelled = _with_decile(sum_by(rows, REGION_KEYS))
-    return labelled.withColumn("sector", recode_first("sector", C.BUILDING_SECTORS[1:]))
+    return _label_sums(rows, decile, C.BUILDING_SECTORS[1:])
 
 
-def _transport_decile(prj: Project) -> DataFrame:
-    rows = prj.query(TRANSPORT, "sector", "region").where(contains("sector", "trn_pass|trn_aviation"))
-    labelled = _with_decile(sum_by(rows, REGION_KEYS))
-    return labelled.withColumn("sector", recode_first("sector", C.PASSENGER_SECTORS))
+def _transport_decile(
+    prj: Project, wanted: str = "trn_pass|trn_aviation", decile: str | None = None
+) -> DataFrame:
+    rows = prj.query(TRANSPORT, "sector", "region").where(contains("sector", wanted))
+    return _label_sums(rows, decile, C.PASSENGER_SECTORS)
 
 
-def _decile_rows(prj: Project) -> DataFrame:
+def _decile_rows(prj: Project, decile: str | None = None) -> DataFrame:
+    """Residential and passenger energy by decile; `decile` picks one by its label ending."""
     keep = [*DECILE_KEYS, "value"]
-    return union_all(_buildings_decile(prj).select(*keep), _transport_decile(prj).select(*keep))
+    return union_all(
+        _buildings_decile(prj, decile).select(*keep), _transport_decile(prj, decile=decile).select(*keep)
+    )
 
 
 def buildings_by_decile(prj: Project) -> DataFrame:
@@ -251,7 +264,7 @@ def income_growth_poorest(prj: Project, family: ScenarioFamily = POLICY) -> Data
     """Income of the lowest decile, 2050 over 2020.  N26"""
     rows = (
         prj.query(INCOME_QUERY, "gcam-consumer", "region")
-        .where(contains("gcam-consumer", "resid") & F.col("year").isin(2020, 2050))
+        .where(contains("gcam-consumer", "resid") & contains("gcam-consumer", "d1") & F.col("year").isin(2020, 2050))
         .withColumn("decile", alnum_piece("gcam-consumer", 2))
         .where(F.col("decile") == "d1")
         .withColumn("scenario", family.canonical())
@@ -265,7 +278,7 @@ def income_growth_poorest(prj: Project, family: ScenarioFamily = POLICY) -> Data
 def poorest_energy_growth(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Energy per person of the lowest decile, 2050 over 2020, beside income growth.  N27"""
     rows = sum_by(
-        _decile_rows(prj).where((F.col("decile") == "d1") & F.col("year").isin(2020, 2050))
+        _decile_rows(prj, "d1").where(F.col("year").isin(2020, 2050))
         .withColumn("scenario", family.canonical()),
         DECILE_KEYS,
     )
@@ -297,7 +310,7 @@ def energy_per_person(prj: Project, regions: DataFrame, family: ScenarioFamily =
 
 def aviation_change(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
     """Change of aviation energy by decile and aggregate region.  N29"""
-    rows = year_window(_transport_decile(prj)).where(contains("sector", "Aviation"))
+    rows = year_window(_transport_decile(prj, "trn_aviation"))
     changed = compare(rows, ["year", "region", "decile", "sector", "Units"], family)
     return to_aggregate_region(
         changed, regions, ["scenario", "region", "year", "decile", "sector"]

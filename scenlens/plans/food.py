@@ -16,6 +16,7 @@ from scenlens.functions import (
 )
 from scenlens.operators import (
     compare,
+    lookup,
     net_and_relative,
     strict_lookup,
     sum_by,
@@ -109,7 +110,7 @@ def _labelled(totals: DataFrame) -> DataFrame:
 def food_labelled(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Total change by staple flag joined with its label, complete rows only.  N38"""
     labels = food_relative(prj, family).withColumnRenamed("demand", "sector")
-    return _labelled(_totals(prj, family).join(labels, ["year", "scenario", "sector"], "left"))
+    return _labelled(lookup(_totals(prj, family), labels, ["year", "scenario", "sector"]))
 
 
 def food_group_change(prj: Project, groups: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:

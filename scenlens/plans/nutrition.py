@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scenlens import constants as C
 from scenlens.functions import not_in_nor_null, safe_div, strict_sum
-from scenlens.operators import year_window
+from scenlens.operators import lookup, year_window
 from scenlens.plans.energy import display_region
 from scenlens.plans.food import intake_level, population_decile_aggregate
 from scenlens.scenarios import POLICY, ScenarioFamily
@@ -60,7 +60,7 @@ def demographic_shares(population: DataFrame) -> DataFrame:
     )
     groups = population.where(not_in_nor_null("variable", TOTAL_GROUPS))
     return (
-        groups.join(total, ["iso", "year"], "left")
+        lookup(groups, total, ["iso", "year"])
         .withColumn("demo_share", safe_div("value", "total_pop"))
         .withColumnsRenamed({"value": "sub_pop", "unit": "pop_units"})
     )
@@ -73,48 +73,64 @@ def regional_population(shares: DataFrame, countries: DataFrame) -> DataFrame:
         .select("year", "country_name", "region", "total_pop").distinct()
     )
     totals = by_country.groupBy("year", "region").agg(strict_sum("total_pop").alias("total_regional_pop"))
-    return by_country.join(totals, ["year", "region"], "left")
+    return lookup(by_country, totals, ["year", "region"])
 
 
 def regional_demography(shares: DataFrame, countries: DataFrame) -> DataFrame:
-    """Population-weighted part of each sex and age group, per aggregate region.
+    """Part of each sex and age group in the population of an aggregate region.
 
-    Countries are added up before scenarios and deciles multiply the rows: the
-    weights depend on neither, so the result is the same with a thirtieth of
-    the data.
+    A country counts with its share of the region's population.  Countries are
+    added up here, before scenarios and deciles multiply the rows, on which
+    neither the shares nor the weights depend.
     """
-    weights = regional_population(shares, countries).select(
-        "year", "country_name", "region",
-        safe_div("total_pop", "total_regional_pop").alias("weight"),
+    placed = shares.join(countries.select("country_name", "region"), "country_name", "left")
+    groups = placed.groupBy("region", "year", "variable").agg(
+        strict_sum(F.col("demo_share") * F.col("total_pop")).alias("persons")
     )
-    return (
-        shares.select("country_name", "year", "variable", "demo_share").distinct()
-        .join(weights, ["country_name", "year"], "left")
-        .groupBy("region", "year", "variable")
-        .agg(strict_sum(F.col("demo_share") * F.col("weight")).alias("part"))
+    totals = (
+        placed.select("year", "country_name", "region", "total_pop").distinct()
+        .groupBy("region", "year").agg(strict_sum("total_pop").alias("total"))
+    )
+    return lookup(groups, totals, ["region", "year"]).select(
+        "region", "year", "variable", safe_div("persons", "total").alias("part")
     )
 
 
 def population_by_sex_age(shares: DataFrame, countries: DataFrame, people: DataFrame) -> DataFrame:
     """Persons by scenario, aggregate region, decile, sex and age group.  N51"""
     parts = regional_demography(shares, countries)
-    return parts.join(people, ["region", "year"], "left").select(
+    return lookup(parts, people, ["region", "year"]).select(
         "scenario", "variable", "year", "region", "decile",
         (F.col("part") * F.col("pop")).alias("pop_sex_age"),
     )
 
 
-def calorie_requirement(sex_age: DataFrame, needs: DataFrame) -> DataFrame:
-    """Total daily need per region and decile: central, low and high.  N52"""
-    rows = year_window(sex_age).join(needs.select("variable", "mder", "min", "max"), "variable", "left")
+def need_per_person(shares: DataFrame, countries: DataFrame, needs: DataFrame) -> DataFrame:
+    """Mean daily need per aggregate region and year: central, low and high."""
+    parts = year_window(regional_demography(shares, countries))
+    return (
+        parts.join(needs.select("variable", "mder", "min", "max"), "variable", "left")
+        .groupBy("region", "year")
+        .agg(*[strict_sum(F.col(c) * F.col("part")).alias(c) for c in ("mder", "min", "max")])
+    )
+
+
+def calorie_requirement(
+    shares: DataFrame, countries: DataFrame, needs: DataFrame, people: DataFrame
+) -> DataFrame:
+    """Total daily need per region and decile: central, low and high.  N52
+
+    Sex and age groups are added up per person first, then multiplied by the
+    persons of each scenario and decile.
+    """
     return (
-        rows.groupBy("scenario", "region", "year", "decile")
-        .agg(
-            strict_sum(F.col("mder") * F.col("pop_sex_age")).alias("denominator_sum"),
-            strict_sum(F.col("min") * F.col("pop_sex_age")).alias("min_denominator_sum"),
-            strict_sum(F.col("max") * F.col("pop_sex_age")).alias("max_denominator_sum"),
+        lookup(need_per_person(shares, countries, needs), people, ["region", "year"])
+        .select(
+            "scenario", display_region().alias("region"), "year", "decile",
+            (F.col("mder") * F.col("pop")).alias("denominator_sum"),
+            (F.col("min") * F.col("pop")).alias("min_denominator_sum"),
+            (F.col("max") * F.col("pop")).alias("max_denominator_sum"),
         )
-        .withColumn("region", display_region())
     )
 
 
@@ -124,9 +140,9 @@ def adequacy(
 ) -> DataFrame:
     """Dietary energy supply in percent of the need; below 100 is too little.  N54"""
     people = population_decile_aggregate(prj, regions, family)
-    need = calorie_requirement(population_by_sex_age(shares, countries, people), needs)
+    need = calorie_requirement(shares, countries, needs, people)
     eaten = intake_level(prj, regions, family).select("scenario", "region", "year", "decile", "value", "pop")
-    joined = need.join(eaten, ["scenario", "region", "year", "decile"], "left")
+    joined = lookup(need, eaten, ["scenario", "region", "year", "decile"])
 
     def index(total):
         return safe_div("value", total) * F.col("pop") * C.PERCENT

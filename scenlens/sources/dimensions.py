@@ -12,7 +12,7 @@ from scenlens.sources.files import read_csv
 
 def region_map(spark: SparkSession) -> DataFrame:
     """Model regions with the coarser region each reports into."""
-    return inline_table(spark, C.REGIONS, "region_id int, region string, region_agg string")
+    return inline_table(spark, C.REGIONS, "region_id int, region string, region_agg string", ["region"])
 
 
 def gwp(spark: SparkSession) -> DataFrame:

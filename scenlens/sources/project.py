@@ -35,6 +35,7 @@ class Project:
 
     def __init__(self, tables: Mapping[str, Callable[[], DataFrame]]):
         self._tables = dict(tables)
+        self._opened: dict[str, DataFrame] = {}
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str, names: Mapping[str, str]) -> Project:
@@ -71,7 +72,9 @@ class Project:
         """The named table; `extra` lists columns it must have besides year and value."""
         if name not in self._tables:
             raise KeyError(f"no query {name!r}; have {self.names()}")
-        df = self._tables[name]()
+        if name not in self._opened:
+            self._opened[name] = self._tables[name]()
+        df = self._opened[name]
         lacking = [c for c in ("scenario", *extra) if c not in df.columns]
         if lacking:
             raise ValueError(f"query {name!r} lacks columns {lacking}")

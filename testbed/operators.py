@@ -467,7 +467,7 @@ add("q_null_safe_lookup",
     lambda t: strict_lookup(
         t.base("lineitem").select("l_orderkey", F.nullif("l_linenumber", F.lit(7)).alias("k")),
         t.base("lineitem").groupBy(F.nullif("l_linenumber", F.lit(7)).alias("k")).agg(F.sum("l_quantity").alias("total")),
-        ["k"], unique=True, null_safe=True),
+        ["k"], unique=True),
     """SELECT l_orderkey, nullif(l_linenumber, 7) AS k, total FROM lineitem
     JOIN (SELECT l_linenumber AS n, sum(l_quantity) AS total FROM lineitem GROUP BY n) AS s ON n = l_linenumber""")
 add("q_declared_fan_out",

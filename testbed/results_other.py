@@ -95,9 +95,9 @@ OTHER: dict[str, Entry] = {
         lambda t: N.population_by_sex_age(shares(t), countries(t), people(t)),
         nutrition("SELECT * FROM sexage", **SEXAGE), {"pop_sex_age": 4}),
     "n52_calorie_requirement": Entry(
-        lambda t: N.calorie_requirement(N.population_by_sex_age(shares(t), countries(t), people(t)), t.side("needs")),
+        lambda t: N.calorie_requirement(shares(t), countries(t), t.side("needs"), people(t)),
         nutrition("SELECT * FROM need", **SEXAGE, **NEED),
-        {"denominator_sum": 1, "min_denominator_sum": 1, "max_denominator_sum": 1}),
+        {"denominator_sum": 4, "min_denominator_sum": 4, "max_denominator_sum": 4}),
     "n54_adequacy": Entry(
         lambda t: N.adequacy(t.project(), region_map(t.spark), shares(t), countries(t), t.side("needs")),
         nutrition("""SELECT year, region, scenario, decile, value / nullif(denominator_sum, 0) * pop * 100 AS adesa,
