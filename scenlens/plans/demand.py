@@ -61,11 +61,11 @@ def transport_rows(prj: Project, family: ScenarioFamily = POLICY_EXACT) -> DataF
 
 def food_rows(prj: Project, family: ScenarioFamily = POLICY_EXACT) -> DataFrame:
     """Non-staple food by decile."""
-    table = prj.query(FOOD_DEMAND, "gcam-consumer", "input", "region")
-    rows = _runs(table, contains("input", "NonStaples"), ["gcam-consumer"], family)
+    table = prj.query(FOOD_DEMAND, "consumer", "input", "region")
+    rows = _runs(table, contains("input", "NonStaples"), ["consumer"], family)
     return rows.select(
         "scenario", "region", "year", "value",
-        F.regexp_replace(separator_piece("gcam-consumer", "_", 2), "Group", "d").alias("decile"),
+        F.replace(separator_piece("consumer", "_", 2), F.lit("Group"), F.lit("d")).alias("decile"),
         F.lit("Non-staple food").alias("sector"),
     )
 

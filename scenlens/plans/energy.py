@@ -52,10 +52,10 @@ def display_region(region: Column | str = "region") -> Column:
 
 def income_deciles(prj: Project) -> DataFrame:
     """Distinct decile labels of the residential consumers.  N12"""
-    income = prj.query(INCOME_QUERY, "gcam-consumer")
+    income = prj.query(INCOME_QUERY, "consumer")
     return (
-        income.where(contains("gcam-consumer", "resid"))
-        .select(F.regexp_replace("gcam-consumer", "resid_", "").alias("decile"))
+        income.where(contains("consumer", "resid"))
+        .select(F.replace("consumer", F.lit("resid_"), F.lit("")).alias("decile"))
         .distinct()
     )
 
@@ -223,9 +223,9 @@ def _short_sector(sector: Column | str = "sector") -> Column:
     The brackets of the last pattern are a group, so ` (pass)` with brackets
     stays in the name; the printed levels rely on that.
     """
-    out = F.regexp_replace(sector, "Residential", "Resid")
-    out = F.regexp_replace(out, " services", "")
-    out = F.regexp_replace(out, "International", "Int.")
+    out = F.replace(sector, F.lit("Residential"), F.lit("Resid"))
+    out = F.replace(out, F.lit(" services"), F.lit(""))
+    out = F.replace(out, F.lit("International"), F.lit("Int."))
     return F.regexp_replace(out, " (pass)", "")
 
 
@@ -263,9 +263,9 @@ def population_by_decile(prj: Project, family: ScenarioFamily = POLICY) -> DataF
 def income_growth_poorest(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Income of the lowest decile, 2050 over 2020.  N26"""
     rows = (
-        prj.query(INCOME_QUERY, "gcam-consumer", "region")
-        .where(contains("gcam-consumer", "resid") & contains("gcam-consumer", "d1") & F.col("year").isin(2020, 2050))
-        .withColumn("decile", alnum_piece("gcam-consumer", 2))
+        prj.query(INCOME_QUERY, "consumer", "region")
+        .where(contains("consumer", "resid") & contains("consumer", "d1") & F.col("year").isin(2020, 2050))
+        .withColumn("decile", alnum_piece("consumer", 2))
         .where(F.col("decile") == "d1")
         .withColumn("scenario", family.canonical())
     )

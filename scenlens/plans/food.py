@@ -69,22 +69,22 @@ def commodity_levels(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame
 def _read_labels(df: DataFrame) -> DataFrame:
     """Decile and demand class out of the consumer and input labels."""
     return (
-        df.withColumn("decile", F.regexp_replace(alnum_piece("gcam-consumer", 2), "Group", "d"))
+        df.withColumn("decile", F.replace(alnum_piece("consumer", 2), F.lit("Group"), F.lit("d")))
         .withColumn("demand", alnum_piece("input", 2))
-        .drop("gcam-consumer", "input")
+        .drop("consumer", "input")
     )
 
 
 def food_rows(prj: Project) -> DataFrame:
     """Food demand, one row per cell of the table, with its labels read."""
-    rows = prj.query(FOOD_DEMAND, "gcam-consumer", "input", "region")
+    rows = prj.query(FOOD_DEMAND, "consumer", "input", "region")
     return _read_labels(rows).select("scenario", "region", "year", "decile", "demand", "value", "Units")
 
 
 def food_sums(prj: Project, *keys: str) -> DataFrame:
     """Food demand summed by `keys` and the raw labels, which are read after that."""
-    rows = prj.query(FOOD_DEMAND, "gcam-consumer", "input", "region")
-    return _read_labels(sum_by(rows, ["scenario", "year", "gcam-consumer", "input", *keys]))
+    rows = prj.query(FOOD_DEMAND, "consumer", "input", "region")
+    return _read_labels(sum_by(rows, ["scenario", "year", "consumer", "input", *keys]))
 
 
 def food_relative(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
@@ -92,7 +92,7 @@ def food_relative(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     return (
         compare(year_window(food_sums(prj)), ["year", "demand"], family, "percent", out="annual_change")
         .withColumn("label", percent_label("annual_change"))
-        .withColumn("demand", F.regexp_replace("demand", "NonStaples", "Non-staples"))
+        .withColumn("demand", F.replace("demand", F.lit("NonStaples"), F.lit("Non-staples")))
     )
 
 

@@ -132,7 +132,7 @@ def income_map(poverty: DataFrame, family: ScenarioFamily = INCOME) -> DataFrame
     """
     rows = poverty.where(~contains("sce", "MinHist")).select(
         family.canonical("sce").alias("sce"), F.col("region").alias("subRegion"),
-        F.upper(F.regexp_replace("decile", "resid_", "")).alias("decile"),
+        F.upper(F.replace("decile", F.lit("resid_"), F.lit(""))).alias("decile"),
         *[c for c in poverty.columns if c not in ("sce", "region", "decile")],
     ).where(F.col("decile").isin("D1", "D5", "D10"))
     long = read_wide_years(rows, ["sce", "subRegion", "decile"]).where(F.col("year") == C.LAST_YEAR)

@@ -34,12 +34,12 @@ def carbon_prices(
     rows = prj.query(PRICES, "market").where(
         ~contains("market", "FUG|LUC") & F.col("year").between(C.FIRST_YEAR, C.LAST_YEAR)
     )
-    named = rows.withColumn("region", F.regexp_replace("market", "CO2", "")).drop("market")
+    named = rows.withColumn("region", F.replace("market", F.lit("CO2"), F.lit(""))).drop("market")
     full = named.join(aliases, "region", "left").withColumn("region", F.coalesce("alias", "region")).drop("alias")
-    tidy = F.regexp_replace("region", "Middle_East", "Middle East")
+    tidy = F.replace("region", F.lit("Middle_East"), F.lit("Middle East"))
     return full.select(
         family.canonical().alias("scenario"),
-        F.regexp_replace(tidy, "South_Africa", "South Africa").alias("region"),
+        F.replace(tidy, F.lit("South_Africa"), F.lit("South Africa")).alias("region"),
         "year",
         (F.col("value") * deflator(index, 2015, 1990)).alias("value"),
         F.lit("2015$/tC").alias("Units"),

@@ -30,6 +30,17 @@ def _slug(name: str) -> str:
     return "".join(ch if ch.isalnum() else "_" for ch in name.lower())
 
 
+def tidy_header(name: str) -> str:
+    """Column name as the plans expect it.
+
+    A repaired double header `x...3` becomes `x_3`, and a model's own consumer
+    column (`<model>-consumer`) becomes `consumer`.
+    """
+    if name.endswith("-consumer"):
+        return "consumer"
+    return name.replace("...", "_")
+
+
 class Project:
     """Named tables, fetched by name; missing names and columns are errors."""
 
@@ -73,7 +84,8 @@ class Project:
         if name not in self._tables:
             raise KeyError(f"no query {name!r}; have {self.names()}")
         if name not in self._opened:
-            self._opened[name] = self._tables[name]()
+            raw = self._tables[name]()
+            self._opened[name] = raw.withColumnsRenamed({c: tidy_header(c) for c in raw.columns if tidy_header(c) != c})
         df = self._opened[name]
         lacking = [c for c in ("scenario", *extra) if c not in df.columns]
         if lacking:

@@ -68,8 +68,8 @@ def relative_sql(suffix="", **kw):
 ENERGY: dict[str, Entry] = {
     "n12_income_deciles": Entry(
         lambda t: E.income_deciles(t.project()),
-        study({"inc": E.INCOME_QUERY}, """SELECT DISTINCT replace("gcam-consumer", 'resid_', '') AS decile
-            FROM inc WHERE contains("gcam-consumer", 'resid')"""),
+        study({"inc": E.INCOME_QUERY}, """SELECT DISTINCT replace(consumer, 'resid_', '') AS decile
+            FROM inc WHERE contains(consumer, 'resid')"""),
     ),
     "n13_buildings_energy": Entry(lambda t: E.buildings_energy(t.project()), study(BLD, by_sector("bld", BLD_SECTOR))),
     "n14_industry_energy": Entry(lambda t: E.industry_energy(t.project()), study(IND, by_sector("ind", "'Industry'"))),
@@ -135,9 +135,9 @@ POP = {
     "pop": f"""SELECT scenario, region_agg AS region, year, {strict('value')} AS pop
         FROM pop0 JOIN reg USING (region) GROUP BY scenario, region_agg, year""",
     "popdec": """SELECT scenario, region, year, decile, value * 1 / n AS pop FROM pop0,
-        (SELECT DISTINCT replace("gcam-consumer", 'resid_', '') AS decile FROM inc
-            WHERE contains("gcam-consumer", 'resid')) d,
-        (SELECT count(DISTINCT "gcam-consumer") AS n FROM inc WHERE contains("gcam-consumer", 'resid')) c""",
+        (SELECT DISTINCT replace(consumer, 'resid_', '') AS decile FROM inc
+            WHERE contains(consumer, 'resid')) d,
+        (SELECT count(DISTINCT consumer) AS n FROM inc WHERE contains(consumer, 'resid')) c""",
 }
 
 
@@ -180,7 +180,7 @@ ENERGY |= {
         lambda t: E.income_growth_poorest(t.project()),
         study({"inc": E.INCOME_QUERY}, f"""SELECT {canon()} AS scenario, region, 'd1' AS decile,
             max(value) FILTER (WHERE year = 2050) / nullif(max(value) FILTER (WHERE year = 2020), 0) AS gdp_pc_change
-            FROM inc WHERE "gcam-consumer" = 'resid_d1' AND year IN (2020, 2050) GROUP BY 1, region"""),
+            FROM inc WHERE consumer = 'resid_d1' AND year IN (2020, 2050) GROUP BY 1, region"""),
     ),
     "n27_poorest_energy_growth": Entry(
         lambda t: E.poorest_energy_growth(t.project()),
@@ -192,7 +192,7 @@ ENERGY |= {
                 max(value_pc) FILTER (WHERE year = 2050) AS y2050 FROM p GROUP BY scenario, region, sector, decile, Units""",
             g=f"""SELECT {canon()} AS scenario, region, 'd1' AS decile,
                 max(value) FILTER (WHERE year = 2050) / nullif(max(value) FILTER (WHERE year = 2020), 0) AS gdp_pc_change
-                FROM inc WHERE "gcam-consumer" = 'resid_d1' AND year IN (2020, 2050) GROUP BY 1, region"""),
+                FROM inc WHERE consumer = 'resid_d1' AND year IN (2020, 2050) GROUP BY 1, region"""),
     ),
     "n28_energy_per_person": Entry(
         lambda t: E.energy_per_person(t.project(), region_map(t.spark)),
@@ -265,7 +265,7 @@ def commodity(base="RegGHGPol_Ineq", suffix="") -> dict[str, str]:
 
 DEMAND = {"fd": D.FOOD_DEMAND}
 ROWS = {
-    "rows": f"""SELECT {canon()} AS scenario, region, year, replace(split_part("gcam-consumer", '_', 2), 'Group', 'd') AS decile,
+    "rows": f"""SELECT {canon()} AS scenario, region, year, replace(split_part(consumer, '_', 2), 'Group', 'd') AS decile,
         split_part(input, '_', 2) AS demand, value, Units FROM fd WHERE {WINDOW}""",
 }
 COMPLETE = "WHERE total_value IS NOT NULL AND annual_change IS NOT NULL AND sector IS NOT NULL AND label IS NOT NULL"

@@ -119,7 +119,7 @@ INEQCTE = {
     "tr": f"""SELECT {EXACT} AS scenario, region, year, value, regexp_extract(sector, '_(d[0-9]+)$', 1) AS decile,
         CASE WHEN contains(sector, 'aviation') THEN 'International aviation' ELSE 'Domestic transportation' END AS sector
         FROM srv WHERE contains(sector, 'trn_pass_d') OR contains(sector, 'aviat')""",
-    "fo": f"""SELECT {EXACT} AS scenario, region, year, value, replace(split_part("gcam-consumer", '_', 2), 'Group', 'd') AS decile,
+    "fo": f"""SELECT {EXACT} AS scenario, region, year, value, replace(split_part(consumer, '_', 2), 'Group', 'd') AS decile,
         'Non-staple food' AS sector FROM fd WHERE contains(input, 'NonStaples')""",
     "alld": "SELECT * FROM hh UNION ALL BY NAME SELECT * FROM tr UNION ALL BY NAME SELECT * FROM fo",
     "dec": f"SELECT scenario, region, sector, decile, year, {strict('value')} AS value FROM alld GROUP BY ALL",

@@ -135,10 +135,10 @@ def study_sql(name: str, d: Dialect, family: str = "policy") -> str:
         return f"""SELECT scenario, region, year, CAST(count(*) AS DOUBLE) AS value, 'thous' AS Units
             FROM {f} GROUP BY scenario, region, year"""
     if name == energy.INCOME_QUERY:
-        return f"""SELECT scenario, region, year, 'resid_' || decile AS {d.name('gcam-consumer')},
+        return f"""SELECT scenario, region, year, 'resid_' || decile AS consumer,
             sum(q) AS value, 'thous 1990$' AS Units FROM {f} GROUP BY scenario, region, year, decile"""
     if name == food.FOOD_DEMAND:
-        return f"""SELECT scenario, region, year, 'FoodDemand_Group' || dk AS {d.name('gcam-consumer')},
+        return f"""SELECT scenario, region, year, 'FoodDemand_Group' || dk AS consumer,
             CASE WHEN ln <= 3 THEN 'FoodDemand_Staples' ELSE 'FoodDemand_NonStaples' END AS input,
             sum(q) AS value, 'Pcal' AS Units FROM {f}
             GROUP BY scenario, region, year, dk, CASE WHEN ln <= 3 THEN 'FoodDemand_Staples' ELSE 'FoodDemand_NonStaples' END"""

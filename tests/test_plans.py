@@ -44,7 +44,7 @@ def energy_project(spark):
     income = [(s, r, y, f"resid_d{d}", d * (y - 2010.0)) for s in (B, G25, G50) for r in ("USA", "Canada") for y in (2020, 2050) for d in (1, 2)]
     return project(
         spark, buildings=long(spark, buildings, "sector"), industry=long(spark, industry), transport=long(spark, transport, "sector"),
-        population=long(spark, people), income=long(spark, income, "gcam-consumer"))
+        population=long(spark, people), income=long(spark, income, "consumer"))
 
 
 def test_final_energy_change(energy_project):
@@ -110,7 +110,7 @@ def test_food_groups_later_rules_win(spark):
 
 def test_food_patch(spark):
     data = [(s, "Central Asia", y, "FoodDemand_Group1", "FoodDemand_NonStaples", v) for s, v in ((B, 1.0), (G25, 2.0), (G50, 3.0)) for y in (2045, 2050)]
-    prj = project(spark, demand=long(spark, data, "gcam-consumer", "input"))
+    prj = project(spark, demand=long(spark, data, "consumer", "input"))
     got = {(r["sce"], r["year"]): r["value"] for r in food.food_map(prj).collect()}
     assert got == {("Gini25", 2045): 1.0, ("Gini50", 2045): 2.0, ("Gini25", 2050): 0.0, ("Gini50", 2050): 0.0}
 
@@ -121,7 +121,7 @@ def test_demand_gini_and_palma(spark):
     other = [("Ref", "USA", 2050, "resid heating modern_d1", 9.0)]
     prj = project(
         spark, buildings=long(spark, rich + flat + other, "sector"),
-        service=long(spark, [], "sector"), demand=long(spark, [], "gcam-consumer", "input"))
+        service=long(spark, [], "sector"), demand=long(spark, [], "consumer", "input"))
     assert set(rows(demand.household_palma(prj).select("scenario", "palma"))) == {("Baseline", 2.0), ("Gini25", 0.25)}
     got = {r["scenario"]: r["value"] for r in demand.demand_gini(prj).collect()}
     shares = [1 / 17] * 9 + [8 / 17]
@@ -212,8 +212,8 @@ def test_adequacy(spark):
     needs = table(spark, [("m", "u", 3000.0, 0.0, 2000.0, 4000.0), ("f", "u", 2000.0, 0.0, 1000.0, 3000.0)],
                   "variable string, mder_units string, mder double, std double, min double, max double")
     prj = project(
-        spark, population=long(spark, [(B, "USA", 2020, 2.0)]), income=long(spark, [(B, "USA", 2020, f"resid_d{d}", 1.0) for d in (1, 2)], "gcam-consumer"),
-        demand=long(spark, [(B, "USA", 2020, f"FoodDemand_Group{d}", "FoodDemand_Staples", d * 1e-6) for d in (1, 2)], "gcam-consumer", "input"))
+        spark, population=long(spark, [(B, "USA", 2020, 2.0)]), income=long(spark, [(B, "USA", 2020, f"resid_d{d}", 1.0) for d in (1, 2)], "consumer"),
+        demand=long(spark, [(B, "USA", 2020, f"FoodDemand_Group{d}", "FoodDemand_Staples", d * 1e-6) for d in (1, 2)], "consumer", "input"))
     got = {r["decile"]: r for r in nutrition.adequacy(prj, region_map(spark), shares, countries, needs).where("scenario IS NOT NULL").collect()}
     male, female = (1 + 0.5) / 5, (3 + 0.5) / 5
     for d in (1, 2):

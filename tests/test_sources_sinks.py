@@ -94,6 +94,11 @@ def test_project_by_parquet(spark, tmp_path):
         prj.query("food demand", "region")
 
 
+def test_project_tidies_headers(spark):
+    raw = table(spark, [("s", "resid_d1", "USA", 2.0)], "scenario string, `model-consumer` string, `cost...3` string, `cost...4` double")
+    assert Project({"x": lambda: raw}).query("x", "consumer", "cost_3").columns == ["scenario", "consumer", "cost_3", "cost_4"]
+
+
 def test_project_by_catalog(spark):
     table(spark, [("s", 2020, 1.0)], "scenario string, year int, value double").createOrReplaceTempView("some_query")
     prj = Project.from_catalog(spark, "default", {"some query": "some_query", "absent": "no_such_table"})
