@@ -269,8 +269,9 @@ add("q_grain_rollup", grains,
 # ---- inequality --------------------------------------------------------------------
 
 add("q_palma", lambda t: palma(customer_rows(t), ["segment", "year"]),
-    f"""SELECT segment, year, sum(value) FILTER (WHERE decile = 'd10') /
-    nullif(sum(value) FILTER (WHERE decile IN ('d1', 'd2', 'd3', 'd4')), 0) AS palma FROM ({CUSTOMER_SQL}) AS x GROUP BY segment, year""")
+    f"""SELECT segment, year, d10 / nullif(d1 + d2 + d3 + d4, 0) AS palma FROM (SELECT segment, year,
+    {", ".join(f"sum(value) FILTER (WHERE decile = '{d}') AS {d}" for d in ("d1", "d2", "d3", "d4", "d10"))}
+    FROM ({CUSTOMER_SQL}) AS x GROUP BY segment, year) AS y""")
 add("q_decile_gini", lambda t: decile_gini(customer_rows(t), ["segment", "year"]),
     f"""WITH d AS (SELECT segment, year, decile, sum(value) AS v FROM ({CUSTOMER_SQL}) AS x GROUP BY ALL),
     s AS (SELECT *, v / sum(v) OVER (PARTITION BY segment, year) AS share FROM d),

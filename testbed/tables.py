@@ -52,6 +52,7 @@ MARKET_SHORT = {
     "South America_Northern": "SAN",
     "South America_Southern": "SAS",
 }
+MODEL_YEARS = tuple(range(2015, 2051, 5))
 LABELS = {
     "policy": ("RegGHGPol_Ineq", "RegGHGPol_Gini25_Ineq", "RegGHGPol_Gini50_Ineq"),
     "no_policy": ("Ref_SSP2_Ineq", "Ref_SSP2_Gini25_Ineq", "Ref_SSP2_Gini50_Ineq"),
@@ -75,6 +76,11 @@ class Dialect:
             return f"element_at(array({items}), CAST({index} + 1 AS INT))"
         return f"list_extract([{items}], CAST({index} + 1 AS INT))"
 
+    def each(self, values) -> str:
+        """One row per value of a constant list."""
+        items = ", ".join(repr(v) for v in values)
+        return f"explode(array({items}))" if self.spark else f"unnest([{items}])"
+
 
 SPARK, DUCK = Dialect(True), Dialect(False)
 
@@ -105,6 +111,14 @@ def facts(d: Dialect, family: str) -> str:
       FROM {d.base('lineitem')}) AS f"""
 
 
+def every_cell(d: Dialect, family: str) -> str:
+    """Line items counted per region, repeated for every scenario and model year."""
+    labels = LABELS.get(family) or [f"SA_{m}_SSP{i}" for m in ("PCA", "LogNorm") for i in range(1, 6)]
+    return f"""(SELECT scenario, region, {d.each(MODEL_YEARS)} AS year, n FROM (
+        SELECT {d.each(labels)} AS scenario, region, n FROM (
+            SELECT region, count(*) AS n FROM {facts(d, family)} GROUP BY region) AS a) AS b) AS c"""
+
+
 def study_sql(name: str, d: Dialect, family: str = "policy") -> str:
     """SQL text of one named table."""
     f = facts(d, family)
@@ -132,8 +146,8 @@ def study_sql(name: str, d: Dialect, family: str = "policy") -> str:
         return f"""SELECT scenario, region, year, CASE WHEN ln <= 5 THEN 'trn_pass' {dec}
             ELSE 'trn_aviation_intl' {dec} END AS sector, q * ln AS value, 'million pass-km' AS Units FROM {f}"""
     if name == energy.POPULATION:
-        return f"""SELECT scenario, region, year, CAST(count(*) AS DOUBLE) AS value, 'thous' AS Units
-            FROM {f} GROUP BY scenario, region, year"""
+        return f"""SELECT scenario, region, year, CAST(n + year - 2015 + length(scenario) AS DOUBLE) AS value,
+            'thous' AS Units FROM {every_cell(d, family)}"""
     if name == energy.INCOME_QUERY:
         return f"""SELECT scenario, region, year, 'resid_' || decile AS consumer,
             sum(q) AS value, 'thous 1990$' AS Units FROM {f} GROUP BY scenario, region, year, decile"""
@@ -173,8 +187,8 @@ def study_sql(name: str, d: Dialect, family: str = "policy") -> str:
         return f"""SELECT scenario, region, year, {d.pick(GASES, 'sk % 13')} AS ghg, CAST(pk % 30 AS DOUBLE) AS value,
             'Tg' AS Units FROM {f}"""
     if name == policy_cost.GDP:
-        return f"""SELECT scenario, region, year, 'GDP' AS account, sum(q) * 1000 AS value, 'Million1990US$' AS Units
-            FROM {f} GROUP BY scenario, region, year"""
+        return f"""SELECT scenario, region, year, 'GDP' AS account, (n + (year - 2000) * length(scenario)) * 1e3 AS value,
+            'Million1990US$' AS Units FROM {every_cell(d, family)}"""
     if name == policy_cost.COST:
         return f"""SELECT scenario, region, year, CAST(sum(ln) AS DOUBLE) AS value, 'Million1990US$' AS Units
             FROM {f} GROUP BY scenario, region, year"""
@@ -198,7 +212,6 @@ SEGMENTS = {
     "FURNITURE": "Population|Female|Aged0-4", "HOUSEHOLD": "Population|Female|Aged5-9",
     "MACHINERY": "Population|Female|Aged60-64",
 }
-MODEL_YEARS = tuple(range(2015, 2051, 5))
 
 
 def _wide_sheet(d: Dialect, gas: str, value: str, with_history: bool) -> str:

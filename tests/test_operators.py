@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scenlens.constants import DECILES
+from scenlens.functions import alnum_piece
 from scenlens.operators import (
     annual_series,
     compare,
@@ -19,6 +20,7 @@ from scenlens.operators import (
     gap_to_target,
     inline_table,
     kmeans_class,
+    lookup,
     net_and_relative,
     palma,
     pivot_cells,
@@ -32,6 +34,7 @@ from scenlens.operators import (
     to_long,
     union_all,
     unmatched,
+    verified_key,
     with_group_total,
     year_window,
 )
@@ -72,6 +75,26 @@ def test_lookup_with_missing_keys(spark):
     assert set(got) == {("x", None, 1.0), ("x", "d1", 2.0)}
 
 
+def test_key_checked_once(spark):
+    names = verified_key(table(spark, [("a", "A"), ("b", "B")], "k string, name string"), ["k"])
+    assert names.verified_key == ("k",)
+    with pytest.raises(ValueError):
+        verified_key(table(spark, [("a", "A"), ("a", "B")], "k string, name string"), ["k"])
+    with pytest.raises(ValueError):
+        inline_table(spark, [("a", 1), ("a", 2)], "k string, n int", ["k"])
+
+
+def test_lookup_on_a_label_adds_no_filter_below_the_sum(spark, tmp_path):
+    """A key read out of a label must not be tested for NULL on every raw row."""
+    table(spark, [("x_d1", 1.0), ("x_d2", 2.0)], "label string, value double").write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    right = raw.groupBy("label").agg(F.sum("value").alias("value")).select(alnum_piece("label", 2).alias("d"), "value")
+    joined = lookup(table(spark, [("d1",), ("d3",)], "d string"), right, ["d"])
+    assert set(rows(joined)) == {("d1", 1.0), ("d3", None)}
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]
+
+
 def test_cross_with(spark, facts):
     assert cross_with(facts, s=("x", "y"), n=(1, 2)).count() == 12
 

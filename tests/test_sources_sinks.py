@@ -99,10 +99,15 @@ def test_project_tidies_headers(spark):
     assert Project({"x": lambda: raw}).query("x", "consumer", "cost_3").columns == ["scenario", "consumer", "cost_3", "cost_4"]
 
 
-def test_project_by_catalog(spark):
-    table(spark, [("s", 2020, 1.0)], "scenario string, year int, value double").createOrReplaceTempView("some_query")
-    prj = Project.from_catalog(spark, "default", {"some query": "some_query", "absent": "no_such_table"})
-    assert prj.names() in (["some query"], [])
+def test_project_by_catalog(spark, tmp_path):
+    rows_ = table(spark, [("s", 2020, 1.0)], "scenario string, year int, value double")
+    rows_.write.mode("overwrite").option("path", str(tmp_path / "t")).saveAsTable("scenlens_test_query")
+    try:
+        prj = Project.from_catalog(spark, "default", {"some query": "scenlens_test_query", "absent": "no_such_table"})
+        assert prj.names() == ["some query"]
+        assert one(prj.query("some query").select("value")) == 1.0
+    finally:
+        spark.sql("DROP TABLE scenlens_test_query")
 
 
 def test_shared_folder_is_the_sessions(spark):
