@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenlens.constants import FOOD_GROUPS, GWP, REGIONS
+from scenlens.plans.nutrition import calorie_needs
 from scenlens.sinks import chart_table, map_table, report_table, write_report, write_table
 from scenlens.sources import (
     Project,
@@ -132,3 +133,8 @@ def test_chart_and_map_tables(spark):
     df = table(spark, [("x", "s", 1.0), ("?", "s", 2.0)], "sector string, region string, total double")
     assert set(rows(chart_table(df, {"sector": ("y", "x")}).select("sector", "sector_level"))) == {("x", 2), ("?", None)}
     assert map_table(df, "region", "total", row="sector").columns == ["row", "subRegion", "value"]
+
+
+def test_calorie_needs_file(spark, tmp_path):
+    path = write(tmp_path / "needs.csv", "variable,unit,mder,std,min,max\nPopulation|Male|Aged0-4,kcal/day,1108.5,0,1100,1200\n", "utf-8-sig")
+    assert one(calorie_needs(spark, path)) == ("Population|Male|Aged0-4", "kcal/capita/day", 1108.5, 0.0, 1100.0, 1200.0)
