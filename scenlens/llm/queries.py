@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scenlens.llm import packing, token_counts, token_files
+from scenlens.llm import ann, language, line_dedup, packing, pii, quality, token_counts, token_files
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -17,12 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, neighbours=10, tables=12, probes=10
+    )
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), end_id=0, capacity=2048
     )
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the rows that are not held out, then applied to all; ids and labels are no inputs of a prediction."""
+    docs = table(spark, sf_dir, "documents")
+    field = language.train(docs.where(~language.held_out()))
+    named = docs.withColumn("doc_id", F.struct("doc_id", language.held_out().alias("held_out")))
+    return language.label_texts(named, field).select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(
         table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), end_id=2
@@ -30,6 +45,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op9_separator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of the documents, from files written without special ids in the texts and read without offsets."""
     end = 50256
@@ -40,10 +64,19 @@ def op9_separator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "ordinal", "start", "n_tokens", "terminated")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_cross_polytope": op2_cross_polytope,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_language": op5_language,
     "op6_token_files": op6_token_files,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_pii": op8_pii,
     "op9_separator_counts": op9_separator_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
