@@ -53,33 +53,6 @@ def read_array(folder: str, name: str, dtype, start: int = 0, count: int | None
         return np.frombuffer(f.read(max(0, count) * width), dtype)
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int, plain_text: bool = False, width: int = 2) -> DataFrame:
-    """One row a document: doc_id, n_tokens, crc32 and its ids as bytes of `width` each, with the end id."""
-    most = 1 << 8 * width
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, plain_text)
-        end = np.array([end_id], ID).tobytes()
-        for batch in batches:
-            sizes, sums, ids = [], [], []
-            for text in batch.column("text").to_pylist():
-                wide = enc.encode(text) + end
-                values = np.frombuffer(wide, ID)
-                if values.max() >= most:
-                    raise ValueError(f"an id does not fit {width} bytes")
-                sizes.append(len(values))
-                sums.append(zlib.crc32(wide))
-                ids.append(values.astype(f"<u{width}").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "n_tokens", "ids_crc32", "ids"],
-            )
-
-    ready(docs.sparkSession)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, ids binary")
-
-
 def write_token_files(
     docs: DataFrame, vocabulary: str, end_id: int, plain_text: bool = False, width: int = 2,
     folder: str | None = None, part_bytes: int = PART_BYTES,
@@ -87,29 +60,33 @@ def write_token_files(
     """Encodes `text` of every row, writes the files in ascending `doc_id`, returns the manifest.
 
     Null text counts as empty: the end id alone.  Rows of one id stay together in the order of their
-    length and checksum; rows without an id come first.  Other columns are not read.  An empty table
+    texts' hashes; rows without an id come first.  Other columns are not read.  An empty table
     gives no parts.  Manifest: part, folder, name, width, n_docs, n_tokens, base, first_doc.
     """
-    spark = docs.sparkSession
-    rows = stored(encoded(docs, vocabulary, end_id, plain_text, width), "encoded")
-    total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * width // part_bytes))
-    to = folder or new_folder(spark, "token-files")
+    spark = ready(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+    to, most = folder or new_folder(spark, "token-files"), 1 << 8 * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = file_system(to)
-        name, out, at, offsets, ids = f"part-{uuid.uuid4().hex}", None, 0, [np.zeros(1, "<u8")], []
+        enc, end = encoder(vocabulary, plain_text), np.array([end_id], ID).tobytes()
+        name, out, offsets, ids = f"part-{uuid.uuid4().hex}", None, [np.zeros(1, "<u8")], []
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
                 fs.create_dir(path, recursive=True)
                 out = fs.open_output_stream(f"{path}/{name}.ids")
-            for piece in batch.column("ids"):
-                out.write(piece.as_buffer())
-            ends = at + np.cumsum(batch.column("n_tokens").to_numpy().astype("<u8"))
-            at = int(ends[-1])
-            offsets.append(ends)
+            sizes = []
+            for text in batch.column("text"):
+                values = np.frombuffer(enc.encode(text.as_py()) + end, ID)
+                if values.max() >= most:
+                    raise ValueError(f"an id does not fit {width} bytes")
+                out.write(values.astype(f"<u{width}").tobytes())
+                sizes.append(len(values))
+            offsets.append(offsets[-1][-1] + np.cumsum(sizes, dtype="<u8"))
             ids.append(batch.column("doc_id").fill_null(NO_ID).to_numpy().astype("<i8"))
         if out is None:
             return
@@ -120,14 +97,14 @@ def write_token_files(
                     f.write(piece.tobytes())
         row = {
             "part": [TaskContext.get().partitionId()], "folder": [to], "name": [name], "width": [width],
-            "n_docs": [sum(map(len, ids))], "n_tokens": [at],
+            "n_docs": [sum(map(len, ids))], "n_tokens": [int(offsets[-1][-1])],
         }
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([
             ("part", pa.int64()), ("folder", pa.string()), ("name", pa.string()), ("width", pa.int64()),
             ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
         ]))
 
-    order = ["doc_id", "n_tokens", "ids_crc32"]
+    order = ["doc_id", F.xxhash64("text")]
     schema = "part long, folder string, name string, width long, n_docs long, n_tokens long"
     written = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
