@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenlens.llm import ann, language, line_dedup, packing, pii, quality, token_counts, token_files
+from scenlens.llm import ann, language, line_dedup, mixing, near_dup, packing, pii, quality, token_counts, token_files
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -18,12 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), similarity=75, words=5)
+
+
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(
         table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, neighbours=10, tables=12, probes=10
     )
 
 
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that bring good text to nine tenths of the expected tokens, low quality to one, toxic text to none."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = mixing.quality_domains(docs, table(spark, sf_dir, "labels"))
+    return mixing.mixing_rates(docs, labelled, {"good": 0.9, "low": 0.1, "toxic": 0.0}).drop("key")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), end_id=0, capacity=2048
@@ -69,7 +80,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_cross_polytope": op2_cross_polytope,
+    "op3_soft_mixing": op3_soft_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language": op5_language,
     "op6_token_files": op6_token_files,
