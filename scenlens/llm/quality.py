@@ -74,19 +74,23 @@ def measured(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> Da
     return df.select(*names, *[F.col(c).cast("long").alias(c) for c in COUNTS])
 
 
-def _rate(part: str, whole: str) -> Column:
-    return F.expr(f"CASE WHEN {whole} > 0 THEN 1000 * {part} DIV {whole} ELSE 0 END")
-
-
+#: The measures, in thousandths: part and whole of each.
 RATES = {
-    "symbol_rate": _rate("n_symbols", "word_chars"),
-    "dup_line_rate": _rate("n_dup_lines", "n_lines"),
-    "repeat_rate": _rate("n_repeat_words", "n_words"),
-    "caps_rate": _rate("n_upper", "n_letters"),
-    "mark_rate": _rate("n_marks", "word_chars"),
+    "symbol_rate": ("n_symbols", "word_chars"),
+    "dup_line_rate": ("n_dup_lines", "n_lines"),
+    "repeat_rate": ("n_repeat_words", "n_words"),
+    "caps_rate": ("n_upper", "n_letters"),
+    "mark_rate": ("n_marks", "word_chars"),
 }
 
 
+def rates() -> dict[str, Column]:
+    """Columns of the measures; 0 where the whole is."""
+    return {
+        m: F.expr(f"CASE WHEN {whole} > 0 THEN 1000 * {part} DIV {whole} ELSE 0 END") for m, (part, whole) in RATES.items()
+    }
+
+
 def base_failed() -> Column:
     return F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words")
 
@@ -103,10 +107,10 @@ def bucket_top(b: Column) -> Column:
     return ((b - shift * 32 + 1) * F.pow(F.lit(2.0), shift)).cast("long") - 1
 
 
-def sketches(rates: DataFrame) -> DataFrame:
+def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, level, measure, bucket, n: sketches of each language and source, language, and all."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in HIGH]))
-    own = rates.select("lang", "source", pairs.alias("p")).groupBy(
+    own = rows.select("lang", "source", pairs.alias("p")).groupBy(
         "lang", "source", "p.measure", "p.bucket"
     ).agg(F.count("*").alias("n"))
     by_level = F.explode(F.array(
@@ -135,13 +139,13 @@ def fences(sketch: DataFrame, fence: float = FENCE, min_group: int = MIN_GROUP)
     return quartiles.select(*group, F.greatest(least[F.col("measure")].cast("long"), cut).alias("cut"))
 
 
-def _cuts(rates: DataFrame, fence: float, min_group: int) -> DataFrame:
+def _cuts(rows: DataFrame, fence: float, min_group: int) -> DataFrame:
     """One row per language and source: cut-offs of its own sketches, else its language's, else everyone's."""
-    found = fences(sketches(rates), fence, min_group)
+    found = fences(sketches(rows), fence, min_group)
     wide = found.groupBy("level", "lang", "source").agg(*[
         F.max(F.when(F.col("measure") == m, F.col("cut"))).alias(m) for m in HIGH
     ])
-    groups = rates.select("lang", "source").distinct().alias("g")
+    groups = rows.select("lang", "source").distinct().alias("g")
     own, lang, every = (wide.where(F.col("level") == k).alias(f"l{k}") for k in (2, 1, 0))
     joined = (
         groups.join(own, F.col("l2.lang").eqNullSafe(F.col("g.lang")) & F.col("l2.source").eqNullSafe(F.col("g.source")), "left")
@@ -158,7 +162,7 @@ def judged(docs: DataFrame, keep: dict[str, Column], fence: float = FENCE, min_g
     named = {f"_keep_{n}": c for n, c in keep.items()}
     rows = stored(measured(docs, named | {
         "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"),
-    }).withColumns(RATES), "quality-measures")
+    }).withColumns(rates()), "quality-measures")
     cuts = stored(_cuts(rows, fence, min_group), "quality-cuts")
     small = cuts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = cuts.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"cut_{m}" for m in HIGH])
