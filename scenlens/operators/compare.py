@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from scenlens.constants import PERCENT
 from scenlens.functions import safe_div, strict_sum, strict_sum_where
-from scenlens.operators.reshape import pivot_cells, pivot_sums, sum_by, to_long
+from scenlens.operators.reshape import pivot_cells, pivot_sums, single_cell, sum_by, to_long
 from scenlens.scenarios import ScenarioFamily
 
 
+class AbsentScenario(ValueError):
+    """Name used in the message of the job failure for a scenario without any row."""
+
+
 def change(kind: str, variant: Column, baseline: Column) -> Column:
     """One comparison: `abs`, `fraction`, `percent` or `ratio`."""
     if kind == "abs":
@@ -28,23 +32,43 @@ def change(kind: str, variant: Column, baseline: Column) -> Column:
 
 def spread(
     df: DataFrame, ids: Sequence[str], family: ScenarioFamily, value: str = "value",
-    raw: str = "scenario", cells: str = "sum",
+    raw: str = "scenario", cells: str = "summed", complete: bool = True,
 ) -> DataFrame:
-    """One column per canonical scenario.
+    """One column per canonical scenario; a scenario of the family that is in no row fails the job if `complete`.
 
-    `cells="sum"` adds up all rows of a cell: first by the raw label as it
-    stands, so that labels are read once per cell and not once per row, then by
-    scenario.  `cells="single"` expects exactly one row and fails otherwise.
+    `cells` says what a cell may hold.  `summed`: the rows of one run, added up by the raw label as it
+    stands, so that labels are read once per cell and not once per row; a second run of the same canonical
+    name fails.  `merged`: all rows of all runs of the name, added up.  `single`: exactly one row.
     """
+    if cells not in ("summed", "merged", "single"):
+        raise ValueError(f"unknown kind of cells {cells!r}")
     if cells == "single":
-        return pivot_cells(df, ids, family.canonical(raw), family.names, value)
-    summed = sum_by(df, [raw, *ids], value)
-    return pivot_sums(summed, ids, family.canonical(raw), family.names, value)
+        wide = pivot_cells(df, ids, family.canonical(raw), family.names, value)
+    else:
+        summed = sum_by(df, [raw, *ids], value)
+        pivot = pivot_cells if cells == "summed" else pivot_sums
+        wide = pivot(summed, ids, family.canonical(raw), family.names, value)
+    return with_all_scenarios(wide, df, family, raw) if complete else wide
+
+
+def with_all_scenarios(wide: DataFrame, df: DataFrame, family: ScenarioFamily, raw: str = "scenario") -> DataFrame:
+    """`wide`, failing the job where a scenario of the family is in no row of `df`.
+
+    The test is a scalar subquery over the distinct labels; a table without any row passes.
+    """
+    name = family.canonical(raw)
+    labels = df.select(raw).distinct()
+    lacking = F.array_compact(F.array(*[
+        F.when(F.coalesce(F.bool_or(name.eqNullSafe(F.lit(n))), F.lit(True)), None).otherwise(F.lit(n)) for n in family.names
+    ]))
+    lacks = labels.agg(F.array_join(lacking, ", ").alias("lacks")).scalar()
+    fail = F.raise_error(F.concat(F.lit(f"{AbsentScenario.__name__}: no row of "), lacks)).cast("boolean")
+    return wide.where(F.when(lacks == "", F.lit(True)).otherwise(fail))
 
 
 def compare(
     df: DataFrame, ids: Sequence[str], family: ScenarioFamily, kind: str = "abs",
-    value: str = "value", out: str = "value", raw: str = "scenario", cells: str = "sum",
+    value: str = "value", out: str = "value", raw: str = "scenario", cells: str = "summed",
 ) -> DataFrame:
     """Long table of every variant measured against the baseline."""
     wide = spread(df, ids, family, value, raw, cells)
@@ -63,17 +87,16 @@ def net_and_relative(
 
     The net change adds up the differences of the `detail` cells, so it is NULL
     when a scenario lacks a cell.  The relative change compares the totals of
-    the cells each scenario has.  Both come from one pass over the cells.
+    the cells each scenario has.  Both come from one pass over the cells; a second
+    run of the same canonical name in a cell fails the job.
     """
     summed = sum_by(df, [raw, *group, *detail], value)
     name = family.canonical(raw)
-    cells = summed.groupBy(*group, *detail).agg(*[
+    keys = [*group, *detail]
+    cells = summed.groupBy(*keys).agg(*[
         column
         for n in family.names
-        for column in (
-            strict_sum_where(name == n, value).alias(n),
-            (F.count_if(name == n) > 0).alias(f"__has_{n}"),
-        )
+        for column in (single_cell(name == n, n, keys, value), (F.count_if(name == n) > 0).alias(f"__has_{n}"))
     ])
     totals = cells.groupBy(*group).agg(
         *[strict_sum_where(F.col(f"__has_{n}"), n).alias(n) for n in family.names],
@@ -90,7 +113,7 @@ def net_and_relative(
         )
         for v in family.variants
     ])
-    return totals.select(*group, F.inline(rows))
+    return with_all_scenarios(totals, df, family, raw).select(*group, F.inline(rows))
 
 
 def gap_to_target(df: DataFrame, target: str, scenarios, ids: Sequence[str], out: str) -> DataFrame:

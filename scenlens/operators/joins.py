@@ -70,6 +70,14 @@ def lookup(df: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keyed, same, "left").select(*[F.col(f"`{c}`") for c in [*df.columns, *extra]])
 
 
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows, which a job counts no further than that; else as it is.
+
+    For the small side of a lookup of many rows, where Spark's estimate of an aggregated table is far too high.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def strict_lookup(
     df: DataFrame, right: DataFrame, on: Sequence[str], *, unique: bool = False
 ) -> DataFrame:

@@ -39,24 +39,27 @@ def pivot_sums(
     ])
 
 
+def single_cell(here: Column, name: str, ids: Sequence[str], value: str = "value") -> Column:
+    """The value of the one row of a group where `here` holds; fails the job when there are more."""
+    message = F.concat(
+        F.lit(f"{DuplicateCell.__name__}: several rows for {name} at "),
+        F.to_json(F.struct(*ids)) if ids else F.lit("the single row"),
+    )
+    return (
+        F.when(F.count_if(here) > 1, F.raise_error(message).cast("double"))
+        .otherwise(F.max(F.when(here, F.col(value))))
+        .alias(name)
+    )
+
+
 def pivot_cells(
     df: DataFrame, ids: Sequence[str], names_from: str | Column, names, value: str = "value"
 ) -> DataFrame:
     """One column per name; fails the job when a cell holds more than one row."""
     key = F.col(names_from) if isinstance(names_from, str) else names_from
-    cells = []
-    for n, v in _named(names).items():
-        here = key.eqNullSafe(F.lit(v))
-        message = F.concat(
-            F.lit(f"{DuplicateCell.__name__}: several rows for {n} at "),
-            F.to_json(F.struct(*ids)) if ids else F.lit("the single row"),
-        )
-        cells.append(
-            F.when(F.count_if(here) > 1, F.raise_error(message).cast("double"))
-            .otherwise(F.max(F.when(here, F.col(value))))
-            .alias(n)
-        )
-    return df.groupBy(*ids).agg(*cells)
+    return df.groupBy(*ids).agg(*[
+        single_cell(key.eqNullSafe(F.lit(v)), n, ids, value) for n, v in _named(names).items()
+    ])
 
 
 def to_long(

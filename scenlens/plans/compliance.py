@@ -50,7 +50,7 @@ def totals_and_target(sheets: Sheets, gwp: DataFrame, family: ScenarioFamily = C
     other = year_window(read_wide_years(sheets.non_co2, SHEET_IDS)).drop("unit")
     gases = union_all(other, _carbon(sheets.luc, "CO2LUC"), _carbon(sheets.co2, "CO2"))
     total = co2_equivalent(gases, gwp, ["scenario", "region", "year"])
-    wide = spread(total, ["region", "year", "Units"], family, cells="single")
+    wide = spread(total, ["region", "year", "Units"], family, cells="single", complete=False)
     return wide.join(targets(sheets), ["region", "year"], "left")
 
 

@@ -59,14 +59,15 @@ def world_ghg(prj: Project, gwp: DataFrame, family: ScenarioFamily = ANY_POLICY)
     Land-use emissions count only in years the energy CO2 table covers.
     """
     in_years = F.col("year").between(C.FIRST_YEAR, C.LAST_YEAR)
-    co2 = prj.query(CO2_SECTOR, "region").where(in_years)
-    luc = prj.query(LAND_USE, "region").where(in_years).join(
+    # sums first: what is joined on a few years are totals, not the tables' rows
+    co2 = _regional_sum(prj.query(CO2_SECTOR, "region").where(in_years))
+    luc = _regional_sum(prj.query(LAND_USE, "region").where(in_years)).join(
         co2.select("year").distinct(), "year", "left_semi"
     )
     gases = union_all(
         prj.query(NON_CO2, "ghg", "region").where(in_years).select(*GAS_COLUMNS),
-        _as_gas(_regional_sum(luc), "CO2LUC"),
-        _as_gas(_regional_sum(co2), "CO2"),
+        _as_gas(luc, "CO2LUC"),
+        _as_gas(co2, "CO2"),
     )
     return co2_equivalent(gases, gwp, ["scenario", "year"]).select(
         family.canonical().alias("scenario"), "year",

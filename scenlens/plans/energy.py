@@ -126,7 +126,7 @@ def final_energy_levels(prj: Project, family: ScenarioFamily = POLICY) -> DataFr
 def final_energy_totals(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Total energy per scenario with absolute and relative change.  N18"""
     rows = _all_sectors(prj, True).where(F.col("year").isin(*C.LEVEL_YEARS))
-    wide = spread(rows, ["year"], family)
+    wide = spread(rows, ["year"], family, cells="merged")
     base = F.col(family.baseline)
     return wide.select(
         "year", *family.names,
@@ -143,7 +143,7 @@ def percent_label(value: Column | str) -> Column:
 def final_energy_relative(prj: Project, family: ScenarioFamily = POLICY, by_mode: bool = True) -> DataFrame:
     """Relative change of the total per year, with its label.  N19, N77"""
     rows = year_window(_all_sectors(prj, by_mode))
-    return compare(rows, ["year"], family, "percent", out="annual_change").withColumn(
+    return compare(rows, ["year"], family, "percent", out="annual_change", cells="merged").withColumn(
         "label", percent_label("annual_change")
     )
 

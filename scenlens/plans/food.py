@@ -16,8 +16,10 @@ from scenlens.functions import (
 )
 from scenlens.operators import (
     compare,
+    kmeans_class,
     lookup,
     net_and_relative,
+    pretty_class,
     strict_lookup,
     sum_by,
     to_aggregate_region,
@@ -90,7 +92,7 @@ def food_sums(prj: Project, *keys: str) -> DataFrame:
 def food_relative(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Relative change of world demand by class, with its label.  N37"""
     return (
-        compare(year_window(food_sums(prj)), ["year", "demand"], family, "percent", out="annual_change")
+        compare(year_window(food_sums(prj)), ["year", "demand"], family, "percent", out="annual_change", cells="merged")
         .withColumn("label", percent_label("annual_change"))
         .withColumn("demand", F.replace("demand", F.lit("NonStaples"), F.lit("Non-staples")))
     )
@@ -129,18 +131,22 @@ def food_change(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
 
 
 def food_map(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
-    """Regional change of demand with known artefacts overwritten.  N41"""
-    return (
+    """Regional change of demand with known artefacts overwritten, and its class in the map year.  N41
+
+    Runs the jobs of `kmeans_class`.
+    """
+    rows = (
         food_change(prj, family)
         .groupBy(F.col("scenario").alias("sce"), F.col("region").alias("subRegion"), "year", "demand", "Units")
         .agg(strict_sum("value").alias("value"))
         .withColumn("value", patch("value", C.FOOD_PATCHES))
     )
+    return kmeans_class(rows, value="value", among=F.col("year") == C.LAST_YEAR)
 
 
 def food_percent(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
-    """Regional relative change of demand, artefacts overwritten.  N42"""
-    return (
+    """Regional relative change of demand, artefacts overwritten, and its class in the map year.  N42"""
+    rows = (
         compare(year_window(food_sums(prj, "region", "Units")), ["year", "region", "demand", "Units"], family, "percent")
         .select(
             F.col("scenario").alias("sce"), F.col("region").alias("subRegion"),
@@ -148,6 +154,7 @@ def food_percent(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
         )
         .withColumn("value", patch("value", C.FOOD_PATCHES))
     )
+    return pretty_class(rows, among=F.col("year") == C.LAST_YEAR)
 
 
 def food_subsector_change(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
@@ -165,8 +172,12 @@ def food_subsector_change(prj: Project, family: ScenarioFamily = POLICY) -> Data
 
 
 def food_subsector_map(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
-    """Map form of the broad food groups.  N43"""
-    return food_subsector_change(prj, family).withColumnsRenamed({"scenario": "sce", "region": "subRegion"})
+    """Map form of the broad food groups, with the class of the change in the map year.  N43
+
+    Runs the jobs of `kmeans_class`.
+    """
+    rows = food_subsector_change(prj, family).withColumnsRenamed({"scenario": "sce", "region": "subRegion"})
+    return kmeans_class(rows, among=F.col("year") == C.LAST_YEAR)
 
 
 def population_decile_aggregate(
@@ -197,12 +208,16 @@ def intake_change(prj: Project, regions: DataFrame, family: ScenarioFamily = POL
     ).withColumn("region", display_region())
 
 
-def intake_level(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
-    """Daily calories per person by decile, with the population.  N53"""
+def intake_rows(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
+    """Daily calories per person by decile, with the population, by raw region name."""
     rows = year_window(food_sums(prj, "region", "Units")).withColumn("scenario", family.canonical())
     rolled = to_aggregate_region(rows, regions, ["scenario", "region", "decile", "year", "Units"])
-    eaten = _kcal_per_day(rolled, population_decile_aggregate(prj, regions, family))
-    return eaten.withColumn("region", display_region())
+    return _kcal_per_day(rolled, population_decile_aggregate(prj, regions, family))
+
+
+def intake_level(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
+    """Daily calories per person by decile, with the population.  N53"""
+    return intake_rows(prj, regions, family).withColumn("region", display_region())
 
 
 def staple_relative(prj: Project, family: ScenarioFamily) -> DataFrame:

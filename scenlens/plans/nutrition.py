@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenlens import constants as C
 from scenlens.functions import not_in_nor_null, safe_div, strict_sum
 from scenlens.operators import lookup, year_window
 from scenlens.plans.energy import display_region
-from scenlens.plans.food import intake_level, population_decile_aggregate
+from scenlens.plans.food import intake_rows, population_decile_aggregate
 from scenlens.scenarios import POLICY, ScenarioFamily
 from scenlens.sources import Project, read_csv, read_wide_years
 
@@ -23,6 +23,7 @@ def calorie_needs(spark: SparkSession, path: str) -> DataFrame:
     needs = read_csv(
         spark, path,
         "variable string, mder_units string, mder double, std double, min double, max double",
+        positional=True,
     )
     return needs.withColumn("mder_units", F.lit("kcal/capita/day"))
 
@@ -54,15 +55,14 @@ def demographic_population(codes: DataFrame, demography: DataFrame) -> DataFrame
 
 
 def demographic_shares(population: DataFrame) -> DataFrame:
-    """Each sex and age group as part of its country's population.  N49"""
-    total = population.where(F.col("variable") == "Population").select(
-        "iso", "year", F.col("value").alias("total_pop")
-    )
-    groups = population.where(not_in_nor_null("variable", TOTAL_GROUPS))
-    return (
-        lookup(groups, total, ["iso", "year"])
-        .withColumn("demo_share", safe_div("value", "total_pop"))
-        .withColumnsRenamed({"value": "sub_pop", "unit": "pop_units"})
+    """Each sex and age group as part of its country's population.  N49
+
+    A country and year has as many rows as there are groups, so its total is read by a window: one shuffle.
+    """
+    total = F.max(F.when(F.col("variable") == "Population", F.col("value"))).over(Window.partitionBy("iso", "year"))
+    groups = population.withColumn("total_pop", total).where(not_in_nor_null("variable", TOTAL_GROUPS))
+    return groups.withColumn("demo_share", safe_div("value", "total_pop")).withColumnsRenamed(
+        {"value": "sub_pop", "unit": "pop_units"}
     )
 
 
@@ -76,6 +76,14 @@ def regional_population(shares: DataFrame, countries: DataFrame) -> DataFrame:
     return lookup(by_country, totals, ["year", "region"])
 
 
+def _placed(shares: DataFrame, countries: DataFrame) -> DataFrame:
+    """Groups of countries in their aggregate regions; `persons` is missing where the country's total is."""
+    known = F.col("total_pop").isNotNull() & (F.col("total_pop") != 0)
+    return shares.join(countries.select("country_name", "region"), "country_name", "left").withColumn(
+        "persons", F.when(known, F.col("sub_pop"))
+    )
+
+
 def regional_demography(shares: DataFrame, countries: DataFrame) -> DataFrame:
     """Part of each sex and age group in the population of an aggregate region.
 
@@ -83,10 +91,8 @@ def regional_demography(shares: DataFrame, countries: DataFrame) -> DataFrame:
     added up here, before scenarios and deciles multiply the rows, on which
     neither the shares nor the weights depend.
     """
-    placed = shares.join(countries.select("country_name", "region"), "country_name", "left")
-    groups = placed.groupBy("region", "year", "variable").agg(
-        strict_sum(F.col("demo_share") * F.col("total_pop")).alias("persons")
-    )
+    placed = _placed(shares, countries)
+    groups = placed.groupBy("region", "year", "variable").agg(strict_sum("persons").alias("persons"))
     totals = (
         placed.select("year", "country_name", "region", "total_pop").distinct()
         .groupBy("region", "year").agg(strict_sum("total_pop").alias("total"))
@@ -106,12 +112,17 @@ def population_by_sex_age(shares: DataFrame, countries: DataFrame, people: DataF
 
 
 def need_per_person(shares: DataFrame, countries: DataFrame, needs: DataFrame) -> DataFrame:
-    """Mean daily need per aggregate region and year: central, low and high."""
-    parts = year_window(regional_demography(shares, countries))
-    return (
-        parts.join(needs.select("variable", "mder", "min", "max"), "variable", "left")
-        .groupBy("region", "year")
-        .agg(*[strict_sum(F.col(c) * F.col("part")).alias(c) for c in ("mder", "min", "max")])
+    """Mean daily need per aggregate region and year: central, low and high.
+
+    The groups' needs and the countries' totals are added up country by country and then by region, in one chain.
+    """
+    bounds = ("mder", "min", "max")
+    fed = year_window(_placed(shares, countries)).join(needs.select("variable", *bounds), "variable", "left")
+    by_country = fed.groupBy("region", "year", "country_name", "total_pop").agg(
+        *[strict_sum(F.col(c) * F.col("persons")).alias(c) for c in bounds]
+    )
+    return by_country.groupBy("region", "year").agg(
+        *[safe_div(strict_sum(c), strict_sum("total_pop")).alias(c) for c in bounds]
     )
 
 
@@ -139,17 +150,16 @@ def adequacy(
     family: ScenarioFamily = POLICY,
 ) -> DataFrame:
     """Dietary energy supply in percent of the need; below 100 is too little.  N54"""
+    need = need_per_person(shares, countries, needs)
+    eaten = intake_rows(prj, regions, family)
     people = population_decile_aggregate(prj, regions, family)
-    need = calorie_requirement(shares, countries, needs, people)
-    eaten = intake_level(prj, regions, family).select("scenario", "region", "year", "decile", "value", "pop")
-    joined = lookup(need, eaten, ["scenario", "region", "year", "decile"])
+    fed = lookup(need, people, ["region", "year"])
+    joined = lookup(fed, eaten.drop("pop", "Units"), ["scenario", "region", "year", "decile"])
 
     def index(total):
-        return safe_div("value", total) * F.col("pop") * C.PERCENT
+        return safe_div("value", F.col(total) * F.col("pop")) * F.col("pop") * C.PERCENT
 
     return joined.select(
-        "year", "region", "scenario", "decile",
-        index("denominator_sum").alias("adesa"),
-        index("min_denominator_sum").alias("min_adesa"),
-        index("max_denominator_sum").alias("max_adesa"),
+        "year", display_region().alias("region"), "scenario", "decile",
+        index("mder").alias("adesa"), index("min").alias("min_adesa"), index("max").alias("max_adesa"),
     )

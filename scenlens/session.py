@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int = 8, name: str = "scenlens") -> SparkSession:
+def local_session(cpus: int = 8, name: str = "scenlens", shared: str | None = None) -> SparkSession:
+    """`shared` is the folder of intermediate files; one machine may take a temporary one."""
     return (
         SparkSession.builder.master(f"local[{cpus}]").appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="scenlens-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

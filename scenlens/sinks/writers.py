@@ -11,7 +11,8 @@ from scenlens.functions import half_even, number_text, ordinal
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Parquet, one file per task: for results of any size."""
+    """Parquet, for results of any size; rows of a partition are brought together first, large ones in several files."""
+    df = df.hint("rebalance", *partition_by) if partition_by else df
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 

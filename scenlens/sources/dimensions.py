@@ -32,7 +32,7 @@ def code_list(spark: SparkSession, path: str) -> DataFrame:
     """Country codes to model regions: `iso, country_name, legacy_region, region_id`."""
     return read_csv(
         spark, path, "iso string, country_name string, legacy_region string, region_id int",
-        comment="#",
+        comment="#", positional=True,
     )
 
 
@@ -49,7 +49,7 @@ def policy_targets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def policy_caps(spark: SparkSession, path: str) -> DataFrame:
-    """Caps nested per region in XML, one row per region and year."""
+    """Caps nested per region in XML, one row per region and year; a region without caps has one row without year and cap."""
     schema = (
         "_name string, ghgpolicy struct<_name:string, market:string, "
         "constraint:array<struct<_VALUE:double,_year:int>>>"
@@ -60,7 +60,7 @@ def policy_caps(spark: SparkSession, path: str) -> DataFrame:
             F.col("_name").alias("region"),
             F.col("ghgpolicy.market").alias("market"),
             F.col("ghgpolicy._name").alias("policy"),
-            F.explode("ghgpolicy.constraint").alias("c"),
+            F.explode_outer("ghgpolicy.constraint").alias("c"),
         )
         .select("region", "market", "policy", F.col("c._year").alias("year"), F.col("c._VALUE").alias("cap"))
     )

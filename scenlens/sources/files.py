@@ -1,61 +1,139 @@
 """Delimited files with declared schemas.
 
-Schemas apply by position, so headers that are repaired, doubled or carry a
-byte-order mark never leak into column names, and no inference pass is run.
+Columns are found by the names in the header, in any order, case ignored; no inference pass is run.  Headers that are
+repaired or doubled can be read by position instead.  What cannot be read fails the job: a line with too
+few or too many fields, a value that is not of its type, a declared column that a file lacks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import csv
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenlens.operators.reshape import to_long
 
-MISSING_TEXT = "#N/A"
+MISSING_TEXTS = ("NA", "#N/A")
+
+
+def _struct(schema: str | T.StructType) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+
+def _marks(missing: str | Sequence[str]) -> list[str]:
+    return [missing] if isinstance(missing, str) else list(missing)
+
+
+def _typed(text: Column, field: T.StructField, marks: list[str]) -> Column:
+    """The text as the declared type; an empty text or one of the marks is missing, any other misfit fails."""
+    gap = text.isNull() | text.isin(["", *marks])
+    value = F.trim(text).try_cast(field.dataType) if not isinstance(field.dataType, T.StringType) else text
+    misfit = F.raise_error(F.concat(F.lit(f"column {field.name}: not a {field.dataType.simpleString()}: "), text))
+    return F.when(gap, None).when(value.isNotNull(), value).otherwise(misfit.cast(field.dataType)).alias(field.name)
+
+
+def _fronts(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
+    """Lines of the block that begins each file, numbered as the scan meets them: file, id, value."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    kept = (F.col("block") == 0) & (F.length("value") > 0)
+    return lines.where(kept & ~F.col("value").startswith(comment) if comment else kept)
+
+
+def _places(header: str, struct: T.StructType, path: str) -> list[str]:
+    """Declared names in the order of the header; names of other columns are made up."""
+    found = [c.strip().lower() for c in next(csv.reader([header.lstrip("﻿")]))]
+    declared = {f.name.lower(): f.name for f in struct.fields}
+    lacking = [f.name for f in struct.fields if f.name.lower() not in found]
+    twice = sorted({c for c in found if c in declared and found.count(c) > 1})
+    if lacking or twice:
+        raise ValueError(f"{path}: header {found} lacks {lacking}, doubles {twice}")
+    return [declared.get(c, f"__other_{i}") for i, c in enumerate(found)]
 
 
 def read_csv(
     spark: SparkSession, path: str, schema: str | T.StructType, *,
-    missing: str = MISSING_TEXT, comment: str | None = None,
+    missing: str | Sequence[str] = MISSING_TEXTS, comment: str | None = None, positional: bool = False,
 ) -> DataFrame:
-    """CSV with a header line; `missing` marks absent values."""
-    reader = spark.read.schema(schema).option("header", True).option("nullValue", missing)
+    """CSV with a header line, the declared columns in the declared order.
+
+    `missing` marks absent values.  All files of a folder must have the same header.  `positional` takes the
+    header as it is and the columns by their place; then every line has exactly the declared fields.
+    """
+    struct = _struct(schema)
+    names = [f.name for f in struct.fields]
+    header = None
+    if not positional:
+        front = _fronts(spark, path, comment).orderBy("id").select("value").take(1)
+        if not front:
+            return spark.createDataFrame([], struct)
+        names = _places(front[0].value, struct, path)
+        header = [c.strip() for c in next(csv.reader([front[0].value.lstrip("﻿")]))]
+    reader = (
+        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in (header or names)]))
+        .option("header", True).option("enforceSchema", positional).option("mode", "FAILFAST").option("columnPruning", False)
+    )
     if comment:
         reader = reader.option("comment", comment)
-    return reader.csv(path)
+    raw = reader.csv(path).toDF(*names)
+    return raw.select(*[_typed(F.col(f"`{f.name}`"), f, _marks(missing)) for f in struct.fields])
 
 
 def read_csv_after(
     spark: SparkSession, path: str, schema: str | T.StructType, skip: int, *,
-    missing: str = MISSING_TEXT,
+    missing: str | Sequence[str] = MISSING_TEXTS, positional: bool = False,
 ) -> DataFrame:
-    """CSV file whose header follows `skip` free-text lines.
+    """CSV whose header follows `skip` free-text lines; blank lines do not count.
 
-    The first `skip + 1` lines are fetched, and lines with one of those texts
-    are left out of the parallel read, so the file is still read in splits.
-    For preamble lines that share a mark use `read_csv(comment=...)`.
+    The front lines of every file are left out by their place in the file's first block, so a line of data
+    may repeat their text, and the files are still read in splits.
     """
-    struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in struct.fields)
-    lines = spark.read.text(path)
-    front = [r.value for r in lines.take(skip + 1)]
-    rows = lines.where(~F.col("value").isin(front) & (F.length("value") > 0))
-    return rows.select(F.from_csv("value", ddl, {"nullValue": missing}).alias("row")).select("row.*")
+    struct = _struct(schema)
+    front = _fronts(spark, path)
+    first = [r.value for r in front.orderBy("id").select("value").take(skip + 1)]
+    if len(first) <= skip:
+        return spark.createDataFrame([], struct)
+    names = [f.name for f in struct.fields] if positional else _places(first[skip], struct, path)
+    # the place of a line is its number less that of its file's first line: a row per file
+    starts = front.groupBy("file").agg(F.min("id").alias("start"))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+    ).where(F.length("value") > 0)
+    ranked = front.join(F.broadcast(starts), "file").where(F.col("id") <= F.col("start") + _BLANKS + skip)
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("id"))
+    heads = ranked.withColumn("nth", nth).where(F.col("nth") <= skip + 1).select(F.col("id").alias("head"))
+    rows = lines.join(F.broadcast(heads), F.col("id") == F.col("head"), "left_anti")
+    ddl = ", ".join(f"`{n}` string" for n in names) + ", `__broken` string"
+    parsed = rows.select("value", F.from_csv("value", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}).alias("r"))
+    # not a filter, which would move below the join and meet the front lines
+    misfit = F.raise_error(F.concat(F.lit("not a line of the file's columns: "), "value")).cast("string")
+    text = lambda name: F.when(F.col("r.__broken").isNull(), F.col(f"r.`{name}`")).otherwise(misfit)
+    return parsed.select(*[_typed(text(f.name), f, _marks(missing)) for f in struct.fields])
+
+
+#: Blank lines that may stand before the header of a file.
+_BLANKS = 1000
 
 
 def read_sheets(
     spark: SparkSession, paths: Mapping[str, str], schemas: Mapping[str, str | T.StructType]
 ) -> dict[str, DataFrame]:
-    """One table per workbook sheet, each exported as CSV."""
-    return {sheet: read_csv(spark, path, schemas[sheet]) for sheet, path in paths.items()}
+    """One table per workbook sheet, each exported as CSV; sheets have doubled headers and are read by position."""
+    return {sheet: read_csv(spark, path, schemas[sheet], positional=True) for sheet, path in paths.items()}
 
 
 def read_wide_years(df: DataFrame, ids: list[str], value: str = "value") -> DataFrame:
-    """Long form of a table with one column per year (`2050` or `X2050`)."""
-    years = [c for c in df.columns if c not in ids and c.lstrip("X").isdigit()]
+    """Long form of a table with one column per year (`2050` or `X2050`); any other column is an error."""
+    years = [c for c in df.columns if c not in ids]
+    odd = [c for c in years if not c.removeprefix("X").isdigit()]
+    if odd:
+        raise ValueError(f"columns {odd} are neither ids nor years")
     long = to_long(df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in years]),
                    ids, years, "year", value)
     return long.withColumn("year", F.ltrim(F.col("year"), F.lit("X")).cast("int"))

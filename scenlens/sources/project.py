@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 
@@ -14,16 +13,11 @@ _INDEX = "_index"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's `spark.checkpoint.dir`.
-
-    Only a local session without that setting falls back to a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="scenlens-")
+    """Folder every executor can reach: the session's `spark.checkpoint.dir`, or what `setCheckpointDir` was given."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
 
 
 def _slug(name: str) -> str:
@@ -70,7 +64,7 @@ class Project:
     def save(df: DataFrame, root: str, name: str, partition_by: tuple[str, ...] = ("scenario",)) -> None:
         """Write one named table, partitioned so that scenario filters prune files."""
         folder = f"{_slug(name)}_{uuid.uuid4().hex[:8]}"
-        df.write.partitionBy(*partition_by).parquet(f"{root}/{folder}")
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(f"{root}/{folder}")
         index = df.sparkSession.range(1).select(
             F.lit(name).alias("query"), F.lit(folder).alias("folder"), F.current_timestamp().alias("saved")
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenlens.constants import REGIONS
+from scenlens.sources import shared_folder
 from testbed.tables import DUCK, Testbed, side_sql, study_sql
 
 
@@ -33,6 +35,11 @@ class Entry:
         return f"SELECT * REPLACE ({swaps}) FROM ({self.sql}) AS unrounded"
 
 
+def fresh(t, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(t.spark)}/scenlens/{name}-{uuid.uuid4().hex}"
+
+
 def strict(value: str, cond: str | None = None) -> str:
     """SQL of a sum that is NULL when a counted value is."""
     if cond is None:
@@ -109,4 +116,36 @@ def number_text(value: str, digits: int) -> str:
     return f"regexp_replace({text}, '^-0$', '0')"
 
 
+def pretty(src: str, among: str = "TRUE") -> str:
+    """SQL of `src` with the break below and above each value, found in a generated list of breaks."""
+    known = f"value IS NOT NULL AND NOT isnan(value) AND {among}"
+    return f"""SELECT x.*, class_from, class_to FROM {src} AS x LEFT JOIN (
+        SELECT m * d AS n, CASE WHEN p >= 0 THEN (m * d) * pow(10e0, p) ELSE (m * d) / pow(10e0, -p) END AS class_from,
+            CASE WHEN p >= 0 THEN ((m + 1) * d) * pow(10e0, p) ELSE ((m + 1) * d) / pow(10e0, -p) END AS class_to
+        FROM (SELECT p, d, unnest(generate_series(CAST(floor(lo / (d * u)) AS BIGINT) - 2, CAST(floor(hi / (d * u)) AS BIGINT) + 2)) AS m
+            FROM (SELECT *, coalesce(CASE WHEN 10 * u - c < 1.5e0 * (c - 5 * u) THEN 10 WHEN 5 * u - c < 2.75e0 * (c - 2 * u) THEN 5
+                WHEN 2 * u - c < 1.5e0 * (c - u) THEN 2 END, 1) AS d
+                FROM (SELECT *, pow(10e0, p) AS u FROM (SELECT *, coalesce(CAST(floor(log10(c)) AS INTEGER), 0) AS p
+                FROM (SELECT min(value) AS lo, max(value) AS hi, CASE WHEN max(value) > min(value) THEN (max(value) - min(value)) / 5 END AS c
+                FROM {src} WHERE {known}) AS r) AS q) AS e) AS t) AS s
+    ) AS breaks ON {known} AND value >= class_from AND value < class_to"""
+
+
+def kmeans(src: str, k: int = 5, among: str = "TRUE") -> str:
+    """SQL of `src` with its k-means class: centres from evenly spaced seeds, moved until none does."""
+    known = f"value IS NOT NULL AND NOT isnan(value) AND {among}"
+    whole = "CAST(round_even(value * 1000000, 0) AS HUGEINT)"
+    at = f"1 + len(list_filter(range(1, {k}), lambda j: CAST(v AS DOUBLE) >= (cs[j] + cs[j + 1]) / 2))"
+    return f"""SELECT x.* EXCLUDE (v), CASE WHEN {known} THEN CAST({at} AS INTEGER) END AS class
+        FROM (SELECT *, CASE WHEN {known} THEN {whole} END AS v FROM {src}) AS x, (
+        WITH RECURSIVE pts AS (SELECT {whole} AS v FROM {src} WHERE {known}),
+        km AS (SELECT 0 AS it, list(lo + (hi - lo) * i / {k - 1} ORDER BY i) AS cs, CAST(NULL AS DOUBLE[]) AS prev
+            FROM (SELECT CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM pts) AS r, (SELECT unnest(range({k})) AS i) AS g
+        UNION ALL SELECT it + 1, list(coalesce(a, cs[i]) ORDER BY i), cs FROM (
+            SELECT it, cs, i, CAST(sum(v) FILTER (WHERE cls = i) AS DOUBLE) / nullif(count(*) FILTER (WHERE cls = i), 0) AS a
+            FROM (SELECT it, cs, v, {at} AS cls FROM km, pts WHERE prev IS NULL OR cs <> prev) AS p,
+                (SELECT unnest(range(1, {k + 1})) AS i) AS g GROUP BY it, cs, i) AS n GROUP BY it, cs)
+        SELECT arg_max(cs, it) AS cs FROM km) AS fixed"""
+
+
 WINDOW = "year > 2015 AND year <= 2050"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +27,7 @@ from scenlens.functions import (
 )
 from scenlens.operators import (
     annual_series,
+    broadcast_if_small,
     compare,
     cross_with,
     decile_gini,
@@ -38,6 +37,7 @@ from scenlens.operators import (
     gap_to_target,
     inline_table,
     kmeans_class,
+    lookup,
     palma,
     pivot_cells,
     pivot_sums,
@@ -65,7 +65,7 @@ from scenlens.sources import (
     read_wide_years,
     shared_folder,
 )
-from testbed.entry import Entry, canon, long, number_text as number_sql, wide
+from testbed.entry import Entry, canon, fresh, kmeans, long, number_text as number_sql, pretty, wide
 
 RAW = {"N": "RegGHGPol_Ineq", "A": "RegGHGPol_Gini25_Ineq", "R": "RegGHGPol_Gini50_Ineq"}
 RAW_SQL = "CASE l_returnflag WHEN 'N' THEN 'RegGHGPol_Ineq' WHEN 'A' THEN 'RegGHGPol_Gini25_Ineq' ELSE 'RegGHGPol_Gini50_Ineq' END"
@@ -439,22 +439,21 @@ add("q_complete_cases",
         t.base("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", gap().alias("v")), "o_orderkey", "left").na.drop("any"),
     """SELECT o_orderkey, o_orderstatus, l_linenumber, l_quantity AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity <> 1""")
 add("q_semi_year",
-    lambda t: orders(t).join(
-        lines(t).where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).select("year").distinct(), "year", "left_semi"
-    ).groupBy("year").agg(strict_sum("value").alias("value")),
+    lambda t: orders(t).groupBy("year").agg(strict_sum("value").alias("value")).join(
+        lines(t).where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).select("year").distinct(), "year", "left_semi"),
     f"""SELECT year, sum(value) AS value FROM ({ORDERS_SQL}) AS o WHERE EXISTS
     (SELECT 1 FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND year(l_shipdate) = o.year) GROUP BY year""")
 
 # ---- joins ---------------------------------------------------------------------------
 
 add("q_alias_join",
-    lambda t: t.base("nation").join(
-        inline_table(t.spark, [("NATION_1", "First"), ("NATION_2", "Second")], "n_name string, alias string"), "n_name", "left"
+    lambda t: lookup(
+        t.base("nation"), inline_table(t.spark, [("NATION_1", "First"), ("NATION_2", "Second")], "n_name string, alias string"), ["n_name"]
     ).select("n_nationkey", F.translate(F.coalesce("alias", "n_name"), "_", " ").alias("region")),
     """SELECT n_nationkey, CASE n_name WHEN 'NATION_1' THEN 'First' WHEN 'NATION_2' THEN 'Second' ELSE replace(n_name, '_', ' ') END AS region FROM nation""")
 add("q_food_group_join",
-    lambda t: t.base("part").join(
-        inline_table(t.spark, [("ECONOMY", "Basic"), ("SMALL", "Basic"), ("LARGE", "Big")], "p_type string, grp string"), "p_type", "left"
+    lambda t: lookup(
+        t.base("part"), inline_table(t.spark, [("ECONOMY", "Basic"), ("SMALL", "Basic"), ("LARGE", "Big")], "p_type string, grp string"), ["p_type"]
     ).groupBy("grp").agg(strict_sum("p_size").alias("size"), F.count(F.lit(1)).alias("n")),
     """SELECT CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'Basic' WHEN p_type = 'LARGE' THEN 'Big' END AS grp,
     CAST(sum(p_size) AS BIGINT) AS size, count(*) AS n FROM part GROUP BY 1""")
@@ -467,7 +466,7 @@ add("q_multi_key_join",
 add("q_null_safe_lookup",
     lambda t: strict_lookup(
         t.base("lineitem").select("l_orderkey", F.nullif("l_linenumber", F.lit(7)).alias("k")),
-        t.base("lineitem").groupBy(F.nullif("l_linenumber", F.lit(7)).alias("k")).agg(F.sum("l_quantity").alias("total")),
+        broadcast_if_small(t.base("lineitem").groupBy(F.nullif("l_linenumber", F.lit(7)).alias("k")).agg(F.sum("l_quantity").alias("total"))),
         ["k"], unique=True),
     """SELECT l_orderkey, nullif(l_linenumber, 7) AS k, total FROM lineitem
     JOIN (SELECT l_linenumber AS n, sum(l_quantity) AS total FROM lineitem GROUP BY n) AS s ON n = l_linenumber""")
@@ -528,8 +527,7 @@ add("q_choose_missing",
     """SELECT c_custkey, CASE WHEN c_nationkey = 4 THEN NULL WHEN c_nationkey > 10 THEN 'high' ELSE 'low' END AS a,
     CASE WHEN c_nationkey > 10 THEN 'high' ELSE 'low' END AS b FROM customer""")
 add("q_sentinel_cast",
-    lambda t: t.base("part").select(
-        "p_partkey", F.when(F.col("p_size") % 7 == 0, F.lit("#N/A")).otherwise(F.col("p_size").cast("string")).try_cast("double").alias("v")),
+    lambda t: sentinel_round_trip(t),
     "SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS v FROM part")
 add("q_replace_na",
     lambda t: t.base("orders").select("o_orderkey").join(
@@ -581,49 +579,64 @@ add("q_class_fixed",
     """SELECT c_custkey, c_acctbal AS value, CASE WHEN c_acctbal < 1 THEN 0 WHEN c_acctbal < 2.17 THEN 1 WHEN c_acctbal < 10 THEN 2
     WHEN c_acctbal < 30 THEN 3 WHEN c_acctbal < 50 THEN 4 WHEN c_acctbal < 70 THEN 5 WHEN c_acctbal < 100 THEN 6
     WHEN c_acctbal < 500 THEN 7 WHEN c_acctbal < 1000 THEN 8 ELSE 9 END AS class FROM customer""")
-add("q_class_pretty",
-    lambda t: pretty_class(t.base("customer").select("c_custkey", F.col("c_acctbal").alias("value"))),
-    """SELECT c_custkey, c_acctbal AS value, floor(c_acctbal / step) * step AS class_from, (floor(c_acctbal / step) + 1) * step AS class_to
-    FROM customer, (SELECT CASE WHEN 10 * u - c < 1.5e0 * (c - 5 * u) THEN 10 * u WHEN 5 * u - c < 2.75e0 * (c - 2 * u) THEN 5 * u
-    WHEN 2 * u - c < 1.5e0 * (c - u) THEN 2 * u ELSE u END AS step FROM (SELECT c, pow(10e0, floor(log10(c))) AS u
-    FROM (SELECT (max(c_acctbal) - min(c_acctbal)) / 5 AS c FROM customer) AS a) AS b) AS s""")
-add("q_class_kmeans",
-    lambda t: kmeans_class(t.base("customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("value")), 4), None)
+BALANCES = """SELECT c_custkey, CASE c_custkey % 50 WHEN 1 THEN floor(c_acctbal / 1000) * 1000 WHEN 2 THEN CAST('NaN' AS DOUBLE)
+    ELSE c_acctbal END AS value FROM customer"""
 
-# ---- files: written to the shared folder and read back ---------------------------------------------
+
+def balances(t) -> DataFrame:
+    """Account balances; some lie on a round number, some are not numbers."""
+    kind, value = F.col("c_custkey") % 50, F.col("c_acctbal")
+    odd = F.when(kind == 1, F.floor(value / 1000) * 1000).when(kind == 2, F.lit(float("nan"))).otherwise(value)
+    return t.base("customer").select("c_custkey", odd.cast("double").alias("value"))
 
 
-def fresh(t, name: str) -> str:
-    return f"{shared_folder(t.spark)}/scenlens/{name}-{uuid.uuid4().hex}"
+add("q_class_pretty", lambda t: pretty_class(balances(t)), f"WITH b AS ({BALANCES}) {pretty('b')}")
+add("q_class_kmeans",
+    lambda t: kmeans_class(t.base("customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("value")), 4),
+    f"WITH b AS (SELECT c_nationkey, avg(c_acctbal) AS value FROM customer GROUP BY ALL) {kmeans('b', 4)}")
+
+# ---- files: written to the shared folder and read back ---------------------------------------------
 
 
 CUSTOMER_SCHEMA = "custkey bigint, name string, nation int, balance double, segment string"
 
 
 def csv_round_trip(t) -> DataFrame:
-    """CSV written with `NA` and a sentinel, read back under a declared schema."""
-    path = fresh(t, "customer-csv")
-    write_report(t.base("customer").withColumn("c_acctbal", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))), path)
-    return read_csv(t.spark, path, CUSTOMER_SCHEMA, missing="NA")
+    """CSV written with `NA` and a sentinel, in another order and with a column to spare, read back by name."""
+    path, balance = fresh(t, "customer-csv"), F.col("c_acctbal")
+    text = F.when(balance >= 0, F.when(balance >= 100, balance.cast("string")).otherwise("#N/A"))
+    write_report(t.base("customer").select(
+        F.col("c_mktsegment").alias("Segment"), text.alias("balance"), F.lit("x").alias("spare"),
+        F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_custkey").alias("custkey")), path)
+    return read_csv(t.spark, path, CUSTOMER_SCHEMA)
 
 
 add("s1_csv_source", csv_round_trip,
-    """SELECT c_custkey AS custkey, c_name AS name, c_nationkey AS nation, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance,
+    """SELECT c_custkey AS custkey, c_name AS name, c_nationkey AS nation, CASE WHEN c_acctbal >= 100 THEN c_acctbal END AS balance,
     c_mktsegment AS segment FROM customer""")
 
 
+def sentinel_round_trip(t) -> DataFrame:
+    """Sizes written as text with a mark for missing ones."""
+    path, size = fresh(t, "sizes-csv"), F.col("p_size")
+    write_report(t.base("part").select("p_partkey", F.when(size % 7 == 0, "#N/A").otherwise(size.cast("string")).alias("v")), path)
+    return read_csv(t.spark, path, "p_partkey bigint, v double")
+
+
 def preamble_round_trip(t) -> DataFrame:
-    """Text file with two lines before its header."""
+    """Text file with two lines before its header, one of which is also a line of data."""
     path = fresh(t, "segment-text")
     rows = t.base("customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("c_acctbal")).alias("v"))
     body = rows.select(F.concat_ws(",", "c_mktsegment", "n", "v").alias("value"), F.lit(1).alias("o"))
-    front = t.spark.createDataFrame([("first line", -3), ("second, line", -2), ("segment,n,v", -1)], "value string, o int")
+    front = t.spark.createDataFrame(
+        [("first line", -3), ("second,1,2", -2), ("segment,n,v", -1), ("second,1,2", 2)], "value string, o int")
     front.union(body).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
     return read_csv_after(t.spark, path, "segment string, n bigint, v bigint", 2)
 
 
 add("s2_csv_after_preamble", preamble_round_trip,
-    "SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(floor(c_acctbal)) AS BIGINT) AS v FROM customer GROUP BY c_mktsegment")
+    """SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(floor(c_acctbal)) AS BIGINT) AS v FROM customer GROUP BY c_mktsegment
+    UNION ALL SELECT 'second', 1, 2""")
 
 
 def stored_project(t) -> Project:
@@ -657,13 +670,15 @@ add("s6_sheets", sheet_round_trip,
 
 
 def caps_round_trip(t) -> DataFrame:
-    """Caps written as nested XML per nation and read back flat."""
+    """Caps written as nested XML per nation, one of them without caps, and read back flat."""
     path = fresh(t, "caps-xml")
     caps = customer_rows(t).groupBy("c_nationkey", "year").agg(strict_sum("value").alias("cap"))
     nested = strict_lookup(
         caps.withColumnRenamed("c_nationkey", "n_nationkey"), t.base("nation").select("n_nationkey", "n_name"), ["n_nationkey"], unique=True
     ).groupBy("n_name").agg(F.collect_list(F.struct(F.col("cap").alias("_VALUE"), F.col("year").alias("_year"))).alias("constraint"))
-    nested.select(F.col("n_name").alias("_name"), F.struct(
+    nested.unionByName(
+        t.base("nation").where("n_nationkey = 0").select(F.lit("Nowhere").alias("n_name")), allowMissingColumns=True
+    ).select(F.col("n_name").alias("_name"), F.struct(
         F.lit("GHG").alias("_name"), F.col("n_name").alias("market"), "constraint").alias("ghgpolicy")).write.format("xml").option(
         "rowTag", "region").option("rootTag", "world").save(path)
     return policy_caps(t.spark, path)
@@ -671,14 +686,14 @@ def caps_round_trip(t) -> DataFrame:
 
 add("s9_xml_caps", caps_round_trip,
     f"""SELECT n_name AS region, n_name AS market, 'GHG' AS policy, year, sum(value) AS cap FROM ({CUSTOMER_SQL}) AS c
-    JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name, year""")
+    JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name, year UNION ALL SELECT 'Nowhere', 'Nowhere', 'GHG', NULL, NULL""")
 
 
 def targets_round_trip(t) -> DataFrame:
     """Targets with a comma inside a quoted label."""
     path = fresh(t, "targets-csv")
     write_report(lines(t).groupBy("year").agg(strict_sum("l_quantity").alias("value")).select(
-        F.lit("NDC,date=2023").alias("sce"), F.lit("World").alias("region"), "year", F.lit("MtCO2e").alias("Units"), "value"), path)
+        F.lit("World").alias("region"), "year", "value", F.lit("NDC,date=2023").alias("sce"), F.lit("MtCO2e").alias("Units")), path)
     return policy_targets(t.spark, path)
 
 

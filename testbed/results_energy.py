@@ -6,7 +6,9 @@ from scenlens import scenarios as S
 from scenlens.plans import energy as E
 from scenlens.plans import food as D
 from scenlens.sources import food_groups, region_map
-from testbed.entry import WINDOW, Entry, canon, display, long, number_text, region_rows, strict, study, wide
+from testbed.entry import (
+    WINDOW, Entry, canon, display, kmeans, long, number_text, pretty, region_rows, strict, study, wide,
+)
 
 BLD = {"bld": E.BUILDINGS}
 IND = {"ind": E.INDUSTRY}
@@ -321,22 +323,23 @@ FOOD: dict[str, Entry] = {
         study(DEMAND, long("w", "year, region, demand, decile, Units"), **ROWS, w=wide("rows", "year, region, demand, decile, Units"))),
     "n41_food_map": Entry(
         lambda t: D.food_map(t.project()),
-        study(DEMAND, f"SELECT * REPLACE ({PATCH} AS value) FROM m", **ROWS,
+        study(DEMAND, kmeans("km", among="year = 2050"), **ROWS,
             w=wide("rows", "year, region, demand, decile, Units"), l=long("w", "year, region, demand, decile, Units"),
             m=f"""SELECT scenario AS sce, region AS "subRegion", year, demand, Units, {strict('value')} AS value
-                FROM l GROUP BY scenario, region, year, demand, Units""")),
+                FROM l GROUP BY scenario, region, year, demand, Units""", km=f"SELECT * REPLACE ({PATCH} AS value) FROM m")),
     "n42_food_percent": Entry(
         lambda t: D.food_percent(t.project()),
-        study(DEMAND, f"SELECT * REPLACE ({PATCH} AS value) FROM m", **ROWS,
+        study(DEMAND, pretty("pm", "year = 2050"), **ROWS,
             w=wide("rows", "year, region, demand, Units"), l=long("w", "year, region, demand, Units", "percent"),
-            m="""SELECT scenario AS sce, region AS "subRegion", year, demand, value, '%' AS Units FROM l""")),
+            m="""SELECT scenario AS sce, region AS "subRegion", year, demand, value, '%' AS Units FROM l""",
+            pm=f"SELECT * REPLACE ({PATCH} AS value) FROM m")),
     "n43_food_subsector_change": Entry(
         lambda t: D.food_subsector_change(t.project()),
         study(TYPES, long("sw", "year, region, subsector, Units"), **SUBCTE)),
     "n43_food_subsector_map": Entry(
         lambda t: D.food_subsector_map(t.project()),
-        study(TYPES, 'SELECT * RENAME (scenario AS sce, region AS "subRegion") FROM l', **SUBCTE,
-            l=long("sw", "year, region, subsector, Units"))),
+        study(TYPES, kmeans("km", among="year = 2050"), **SUBCTE, l=long("sw", "year, region, subsector, Units"),
+            km='SELECT * RENAME (scenario AS sce, region AS "subRegion") FROM l')),
     "n44_population_decile_aggregate": Entry(
         lambda t: D.population_decile_aggregate(t.project(), region_map(t.spark)),
         study(PEOPLE, "SELECT * FROM pd", **POPAGG), {"pop": 6}),

@@ -16,8 +16,11 @@ from scenlens.plans import nutrition as N
 from scenlens.plans import policy_cost as PC
 from scenlens.plans import prices as P
 from scenlens.plans import sensitivity as SA
+from scenlens.sinks import write_report
 from scenlens.sources import gwp, market_regions, region_map
-from testbed.entry import WINDOW, Entry, canon, display, long, number_text, region_rows, side, strict, study, wide
+from testbed.entry import (
+    WINDOW, Entry, canon, display, fresh, kmeans, long, number_text, pretty, region_rows, side, strict, study, wide,
+)
 from testbed.results_energy import POPAGG, ROWS, roll
 from testbed.tables import DUCK, side_sql
 
@@ -78,9 +81,17 @@ EATEN = {
         value * 1e12 / nullif(pop, 0) / 365 AS value, pop FROM fr r JOIN pd USING (year, region, decile, scenario)""",
 }
 
+
+def needs_file(t):
+    """The needs written as a file and read back by the plan."""
+    path = fresh(t, "needs")
+    write_report(t.side("needs"), path)
+    return N.calorie_needs(t.spark, path)
+
+
 OTHER: dict[str, Entry] = {
     "n46_calorie_needs": Entry(
-        lambda t: t.side("needs").withColumn("mder_units", F.lit("kcal/capita/day")),
+        lambda t: needs_file(t),
         side(["needs"], "SELECT * REPLACE ('kcal/capita/day' AS mder_units) FROM needs")),
     "n47_region_of_country": Entry(lambda t: countries(t), side(["codes"], "SELECT * FROM ckey", **KEY)),
     "n48_demographic_population": Entry(
@@ -157,7 +168,8 @@ OTHER |= {
         lambda t: DM.demand_inequality(t.project()),
         study(INEQ, f"SELECT *, {LEVELS} FROM pm", **INEQCTE, **PALMAP)),
     "n58_demand_inequality_classes": Entry(
-        lambda t: kmeans_class(DM.demand_inequality(t.project()).withColumnRenamed("class", "demand")), None),
+        lambda t: kmeans_class(DM.demand_inequality(t.project()).withColumnRenamed("class", "demand")),
+        study(INEQ, kmeans("km"), **INEQCTE, **PALMAP, km=f"SELECT * RENAME (class AS demand) FROM (SELECT *, {LEVELS} FROM pm) AS l")),
     "n59_demand_inequality_ratio": Entry(
         lambda t: DM.demand_inequality_ratio(t.project()),
         study(INEQ, """SELECT "subRegion", class, year, b AS "Baseline", g25 AS "Gini25", g50 AS "Gini50",
@@ -172,7 +184,9 @@ OTHER |= {
     "n62_demand_gini": Entry(
         lambda t: DM.demand_gini(t.project()), study(INEQ, f"SELECT *, {LEVELS} FROM gi", **INEQCTE, **GINI), {"value": 10}),
     "n62_demand_gini_classes": Entry(
-        lambda t: kmeans_class(DM.demand_gini(t.project()).withColumnRenamed("class", "demand")), None),
+        lambda t: kmeans_class(DM.demand_gini(t.project()).withColumnRenamed("class", "demand")),
+        study(INEQ, kmeans("km"), **INEQCTE, **GINI, km=f"SELECT * RENAME (class AS demand) FROM (SELECT *, {LEVELS} FROM gi) AS l"),
+        {"value": 10}),
 }
 
 # ---- prices ----------------------------------------------------------------
@@ -203,16 +217,6 @@ def pct_text(v):
     return f"{number_text(v, 1)} || '%'"
 
 
-PRETTY = """(SELECT CASE WHEN 10 * u - c < 1.5e0 * (c - 5 * u) THEN 10 * u WHEN 5 * u - c < 2.75e0 * (c - 2 * u) THEN 5 * u
-    WHEN 2 * u - c < 1.5e0 * (c - u) THEN 2 * u ELSE u END AS step
-    FROM (SELECT c, pow(10e0, floor(log10(c))) AS u FROM (SELECT (max(value) - min(value)) / 5 AS c FROM {src}) AS a) AS b) AS s"""
-
-
-def pretty(src: str) -> str:
-    return f"""SELECT x.*, floor(value / step) * step AS class_from, (floor(value / step) + 1) * step AS class_to
-        FROM {src} AS x, {PRETTY.format(src=src)}"""
-
-
 OTHER |= {
     "n63_carbon_prices": Entry(lambda t: price_rows(t), study(PRICES, "SELECT * FROM pr", **PRICECTE)),
     "n64_price_levels": Entry(

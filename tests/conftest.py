@@ -12,10 +12,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 def spark(tmp_path_factory):
     from scenlens.session import local_session
 
-    session = local_session(name="scenlens-tests")
+    session = local_session(name="scenlens-tests", shared=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("OFF")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -150,13 +150,13 @@ def test_compare_kinds(spark, kind, want):
 
 
 def test_compare_without_a_cell_or_with_zero_baseline(spark):
-    df = scenario_rows(spark, [("Baseline", 2020, "s", 0.0), ("Gini25", 2020, "s", 6.0)])
-    got = {r["scenario"]: r["value"] for r in compare(df, ["year", "sector"], POLICY, "percent").collect()}
+    df = scenario_rows(spark, [("Baseline", 2020, "s", 0.0), ("Gini25", 2020, "s", 6.0), ("Gini50", 2030, "s", 1.0)])
+    got = {r["scenario"]: r["value"] for r in compare(df, ["year", "sector"], POLICY, "percent").where("year = 2020").collect()}
     assert got == {"Gini25": None, "Gini50": None}
 
 
 def test_compare_single_cells_refuses_doubles(spark):
-    df = scenario_rows(spark, [("Baseline", 2020, "s", 1.0), ("Baseline", 2020, "s", 1.0)])
+    df = scenario_rows(spark, [(n, 2020, "s", 1.0) for n in ("Baseline", "Baseline", "Gini25", "Gini50")])
     assert "DuplicateCell" in message_of(compare(df, ["year", "sector"], POLICY, cells="single"))
 
 
@@ -177,6 +177,7 @@ def test_net_and_relative_treats_an_absent_cell_differently(spark):
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(list(RAW)), st.integers(0, 3), st.one_of(st.none(), st.integers(-50, 50))), min_size=1, max_size=40))
 def test_spread_matches_brute_force(spark, data):
+    data = [*data, *[(s, 9, 1) for s in POLICY.names]]  # no scenario is wholly absent
     df = table(spark, [(RAW[s], y, None if v is None else float(v)) for s, y, v in data], "scenario string, year int, value double")
     want = {}
     for y in {y for _, y, _ in data}:
@@ -309,6 +310,35 @@ def test_fixed_class(spark):
     assert [r["class"] for r in fixed_class(df, (1, 2, 10)).collect()] == [0, 1, 2, 3, None]
 
 
+def test_values_on_a_pretty_break_are_in_the_class_above(spark):
+    df = table(spark, [(0.0,), (0.3,), (0.5,), (0.6,), (float("nan"),)], "value double")
+    got = [(r["class_from"], r["class_to"]) for r in pretty_class(df).collect()]
+    assert got == [(0.0, 0.1), (0.3, 0.4), (0.5, 0.6), (0.6, 0.7), (None, None)]
+
+
+def test_missing_values_have_no_class(spark):
+    df = table(spark, [(float("nan"),), (None,)], "value double")
+    assert [r["class"] for r in fixed_class(df, (1, 2)).collect()] == [None, None]
+    assert [r["class"] for r in kmeans_class(df).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("cells", ["summed", "single"])
+def test_two_runs_of_one_name_fail(spark, cells):
+    runs = [("RegGHGPol_Ineq", 10.0), ("RegGHGPol_Gini25_Ineq", 11.0), ("Ref_SSP2_Gini25_Ineq", 100.0), ("RegGHGPol_Gini50_Ineq", 9.0)]
+    df = table(spark, [(s, 2020, "a", v) for s, v in runs], "scenario string, year int, sector string, value double")
+    assert "DuplicateCell" in message_of(compare(df, ["year", "sector"], POLICY, cells=cells))
+    assert "DuplicateCell" in message_of(net_and_relative(df, ["year"], ["sector"], POLICY))
+    merged = {r["scenario"]: r["value"] for r in compare(df, ["year", "sector"], POLICY, cells="merged").collect()}
+    assert merged == {"Gini25": 101.0, "Gini50": -1.0}
+
+
+@pytest.mark.parametrize("cells", ["summed", "merged", "single"])
+def test_a_scenario_of_no_row_fails_by_name(spark, cells):
+    df = table(spark, [("RegGHGPol_Ineq", 2020, 10.0), ("RegGHGPol_Gini25_Ineq", 2020, 11.0)], "scenario string, year int, value double")
+    message = message_of(compare(df, ["year"], POLICY, cells=cells))
+    assert "AbsentScenario" in message and "Gini50" in message
+
+
 @pytest.mark.parametrize("low, high, step", [(0, 10, 2), (0, 1, 0.2), (0, 23, 5), (-3, 4, 1), (0, 700, 100), (5, 5, 1)])
 def test_pretty_steps(spark, low, high, step):
     df = table(spark, [(float(low),), (float(high),), (None,)], "value double")
@@ -320,7 +350,7 @@ def test_pretty_steps(spark, low, high, step):
 
 
 def test_kmeans_classes_against_brute_force(spark):
-    values = [1.0, 1.2, 0.9, 10.0, 10.5, 9.8, 50.0, 51.0, 49.0]
+    values = [1.0, 1.2, 0.9, 20.0, 20.5, 19.8, 50.0, 51.0, 49.0]
     df = table(spark, [(v,) for v in [*values, None]], "value double")
     got = {r["value"]: r["class"] for r in kmeans_class(df, 3).collect()}
 
@@ -334,5 +364,16 @@ def test_kmeans_classes_against_brute_force(spark):
     assert got[None] is None
 
 
+def test_kmeans_ends_at_a_fixed_point_whatever_the_order(spark):
+    values = [3.0, 1.0, 4.0, 1.5, 9.0, 2.6, 5.3, 5.8, 9.7, 9.3, 40.0]
+    first, second = (
+        {r["value"]: r["class"] for r in kmeans_class(table(spark, [(v,) for v in data], "value double"), 4).collect()}
+        for data in (values, values[::-1]))
+    assert first == second
+    groups = {c: [v for v in values if first[v] == c] for c in set(first.values())}
+    means = {c: sum(g) / len(g) for c, g in groups.items()}
+    assert all(abs(v - means[first[v]]) <= abs(v - m) for v in values for m in means.values())
+
+
 def test_deciles_are_a_closed_list():
     assert DECILES == tuple(f"d{i}" for i in range(1, 11))

@@ -271,3 +271,29 @@ def test_no_policy_family(spark):
     assert set(rows(emissions.world_co2(prj, S.NO_POLICY).select("scenario", "value"))) == {
         ("Baseline_NoClimPol", 1.0), ("Gini25_NoClimPol", 3.0), ("Gini50_NoClimPol", 6.0)}
     assert set(rows(emissions.regional_co2_change(prj).select("scenario", "value"))) == {("Gini25", 2.0), ("Gini50", 5.0)}
+
+
+def test_no_raw_rows_are_shuffled_to_a_few_years(spark):
+    """With broadcasts off, as by estimate on large tables: what meets the years of the other table has been summed."""
+    data = [(B, "USA", y, 1.0) for y in (2020, 2030)]
+    prj = project(spark, luc=long(spark, data), co2_sector=long(spark, data), non_co2=long(spark, [(B, "USA", 2020, "CH4", 1.0)], "ghg"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = emissions.world_ghg(prj, gwp(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.splitlines()
+    dealt = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(year#" in line]
+    assert dealt and all("HashAggregate" in "".join(lines[i + 1 : i + 3]) for i in dealt)
+
+
+def test_exchanges_of_the_need_per_person(spark):
+    """The population is read once: no join with itself for the totals, one chain of sums."""
+    demography = table(spark, [("M", nutrition.DEMOGRAPHIC_RUN, "x", "usa", v, "million", 1.0, 2.0) for v in ("Population", "Population|Male|Aged0-4")],
+                       "model string, scenario string, region string, iso string, variable string, unit string, `2020` double, `2050` double")
+    codes = table(spark, [("usa", "United States", "x", 1)], "iso string, country_name string, legacy_region string, region_id int")
+    needs = table(spark, [("Population|Male|Aged0-4", 1.0, 1.0, 1.0)], "variable string, mder double, min double, max double")
+    shares = nutrition.demographic_shares(nutrition.demographic_population(codes, demography))
+    need = nutrition.need_per_person(shares, nutrition.region_of_country(region_map(spark), codes), needs)
+    assert need._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 10

@@ -1,4 +1,6 @@
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from scenlens.constants import FOOD_GROUPS, GWP, REGIONS
@@ -19,7 +21,7 @@ from scenlens.sources import (
     shared_folder,
     with_code_list,
 )
-from tests.helpers import one, rows, table
+from tests.helpers import message_of, one, rows, table
 
 
 def write(path, text, encoding="utf-8"):
@@ -45,6 +47,34 @@ def test_code_list_skips_comment_lines(spark, tmp_path):
     assert set(rows(with_code_list(left, codes).select("iso", "country_name"))) == {("rou", "Romania"), ("zzz", None)}
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    path = write(tmp_path / "t.csv", "region,year,value,sce,Units\nUSA,2030,5,NDC,Mt\n")
+    assert one(policy_targets(spark, path)) == ("NDC", "USA", 2030, "Mt", 5.0)
+    with pytest.raises(ValueError, match="lacks"):
+        read_csv(spark, path, "region string, nothing int")
+
+
+@pytest.mark.parametrize("line", ["a,1.234x", "a", "a,1,2"])
+def test_bad_lines_fail(spark, tmp_path, line):
+    path = write(tmp_path / "b.csv", f"k,v\nx,1\n{line}\n")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_csv(spark, path, "k string, v double").collect()
+    after = write(tmp_path / "c.csv", f"text\nk,v\nx,1\n{line}\n")
+    message_of(read_csv_after(spark, after, "k string, v double", 1))
+
+
+def test_data_line_equal_to_a_front_line_stays(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "a,b\nname,v\na,b\nx,1\nname,v\ny,2\n")
+    assert rows(read_csv_after(spark, path, "name string, v string", 1)) == [("a", "b"), ("name", "v"), ("x", "1"), ("y", "2")]
+
+
+def test_front_lines_of_every_file_go(spark, tmp_path):
+    for name in ("one", "two"):
+        write(tmp_path / f"{name}.txt", f"free text\n\nv,k\n1,{name}\nNA,free text\n")
+    got = rows(read_csv_after(spark, str(tmp_path), "k string, v int", 1))
+    assert got == [("free text", None), ("free text", None), ("one", 1), ("two", 1)]
+
+
 def test_targets_with_comma_in_label(spark, tmp_path):
     path = write(tmp_path / "t.csv", '"sce","region","year","Units","value"\n"NDC,date=2023-27-10","A","2020","Mt",-1.5\n')
     assert one(policy_targets(spark, path)) == ("NDC,date=2023-27-10", "A", 2020, "Mt", -1.5)
@@ -66,6 +96,17 @@ def test_wide_years_with_and_without_prefix(spark):
     assert rows(read_wide_years(df, ["k"])) == [("a", 2020, 1.0), ("a", 2025, None)]
 
 
+def test_unknown_wide_columns_fail(spark):
+    with pytest.raises(ValueError, match="y2030"):
+        read_wide_years(table(spark, [("a", 1.0, 2.0)], "k string, `2025` double, y2030 double"), ["k"])
+
+
+def test_region_without_caps_stays(spark, tmp_path):
+    path = write(tmp_path / "caps.xml", """<world><region name="A"><ghgpolicy name="GHG"><market>A</market></ghgpolicy></region>
+      <region name="B"><ghgpolicy name="GHG"><market>m</market><constraint year="2050">0</constraint></ghgpolicy></region></world>""")
+    assert set(rows(policy_caps(spark, path))) == {("A", "A", "GHG", None, None), ("B", "m", "GHG", 2050, 0.0)}
+
+
 def test_sheets(spark, tmp_path):
     paths = {"CO2": write(tmp_path / "co2.csv", "r,v\nA,1\n"), "target": write(tmp_path / "t.csv", "r,y\nA,2\n")}
     book = read_sheets(spark, paths, {"CO2": "r string, v double", "target": "r string, y int"})
