@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenlens.llm.shared import ready, stored
+from scenlens.llm.shared import free_name, ready, stored
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -146,7 +146,7 @@ def line_index(docs: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS
     return stored(built, "line-shards"), shards
 
 
-def _flags_by_broadcast(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, hashes: Column) -> DataFrame:
+def _flags_by_broadcast(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, hashes: Column, flag: str) -> DataFrame:
     arrays = docs.sparkSession.sparkContext.broadcast({r["shard"]: r.asDict() for r in index.collect()})
 
     @F.arrow_udf("array<boolean>")
@@ -163,11 +163,11 @@ def _flags_by_broadcast(docs: DataFrame, index: DataFrame, shards: int, min_docs
         ends = np.cumsum(np.concatenate(([0], column.value_lengths().to_numpy())))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flags))
 
-    return docs.withColumn("_often", often(hashes))
+    return docs.withColumn(flag, often(hashes))
 
 
 def _flags_by_shuffle(
-    docs: DataFrame, index: DataFrame, shards: int, min_docs: int, hashes: Column, text: str, doc_id: str
+    docs: DataFrame, index: DataFrame, shards: int, min_docs: int, hashes: Column, text: str, doc_id: str, flag: str
 ) -> DataFrame:
     """The probes go to their shards, spread over copies of them; what a document has to drop comes back."""
     probes = docs.select(
@@ -197,14 +197,13 @@ def _flags_by_shuffle(
     hits = probes.groupBy("shard", "slice").cogroup(spread.groupBy("shard", "slice")).applyInPandas(
         probe, f"_doc {kinds[doc_id]}, _text long, h long"
     )
-    drops = hits.distinct().groupBy("_doc", "_text").agg(F.collect_list("h").alias("_drops")).select(
-        F.col("_doc").alias("_doc2"), F.col("_text").alias("_text2"), "_drops"
+    own, other, list_ = (free_name(docs, n) for n in ("drop_id", "drop_text", "drop_list"))
+    drops = hits.distinct().groupBy("_doc", "_text").agg(F.collect_list("h").alias(list_)).select(
+        F.col("_doc").alias(own), F.col("_text").alias(other), list_
     )
-    joined = docs.join(
-        drops, F.col(doc_id).eqNullSafe(F.col("_doc2")) & (F.xxhash64(text) == F.col("_text2")), "left"
-    )
-    flags = F.transform(hashes, lambda h: F.coalesce(F.array_contains(F.col("_drops"), h), F.lit(False)))
-    return joined.withColumn("_often", flags).drop("_doc2", "_text2", "_drops")
+    joined = docs.join(drops, F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(other)), "left")
+    flags = F.transform(hashes, lambda h: F.coalesce(F.array_contains(F.col(list_), h), F.lit(False)))
+    return joined.withColumn(flag, flags).drop(own, other, list_)
 
 
 def drop_common_lines(
@@ -225,13 +224,14 @@ def drop_common_lines(
     size = index.select(F.sum(sum((F.octet_length(k) for k in _KINDS), F.lit(0)))).first()[0] or 0
     rows = docs.drop("n_lines", "n_dropped")
     hashes = F.transform(lines_of(F.col(text)), line_hash)
+    flag = free_name(rows, "often")
     if size <= broadcast_bytes:
-        flagged = _flags_by_broadcast(rows, index, shards, min_docs, hashes)
+        flagged = _flags_by_broadcast(rows, index, shards, min_docs, hashes, flag)
     else:
-        flagged = _flags_by_shuffle(rows, index, shards, min_docs, hashes, text, doc_id)
-    kept = F.filter(lines_of(F.col(text)), lambda _, i: ~F.get(F.col("_often"), i))
-    dropped = F.size(F.filter("_often", lambda x: x))
+        flagged = _flags_by_shuffle(rows, index, shards, min_docs, hashes, text, doc_id, flag)
+    kept = F.filter(lines_of(F.col(text)), lambda _, i: ~F.get(F.col(flag), i))
+    dropped = F.size(F.filter(flag, lambda x: x))
     return flagged.select(
-        *[F.array_join(kept, "\n").alias(c) if c == text else F.col(c) for c in rows.columns],
-        F.size("_often").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"),
+        *[F.array_join(kept, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns],
+        F.size(flag).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"),
     )

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenlens.llm.shared import drop_stored, stored
+from scenlens.llm.shared import drop_stored, free_name, stored
 
 BUCKETS = 1 << 20
 #: Standard deviations that a bucket's count in some domain is off the expected; other buckets count as one.
@@ -175,14 +175,14 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], draw
     half or more, and not at all below."""
     rated = mixing_rates(docs, labelled, weights, **options)
     copies = draw(rated) if drawn else F.when(F.col("rate") >= 0.5, 1).otherwise(0)
-    changed = rated.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), copies.alias("_copies"))
-    changed = stored(changed.where("_copies != 1").distinct(), "drawn")
+    own, other, times, copy = (free_name(docs, n) for n in ("mixed_id", "mixed_key", "mixed_times", "mixed_copy"))
+    changed = rated.select(F.col("doc_id").alias(own), F.col("key").alias(other), copies.alias(times))
+    changed = stored(changed.where(F.col(times) != 1).distinct(), "drawn")
     small = changed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = docs.join(
         F.broadcast(changed) if small else changed,
-        F.col("doc_id").eqNullSafe(F.col("_doc"))
-        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key")), "left",
-    ).withColumn("_copies", F.coalesce("_copies", F.lit(1))).where("_copies > 0")
+        F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(other)), "left",
+    ).withColumn(times, F.coalesce(times, F.lit(1))).where(F.col(times) > 0)
     if drawn:
-        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        joined = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenlens.llm.components import components
-from scenlens.llm.shared import ready, stored
+from scenlens.llm.shared import free_name, ready, stored
 
 SKETCH = 64
 OVERLAP = 28
@@ -315,7 +315,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Of rows that share the smallest id of a component, all stay.
     """
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    name = free_name(docs, "duplicate_id")
+    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
     gone = stored(gone, "duplicates")
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenlens.llm.shared import stored
+from scenlens.llm.shared import free_name, stored
 
 #: Measures in thousandths that may lie too high, and the least cut-off that a fence may set (parameters).
 HIGH = {
@@ -193,9 +193,10 @@ def drop_poor(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that pass, with all their columns."""
     key = F.xxhash64("text", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
     rejected = judged(docs, {"doc_id": F.col("doc_id"), "key": key}, **options).where(~F.col("kept"))
-    rejected = stored(rejected.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct(), "rejected")
+    own, other = free_name(docs, "rejected_id"), free_name(docs, "rejected_key")
+    rejected = stored(rejected.select(F.col("doc_id").alias(own), F.col("key").alias(other)).distinct(), "rejected")
     small = rejected.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(
         F.broadcast(rejected) if small else rejected,
-        F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left_anti",
+        F.col("doc_id").eqNullSafe(F.col(own)) & (key == F.col(other)), "left_anti",
     )

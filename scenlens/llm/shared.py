@@ -57,3 +57,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a frame made by `stored`."""
     remove_folder(df.sparkSession, df.folder)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as set it apart from the frame's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
