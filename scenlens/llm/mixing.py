@@ -41,9 +41,9 @@ def _kinds(text: str) -> Column:
     return F.array_distinct(F.transform(_words(text), lambda w: F.pmod(F.xxhash64(F.rtrim(w, F.lit(".,"))), F.lit(BUCKETS)).cast("int")))
 
 
-def word_table(labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, list[float], list[float]]:
+def word_table(labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, list[float], list[float], bool]:
     """bucket and a log-odds column per domain (o_0, ...) of telling buckets, at most BUCKETS rows; the log-odds of all
-    other words together; and the domains' shares of the words.
+    other words together; the domains' shares of the words; and whether there was any.
 
     `labelled` has text and domain; rows without either, or with a domain that is not asked for, teach nothing.
     """
@@ -67,15 +67,15 @@ def word_table(labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, list
     rest = counts.where(~telling).agg(*[F.coalesce(F.sum(f"c_{i}"), F.lit(0)) for i in k]).first()
     all_rest = sum(rest) + PRIOR_SEEN
     other = [math.log((n + PRIOR_SEEN * q) / all_rest / q) for n, q in zip(rest, shares, strict=True)]
-    return counts.where(telling).select("bucket", *odds), other, shares
+    return counts.where(telling).select("bucket", *odds), other, shares, sum(sums) > 0
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """key (hash of the text), p_0, p_1, ...: a row for every different text of `docs`.
+def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, bool]:
+    """key (hash of the text), p_0, p_1, ...: a row for every different text of `docs`; and whether any row was labelled.
 
     A text without words has the domains' shares for posteriors; without labelled rows all are equal.
     """
-    table, other, shares = word_table(labelled, domains)
+    table, other, shares, learned = word_table(labelled, domains)
     table = stored(table, "word-table")
     k = range(len(domains))
     words = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.explode_outer(_kinds("text")).alias("bucket"))
@@ -90,7 +90,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     top = F.greatest(*[F.col(f"s_{i}") for i in k]) if len(domains) > 1 else F.col("s_0")
     raised = sums.withColumns({f"e_{i}": F.exp(F.col(f"s_{i}") - top) for i in k})
     whole = sum((F.col(f"e_{i}") for i in k), F.lit(0.0))
-    return raised.select("key", *[(F.col(f"e_{i}") / whole).alias(f"p_{i}") for i in k])
+    return raised.select("key", *[(F.col(f"e_{i}") / whole).alias(f"p_{i}") for i in k]), learned
 
 
 def _rate(names: list[str], history: list[list[float]], step: float) -> Column:
@@ -129,12 +129,13 @@ def mixing_rates(
 
     `weights` are the target shares of expected tokens; `total` the tokens to reach, by default as many as the
     domains can give without repeating any.  `labelled` has text and domain.  Tokens are words.  Null text counts as
-    empty: its posteriors are the domains' shares.  Without labelled rows all posteriors are equal.  Repeated rows count
-    each; an empty table gives no rows.
+    empty: its posteriors are the domains' shares.  Without labelled rows all posteriors are
+    equal and all rates 1.  Repeated rows count each; an empty table gives no rows.
     """
     domains = list(weights)
     k = range(len(domains))
-    by_text = stored(posteriors(docs, labelled, domains), "posteriors")
+    by_text, learned = posteriors(docs, labelled, domains)
+    by_text = stored(by_text, "posteriors")
     rows = docs.select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.size(_words("text")).cast("long").alias("tokens")
     )
@@ -150,7 +151,7 @@ def mixing_rates(
     share = [weights[d] / sum(weights.values()) for d in domains]
     if total is None:
         total = min((have[i] / share[i] for i in k if share[i] > 0), default=0.0)
-    rate = fit_rates(cells, [total * s for s in share])
+    rate = fit_rates(cells, [total * s for s in share]) if learned else F.lit(1.0)
     rated = stored(cells.select(*[f"g_{i}" for i in k], rate.alias("rate")), "cell-rates")
     joined = rows.select("*", *grid).join(F.broadcast(rated), [f"g_{i}" for i in k])
     return joined.select("doc_id", "key", "tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")

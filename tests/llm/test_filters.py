@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from scenlens.llm import line_dedup, mixing, near_dup, pii, quality
 from scenlens.llm.components import components
+from scenlens.llm.shared import stored
 from tests.llm.fixtures import CLASHES, documents, multiset, nothing, odd_rows, prose, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -391,7 +392,7 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
-        docs = out
+        docs = stored(out, "stage")
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert {5, 6, 10} <= ids and not ids & {1, 2, 3, 4, 7, 8, 9, 12, 13}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
