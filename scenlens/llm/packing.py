@@ -14,6 +14,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -45,17 +46,20 @@ def _pattern(lengths: list[int], count: int) -> Pattern:
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
-    """Lower bound on the number of sequences: pieces over half are apart, what does not fit beside them is added."""
-    sizes = sorted(counts)
-    best = -(-sum(n * c for n, c in counts.items()) // capacity)
-    for k in [0, *(n for n in sizes if n <= capacity // 2)]:
-        alone = sum(counts[n] for n in sizes if n > capacity - k)
-        beside = [n for n in sizes if capacity // 2 < n <= capacity - k]
-        halves = sum(counts[n] for n in beside)
-        room = halves * capacity - sum(n * counts[n] for n in beside)
-        small = sum(n * counts[n] for n in sizes if k <= n <= capacity // 2)
-        best = max(best, alone + halves + max(0, -(-(small - room) // capacity)))
-    return best
+    """Lower bound on the number of sequences: pieces over half are apart, what does not fit beside them is added.
+
+    For every k up to half the capacity: pieces over capacity - k go with none of those from k on; the other
+    halves leave their room to the pieces from k to half.  Running sums over the lengths give all k at once.
+    """
+    n = np.zeros(capacity + 2, np.int64)
+    n[list(counts)] = list(counts.values())
+    pieces, tokens = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * np.arange(capacity + 2))))
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    alone = pieces[capacity + 1] - pieces[capacity - k + 1]
+    halves = np.maximum(0, pieces[capacity - k + 1] - pieces[half + 1])
+    room = halves * capacity - np.maximum(0, tokens[capacity - k + 1] - tokens[half + 1])
+    small = tokens[half + 1] - tokens[k]
+    return int(max(-(-tokens[-1] // capacity), (alone + halves + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -100,11 +104,48 @@ class _Search:
         self.bins = sum(p.count for p in self.best)
         self.bound = least_bins(counts, capacity)
         self.total = sum(n * c for n, c in counts.items())
-        self.proven = self.bins == self.bound
-        if not self.proven and counts:
-            self.cut = False
-            self.descend(dict(counts), [], 0, 0)
-            self.proven = self.bins == self.bound or not self.cut
+        self.cut = False
+        if self.bins > self.bound:
+            self.descend(counts)
+        self.proven = self.bins == self.bound or not self.cut
+
+    def completions(self, counts: dict[int, int]) -> list[tuple[int, ...]]:
+        """Fillings of the room beside the largest piece, the fullest first.
+
+        Where many pieces remain, fillings of up to three that leave no room are taken if there are any: nothing
+        dominates the one of fewest pieces.
+        """
+        largest = max(counts)
+        rest = {n: c - (n == largest) for n, c in counts.items() if c > (n == largest)}
+        room = self.capacity - largest
+        if sum(counts.values()) > self.exact_items and (found := self.perfect(rest, room)):
+            self.cut = True
+            return found
+        return self.enumerate(rest, room)
+
+    def perfect(self, counts: dict[int, int], room: int) -> list[tuple[int, ...]]:
+        """A few fillings of exactly the room, of as few and as large pieces as will do."""
+        if not room:
+            return [()]
+        if room in counts:
+            return [(room,)]
+        sizes = sorted((n for n in counts if n < room), reverse=True)
+
+        def pair(left: int, below: int, taken: int) -> tuple[int, int] | None:
+            for a in sizes[bisect_left(sizes, -min(below, left - 1), key=lambda n: -n) :]:
+                b = left - a
+                if b > a:
+                    return None
+                if counts.get(b, 0) - (b == taken) >= 1 + (a == b) and counts[a] - (a == taken) >= 1:
+                    return a, b
+            return None
+
+        if two := pair(room, room, 0):
+            return [two]
+        for a in sizes[:40]:
+            if two := pair(room - a, a, a):
+                return [(a, *two)]
+        return []
 
     def enumerate(self, counts: dict[int, int], room: int) -> list[tuple[int, ...]]:
         """Maximal fillings of the room, undominated, the fullest first."""
@@ -126,57 +167,71 @@ class _Search:
                 grow(i + 1, left - k * size, taken + (size,) * k)
 
         grow(0, room, ())
-        kept = [f for f in found if not self.dominated(f, counts, room)]
+        free = sorted(n for n, c in counts.items() if c)
+        kept = [f for f in found if not self.dominated(f, counts, free, room)]
         return sorted(set(kept), key=lambda f: (-sum(f), len(f)))
 
-    def dominated(self, filling: tuple[int, ...], counts: dict[int, int], room: int) -> bool:
+    def dominated(self, filling: tuple[int, ...], counts: dict[int, int], free: list[int], room: int) -> bool:
         """A larger remaining piece could stand in for one piece, or a pair of them, and still fit."""
         spare, held = room - sum(filling), Counter(filling)
-        free = [n for n, c in counts.items() if c > held.get(n, 0)]
-        sums = set(filling) | {a + b for i, a in enumerate(filling) for b in filling[i + 1 :]}
-        singles = set(filling)
-        return any(
-            s < n <= s + spare or (n == s and s not in singles)
-            for s in sums for n in free
-        )
-
-    def descend(self, counts: dict[int, int], done: list[Pattern], bins: int, waste: int) -> None:
-        left = sum(n * c for n, c in counts.items())
-        if not left:
-            if bins < self.bins:
-                self.best, self.bins = list(done), bins
-            return
-        if bins + least_bins(counts, self.capacity) >= self.bins or waste > (self.bins - 1) * self.capacity - self.total:
-            return
-        tail = best_fit(counts, self.capacity)
-        if bins + sum(p.count for p in tail) < self.bins:
-            self.best, self.bins = done + tail, bins + sum(p.count for p in tail)
+        sums = set(filling) | {a + b for a, b in combinations(filling, 2)}
+        for s in sums:
+            at = bisect_left(free, s if s not in held else s + 1)
+            while at < len(free) and free[at] <= s + spare:
+                if counts[free[at]] > held.get(free[at], 0):
+                    return True
+                at += 1
+        return False
+
+    def child(self, counts: dict[int, int], filling: tuple[int, ...]) -> tuple[dict[int, int], Pattern, int]:
+        """What is left after the filling, how it is used, and the room that it wastes."""
         largest = max(counts)
-        rest = dict(counts)
-        rest[largest] -= 1
-        items = sum(counts.values())
-        for filling in self.enumerate(rest, self.capacity - largest):
-            if self.bins == self.bound:
-                return
+        used = Counter(filling)
+        used[largest] += 1
+        times = 1
+        if sum(counts.values()) > self.exact_items:
+            times, self.cut = min(counts[n] // k for n, k in used.items()), True
+        left = dict(counts)
+        for n, k in used.items():
+            left[n] -= times * k
+            if not left[n]:
+                del left[n]
+        return left, _pattern([largest, *filling], times), times * (self.capacity - largest - sum(filling))
+
+    def descend(self, counts: dict[int, int]) -> None:
+        """Depth first, with a best-fit filling of the rest as a new incumbent now and then, and near the leaves."""
+        path: list[Pattern] = []
+        stack = [(counts, iter(self.completions(counts)), 0, 0)]
+        while stack and self.bins > self.bound:
+            counts, fillings, bins, waste = stack[-1]
+            filling = next(fillings, None)
+            if filling is None:
+                stack.pop()
+                if path:
+                    path.pop()
+                continue
             self.nodes -= 1
             if self.nodes < 0:
                 self.cut = True
                 return
-            used = Counter(filling)
-            used[largest] += 1
-            times = 1 if items <= self.exact_items else min(counts[n] // k for n, k in used.items())
-            after = {n: c - times * used.get(n, 0) for n, c in counts.items()}
-            lost = times * (self.capacity - largest - sum(filling))
-            if items > self.exact_items:
-                self.cut = True
-            self.descend(
-                {n: c for n, c in after.items() if c}, [*done, _pattern([largest, *filling], times)],
-                bins + times, waste + lost,
-            )
+            left, pattern, lost = self.child(counts, filling)
+            bins, waste = bins + pattern.count, waste + lost
+            if not left:
+                if bins < self.bins:
+                    self.best, self.bins = [*path, pattern], bins
+                continue
+            if waste > (self.bins - 1) * self.capacity - self.total or bins + least_bins(left, self.capacity) >= self.bins:
+                continue
+            if self.nodes % 100 == 0 or len(left) <= 30:
+                tail = best_fit(left, self.capacity)
+                if bins + sum(p.count for p in tail) < self.bins:
+                    self.best, self.bins = [*path, pattern, *tail], bins + sum(p.count for p in tail)
+            path.append(pattern)
+            stack.append((left, iter(self.completions(left)), bins, waste))
 
 
 def plan_sequences(
-    counts: dict[int, int], capacity: int, nodes: int = 300, fillings: int = 64, exact_items: int = 40
+    counts: dict[int, int], capacity: int, nodes: int = 3000, fillings: int = 64, exact_items: int = 40
 ) -> tuple[list[Pattern], int, bool]:
     """Patterns that use up the histogram, the lower bound, and whether the number of sequences is proven least.
 
