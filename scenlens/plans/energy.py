@@ -10,6 +10,7 @@ from scenlens.functions import (
     alnum_piece,
     contains,
     number_text,
+    ordinal,
     recode_first,
     safe_div,
     split_decile,
@@ -123,6 +124,11 @@ def final_energy_levels(prj: Project, family: ScenarioFamily = POLICY) -> DataFr
     return sum_by(rows.withColumn("scenario", family.canonical()), SECTOR_KEYS)
 
 
+def final_energy_chart(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
+    """`final_energy_levels` with the drawing order of its sectors.  N17"""
+    return final_energy_levels(prj, family).withColumn("sector_level", ordinal("sector", C.FINAL_ENERGY_LEVELS))
+
+
 def final_energy_totals(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Total energy per scenario with absolute and relative change.  N18"""
     rows = _all_sectors(prj, True).where(F.col("year").isin(*C.LEVEL_YEARS))
@@ -249,6 +255,12 @@ def decile_energy_change(
     )
 
 
+def decile_energy_chart(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
+    """Change of energy by decile in the last year, with the drawing order of the deciles.  N24"""
+    rows = decile_energy_change(prj, regions, family).where(F.col("year") == C.LAST_YEAR)
+    return rows.withColumn("decile", F.upper("decile")).withColumn("decile_level", ordinal("decile", C.DECILE_LEVELS))
+
+
 def population_by_decile(prj: Project, family: ScenarioFamily = POLICY) -> DataFrame:
     """Persons per region, split equally over the deciles.  N25"""
     people = (
@@ -308,6 +320,12 @@ def energy_per_person(prj: Project, regions: DataFrame, family: ScenarioFamily =
     )
 
 
+def energy_need_chart(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
+    """Energy per person of the poorest decile in the last year beside the energy that a decent life needs.  N28"""
+    rows = energy_per_person(prj, regions, family).where((F.col("year") == C.LAST_YEAR) & (F.col("decile") == "d1"))
+    return rows.withColumn("need", F.lit(float(C.ENERGY_NEED_GJ)))
+
+
 def aviation_change(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
     """Change of aviation energy by decile and aggregate region.  N29"""
     rows = year_window(_transport_decile(prj, "trn_aviation"))

@@ -84,6 +84,13 @@ ENERGY: dict[str, Entry] = {
         lambda t: E.final_energy_levels(t.project()),
         _final("SELECT scenario, sector, year, Units, value FROM fen", where="year IN (2015, 2030, 2050)"),
     ),
+    "n17_final_energy_chart": Entry(
+        lambda t: E.final_energy_chart(t.project()),
+        _final("""SELECT scenario, sector, year, Units, value, CASE sector WHEN 'Commercial Buildings' THEN 1 WHEN 'Residential cooling' THEN 2
+            WHEN 'Residential heating' THEN 3 WHEN 'Residential non-thermal services' THEN 4 WHEN 'Industry' THEN 5
+            WHEN 'Passenger transport' THEN 6 WHEN 'International Aviation (pass)' THEN 7 WHEN 'Freight transport' THEN 8
+            WHEN 'International shipping (freight)' THEN 9 END AS sector_level FROM fen""", where="year IN (2015, 2030, 2050)"),
+    ),
     "n18_final_energy_totals": Entry(
         lambda t: E.final_energy_totals(t.project()),
         _final("""SELECT year, b AS "Baseline", g25 AS "Gini25", g50 AS "Gini50", g25 - b AS "diff_Gini25",
@@ -174,6 +181,17 @@ ENERGY |= {
             l=long("w", "year, region, decile, sector, Units"),
             r=roll("l", "scenario, region, year, decile, sector")),
     ),
+    "n24_decile_energy_chart": Entry(
+        lambda t: E.decile_energy_chart(t.project(), region_map(t.spark)),
+        study(DEC_TABLES, f"""SELECT r.scenario, {display('r.region')} AS region, r.year, upper(r.decile) AS decile, {SHORT} AS sector,
+            r.value, pop, r.value * 1e9 / nullif(pop, 0) AS value_pc,
+            CASE WHEN regexp_matches(r.decile, '^d([1-9]|10)$') THEN CAST(replace(r.decile, 'd', '') AS INTEGER) END AS decile_level
+            FROM r JOIN pop ON pop.scenario = r.scenario AND pop.region = r.region AND pop.year = r.year WHERE r.year = 2050""",
+            **DECCTE, d=f"SELECT * FROM dec1 WHERE {WINDOW}",
+            w=wide("d", "year, region, decile, sector, Units"),
+            l=long("w", "year, region, decile, sector, Units"),
+            r=roll("l", "scenario, region, year, decile, sector")),
+    ),
     "n25_population_by_decile": Entry(
         lambda t: E.population_by_decile(t.project()),
         study(DEC_TABLES, "SELECT * FROM popdec", **REG, **POP),
@@ -203,6 +221,14 @@ ENERGY |= {
             FROM r JOIN pop ON pop.scenario = r.scenario AND pop.region = r.region AND pop.year = r.year""",
             **DECCTE, d=f"SELECT * FROM dec1 WHERE {WINDOW}", r=roll("d", "scenario, region, year, decile")),
     ),
+    "n28_energy_need_chart": Entry(
+        lambda t: E.energy_need_chart(t.project(), region_map(t.spark)),
+        study(DEC_TABLES, f"""SELECT r.scenario, {display('r.region')} AS region, r.year, r.decile, r.value, pop,
+            r.value * 1e9 / nullif(pop * 0.1e0, 0) AS value_pc, 16e0 AS need
+            FROM r JOIN pop ON pop.scenario = r.scenario AND pop.region = r.region AND pop.year = r.year
+            WHERE r.year = 2050 AND r.decile = 'd1'""",
+            **DECCTE, d=f"SELECT * FROM dec1 WHERE {WINDOW}", r=roll("d", "scenario, region, year, decile")),
+    ),
     "n29_aviation_change": Entry(
         lambda t: E.aviation_change(t.project(), region_map(t.spark)),
         study(TRN, "SELECT * REPLACE (replace(region, '_', ' ') AS region) FROM r",

@@ -32,6 +32,7 @@ SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
+# Names and labels that the derived tables must carry.
 COMMODITIES = (
     "Corn", "OtherGrain", "RootTuber", "Rice", "Wheat", "Fruits", "Vegetables", "Legumes",
     "NutsSeeds", "FiberCrop", "MiscCrop", "OilCrop", "OilPalm", "Soybean", "SugarCrop",
