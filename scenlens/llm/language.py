@@ -8,9 +8,10 @@ word by word, with forward-backward, and the mean of its words' posteriors gives
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from dataclasses import field as dataclass_field
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ SAMPLE_CHAINS = 6000
 UNKNOWN = "und"
 _MAX_WORDS = 200_000
 _MAX_TOKENS = 300_000
+#: Tokens that are looked up and labelled together.
+_AT_ONCE = 50_000
 
 
 def normal(token: str) -> str:
@@ -42,14 +45,41 @@ def normal(token: str) -> str:
     return token[a:b]
 
 
-def features(word: str) -> list[int]:
-    """Hashed features: lexicon entry, affixes to three letters, n-grams of two and three letters."""
-    word = word[:40]
-    edged = f"^{word}$"
-    found = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3)), *(f"s{word[-k:]}" for k in (1, 2, 3))]
-    found += [edged[i : i + 2] for i in range(len(edged) - 1)]
-    found += [edged[i : i + 3] for i in range(len(edged) - 2)]
-    return [zlib.crc32(f.encode()) % FEATURES for f in found]
+_P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_LONGEST = 40
+_POWERS = np.cumprod(np.full(_LONGEST + 2, _P[0]), dtype=np.uint64)
+
+
+def _slot(x: np.ndarray, kind: int) -> np.ndarray:
+    """Weight row of a feature: a mixing of its value, another for each kind of feature."""
+    x = (x + np.uint64(kind)) * _P[3]
+    return ((x ^ (x >> np.uint64(32))) * _P[2] >> np.uint64(48)).astype(np.int64) % FEATURES
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Weight rows of the features of some words, and the word that each belongs to.
+
+    Lexicon entry, first and last one to three letters, n-grams of two and three letters with the word's edges.
+    """
+    words = [w[:_LONGEST] for w in words]
+    c = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words])
+    starts, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place, left = np.arange(len(c)) - starts[owner], ends[owner] - np.arange(len(c))
+    with np.errstate(over="ignore"):
+        two = c[:-1] * _P[0] + c[1:] * _P[1]
+        three = two[:-1] + c[2:] * _P[2]
+        found = [
+            (_slot(two, 2)[left[:-1] > 1], owner[:-1][left[:-1] > 1]), (_slot(three, 3)[left[:-2] > 2], owner[:-2][left[:-2] > 2]),
+            (_slot(np.add.reduceat(c * _POWERS[place], starts), 1), np.arange(len(words))),
+        ]
+        for k in (1, 2, 3):
+            has = np.flatnonzero(sizes - 2 >= k)
+            for kind, first in ((3 + k, starts[has] + 1), (6 + k, ends[has] - 1 - k)):
+                x = sum((c[first + i] * _P[i] for i in range(k)), np.zeros(len(has), np.uint64))
+                found.append((_slot(x, kind), has))
+    return np.concatenate([f for f, _ in found]), np.concatenate([o for _, o in found])
 
 
 @dataclass
@@ -58,16 +88,19 @@ class Field:
     weights: np.ndarray  # features x labels
     first: np.ndarray
     moves: np.ndarray  # from x to
+    token: str = dataclass_field(default_factory=lambda: uuid.uuid4().hex)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        rows = [features(w) for w in words]
-        ends = np.cumsum([len(r) for r in rows])
-        picked = self.weights[np.concatenate(rows)] if rows else np.empty((0, len(self.labels)))
-        sums = np.add.reduceat(picked, np.concatenate(([0], ends[:-1]))) if rows else picked
-        return sums / np.sqrt(np.diff(np.concatenate(([0], ends))))[:, None]
+        """Scores of the labels for each word, by its features alone."""
+        if not words:
+            return np.empty((0, len(self.labels)))
+        rows, owner = features(words)
+        size = np.bincount(owner, minlength=len(words))
+        sums = [np.bincount(owner, self.weights[rows, k], len(words)) for k in range(len(self.labels))]
+        return np.stack(sums, axis=1) / np.sqrt(size)[:, None]
 
-    def posteriors(self, scores: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward on chains x words x labels: word posteriors, and expected moves over all chains.
+    def posteriors(self, scores: np.ndarray, mask: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward on chains x words x labels: word posteriors, and expected moves over all chains if asked to `count`.
 
         The mask holds words; they come first in a chain.
         """
@@ -88,7 +121,8 @@ class Field:
         for t in range(steps - 1, 0, -1):
             here = mask[:, t, None]
             toward = local[:, t] * back / scale[:, t]
-            moved += np.einsum("ni,nj->ij", ahead[:, t - 1] * here, toward) * move
+            if count:
+                moved += (ahead[:, t - 1] * here).T @ toward * move
             back = np.where(here, toward @ move.T, back)
             out[:, t - 1] = ahead[:, t - 1] * back
         return out / out.sum(axis=2, keepdims=True), moved
@@ -116,25 +150,20 @@ def fit_field(texts: dict[str, list[list[str]]], chains: int = SAMPLE_CHAINS, pa
     field = Field(labels, np.zeros((FEATURES, k)), np.zeros(k), np.zeros((k, k)))
     data = list(spliced(texts, chains, rng))
     known: dict[str, int] = {}
-    rows: list[np.ndarray] = []
     for chain in data:
         for w, _ in chain:
-            if w not in known:
-                known[w] = len(rows)
-                rows.append(np.array(features(w)))
+            known.setdefault(w, len(known))
+    lexicon = list(known)
     x = np.array([[known[w] for w, _ in c] for c in data])
     y = np.array([[label for _, label in c] for c in data])
     squares = [np.full(p.shape, 1e-6) for p in (field.weights, field.first, field.moves)]
-    mask = np.ones((0, 0), bool)
     for _ in range(passes):
         order = rng.permutation(len(x))
         for lo in range(0, len(x), 64):
             some = order[lo : lo + 64]
             words, at = np.unique(x[some], return_inverse=True)
-            lists = [rows[w] for w in words]
-            sizes = np.array([len(r) for r in lists])
-            flat, owner = np.concatenate(lists), np.repeat(np.arange(len(words)), sizes)
-            scaled = 1.0 / np.sqrt(sizes)
+            flat, owner = features([lexicon[w] for w in words])
+            scaled = 1.0 / np.sqrt(np.bincount(owner, minlength=len(words)))
             table = np.zeros((len(words), k))
             np.add.at(table, owner, field.weights[flat])
             table *= scaled[:, None]
@@ -184,47 +213,60 @@ class _Labeller:
             self.table[len(self.words) - len(fresh) : len(self.words)] = self.field.emissions(fresh)
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
-        """Numbers of the words among the tokens."""
+        """Numbers of the tokens' words, -1 for those without a letter."""
+        if len(self.tokens) > _MAX_TOKENS or len(self.words) > _MAX_WORDS:
+            self.forget()
         try:
-            at = np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
+            return np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
         except KeyError:
             self.learn([t for t in dict.fromkeys(tokens) if t not in self.tokens])
-            at = np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
-        return at[at >= 0]
+            return np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
 
     def label(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Words and the sums of their posteriors, text by text."""
-        k = len(self.field.labels)
-        count, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), k))
-        held: list[tuple[int, np.ndarray]] = []
-        size = 0
+        count, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.field.labels)))
+        tokens: list[str] = []
+        owner: list[int] = []
+        sizes: list[int] = []
         for i, text in enumerate(texts):
-            if len(self.tokens) > _MAX_TOKENS or len(self.words) > _MAX_WORDS:
-                self.chains(held, count, sums)
-                held, size = [], 0
-                self.forget()
-            at = self.numbers(text.split()) if text else np.empty(0, np.int64)
-            if len(at):
-                held.append((i, at))
-                size += len(at)
-            if size > 65536:
-                self.chains(held, count, sums)
-                held, size = [], 0
-        self.chains(held, count, sums)
+            if text:
+                found = text.split()
+                tokens += found
+                owner.append(i)
+                sizes.append(len(found))
+            if len(tokens) > _AT_ONCE or i == len(texts) - 1:
+                self.chains(np.repeat(owner, sizes), self.numbers(tokens), count, sums)
+                tokens, owner, sizes = [], [], []
         return count, sums
 
-    def chains(self, held: list[tuple[int, np.ndarray]], count: np.ndarray, sums: np.ndarray) -> None:
-        if not held:
+    def chains(self, owner: np.ndarray, at: np.ndarray, count: np.ndarray, sums: np.ndarray) -> None:
+        """Adds the words `at`, of the texts `owner`, to the texts' counts and sums."""
+        owner, at = owner[at >= 0], at[at >= 0]
+        if not len(at):
             return
-        owner = np.concatenate([np.full(-(-len(at) // CHAIN), i) for i, at in held])
-        padded = np.concatenate([np.concatenate([at, np.full(-len(at) % CHAIN, -1)]) for _, at in held])
-        for lo in range(0, len(owner), 2048):
-            grid = padded[lo * CHAIN : (lo + 2048) * CHAIN].reshape(-1, CHAIN)
-            mask = grid >= 0
-            post, _ = self.field.posteriors(self.table[grid] * mask[:, :, None], mask)
-            np.add.at(sums, owner[lo : lo + 2048], (post * mask[:, :, None]).sum(axis=1))
-        for i, at in held:
-            count[i] = len(at)
+        texts, first, size = np.unique(owner, return_index=True, return_counts=True)
+        count[texts] = size
+        rows = -(-size // CHAIN)
+        place = np.arange(len(at)) - np.repeat(first, size)
+        grid = np.full((rows.sum(), CHAIN), -1)
+        grid[np.repeat(np.cumsum(rows) - rows, size) + place // CHAIN, place % CHAIN] = at
+        of = np.repeat(texts, rows)
+        for lo in range(0, len(grid), 1024):
+            part = grid[lo : lo + 1024]
+            mask = part >= 0
+            post, _ = self.field.posteriors(self.table[part] * mask[:, :, None], mask, count=False)
+            np.add.at(sums, of[lo : lo + 1024], (post * mask[:, :, None]).sum(axis=1))
+
+
+_LABELLERS: dict[str, _Labeller] = {}
+
+
+def _labeller(field: Field) -> _Labeller:
+    """This process's labeller of the field; what it has learnt of words serves all tasks that the process runs."""
+    if field.token not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[field.token] = _Labeller(field)
+    return _LABELLERS[field.token]
 
 
 def label_texts(docs: DataFrame, field: Field | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -237,7 +279,7 @@ def label_texts(docs: DataFrame, field: Field | None, text: str = "text", doc_id
     sent = spark.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = _Labeller(sent.value) if sent.value else None
+        labeller = _labeller(sent.value) if sent.value else None
         for batch in batches:
             n = batch.num_rows
             count, best, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
