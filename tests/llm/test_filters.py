@@ -347,10 +347,12 @@ def test_gradient_steps_match_plain_ones(spark):
                                   "tokens long, m_0 double, m_1 double, b_0 double, b_1 double")
     targets = [90.0, 0.0]
     got = [r["r"] for r in cells.select(mixing.fit_rates(cells, targets, 25).alias("r")).collect()]
-    data, rates, step = [tuple(r) for r in cells.collect()], [1.0] * 3, 1 / (1 + mixing.RIDGE)
-    for _ in range(25):
-        res = [(sum(r * c[1 + k] for r, c in zip(rates, data, strict=True)) - targets[k]) / 180 for k in (0, 1)]
-        rates = [max(0.0, r - step * (c[3] * res[0] + c[4] * res[1] + mixing.RIDGE * (r - 1))) for r, c in zip(rates, data, strict=True)]
+    data, rates, points, step = [tuple(r) for r in cells.collect()], [1.0] * 3, [1.0] * 3, 1 / (1 + mixing.RIDGE)
+    for t in range(25):
+        res = [(sum(p * c[1 + k] for p, c in zip(points, data, strict=True)) - targets[k]) / 180 for k in (0, 1)]
+        moved = [max(0.0, p - step * (c[3] * res[0] + c[4] * res[1] + mixing.RIDGE * (p - 1))) for p, c in zip(points, data, strict=True)]
+        points = [m + t / (t + 3) * (m - r) for m, r in zip(moved, rates, strict=True)]
+        rates = moved
     assert got == pytest.approx(rates)
 
 
