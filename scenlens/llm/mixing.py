@@ -29,11 +29,14 @@ CELLS = 40
 STEPS = 25
 RIDGE = 1e-3
 BROADCAST_ROWS = 200_000
+#: Labelled rows that the classifier learns from, about and at most.
+LABELLED_ROWS = 100_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def _words(text: str) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed != "", F.split(trimmed, _SPACE)).otherwise(F.array().cast("array<string>"))
 
 
 def _kinds(text: str) -> Column:
@@ -71,18 +74,21 @@ def word_table(labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, list
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, bool]:
-    """key (hash of the text), p_0, p_1, ...: a row for every different text of `docs`; and whether any row was labelled.
+    """key (hash of the text), tokens (words), p_0, p_1, ...: a row for every different text of `docs`; and whether any row was labelled.
 
     A text without words has the domains' shares for posteriors; without labelled rows all are equal.
     """
     table, other, shares, learned = word_table(labelled, domains)
     table = stored(table, "word-table")
     k = range(len(domains))
-    words = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.explode_outer(_kinds("text")).alias("bucket"))
+    words = docs.select(
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.size(_words("text")).cast("long").alias("tokens"),
+        F.explode_outer(_kinds("text")).alias("bucket"),
+    )
     scored = words.join(F.broadcast(table), "bucket", "left")  # bounded rows
     # rows of equal texts add up alike, so their means are those of one; only the weight sees them together
     odds = [F.avg(F.when(F.col("bucket").isNotNull(), F.coalesce(f"o_{i}", F.lit(other[i])))).alias(f"s_{i}") for i in k]
-    sums = scored.groupBy("key").agg(F.count("bucket").alias("n"), *odds)
+    sums = scored.groupBy("key", "tokens").agg(F.count("bucket").alias("n"), *odds)
     weight = F.least(F.col("n"), F.lit(EVIDENCE))
     sums = sums.withColumns({
         f"s_{i}": F.coalesce(f"s_{i}", F.lit(0.0)) * weight + F.log(F.lit(shares[i])) for i in k
@@ -90,7 +96,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tupl
     top = F.greatest(*[F.col(f"s_{i}") for i in k]) if len(domains) > 1 else F.col("s_0")
     raised = sums.withColumns({f"e_{i}": F.exp(F.col(f"s_{i}") - top) for i in k})
     whole = sum((F.col(f"e_{i}") for i in k), F.lit(0.0))
-    return raised.select("key", *[(F.col(f"e_{i}") / whole).alias(f"p_{i}") for i in k]), learned
+    return raised.select("key", "tokens", *[(F.col(f"e_{i}") / whole).alias(f"p_{i}") for i in k]), learned
 
 
 def _fold(names: list[str], history: list[list[float]], step: float, out: str) -> Column:
@@ -142,9 +148,7 @@ def mixing_rates(
     k = range(len(domains))
     by_text, learned = posteriors(docs, labelled, domains)
     by_text = stored(by_text, "posteriors")
-    rows = docs.select(
-        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.size(_words("text")).cast("long").alias("tokens")
-    )
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     rows = stored(rows.join(by_text, "key"), "memberships")
     drop_stored(by_text)
     grid = [F.round(F.col(f"p_{i}") * CELLS).cast("int").alias(f"g_{i}") for i in k]
@@ -163,12 +167,20 @@ def mixing_rates(
     return joined.select("doc_id", "key", "tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
 
 
-def quality_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and domain of labelled documents: toxic, else low where quality is 0, else good; others are left out."""
+def quality_domains(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
+    """text and domain of labelled documents: toxic, else low where quality is 0, else good; others are left out.
+
+    Of more than `most` labels a share is taken, by a hash of the ids, so that about `most` are left: the
+    classifier learns from a bounded sample, and the labels can go to the documents whatever their number.
+    """
     toxic, quality = F.col("toxic"), F.col("quality")
     domain = F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality == 1, "good")
-    known = labels.select(F.col("doc_id").alias("_doc"), domain.alias("domain")).where("domain IS NOT NULL").distinct()
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_doc")).select("text", "domain")
+    known = labels.select(F.col("doc_id").alias("_doc"), domain.alias("domain")).where(
+        "_doc IS NOT NULL AND domain IS NOT NULL"
+    ).distinct()
+    share = min(1.0, most / max(1, known.count()))
+    some = known.where(F.pmod(F.xxhash64(F.lit("labelled"), "_doc"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_doc")).select("text", "domain")
 
 
 def draw(mixed: DataFrame) -> Column:

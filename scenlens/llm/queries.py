@@ -69,10 +69,10 @@ def op9_separator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of the documents, from files written without special ids in the texts and read without offsets."""
     end = 50256
     manifest = token_files.write_token_files(
-        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), end, plain_text=True
+        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), end, plain_text=True, by_id=False
     )
     counted = token_counts.token_counts(manifest, end, named=True)
-    return counted.select("doc_id", "ordinal", "start", "n_tokens", "terminated")
+    return counted.select("doc_id", "name", "ordinal", "start", "n_tokens", "terminated")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,18 +55,23 @@ def read_array(folder: str, name: str, dtype, start: int = 0, count: int | None
 
 def write_token_files(
     docs: DataFrame, vocabulary: str, end_id: int, plain_text: bool = False, width: int = 2,
-    folder: str | None = None, part_bytes: int = PART_BYTES,
+    folder: str | None = None, part_bytes: int = PART_BYTES, by_id: bool = True,
 ) -> DataFrame:
     """Encodes `text` of every row, writes the files in ascending `doc_id`, returns the manifest.
 
+    Without `by_id` a part holds what a task reads, in the order of the table, and no text is moved.
+
     Null text counts as empty: the end id alone.  Rows of one id stay together in the order of their
     texts' hashes; rows without an id come first.  Other columns are not read.  An empty table
     gives no parts.  Manifest: part, folder, name, width, n_docs, n_tokens, base, first_doc.
     """
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+    order = ["doc_id", F.xxhash64("text")]
+    if by_id:
+        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+        rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     to, most = folder or new_folder(spark, "token-files"), 1 << 8 * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +109,8 @@ def write_token_files(
             ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
         ]))
 
-    order = ["doc_id", F.xxhash64("text")]
     schema = "part long, folder string, name string, width long, n_docs long, n_tokens long"
-    written = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "parts")
+    written = stored(rows.mapInArrow(run, schema), "parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.select(
         "*",
