@@ -92,4 +92,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others tokenise, search, fit or follow links; they are tested against plain Python.
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": """
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM docs),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        f AS (SELECT key, TRUE AS often FROM (SELECT DISTINCT r, key FROM k WHERE key <> '') AS d GROUP BY key HAVING count(*) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE often) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN f USING (key) GROUP BY r, doc_id""",
+}
