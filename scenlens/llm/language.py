@@ -297,14 +297,22 @@ def label_texts(docs: DataFrame, field: Field | None, text: str = "text", doc_id
     return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, lang_pred string, score double, n_words long")
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", sample_docs: int = SAMPLE_DOCS, **options) -> Field | None:
-    """A field from the rows of `docs`, at most `sample_docs` of each language, picked by a hash of their text.
+def train(
+    docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, **options
+) -> Field | None:
+    """A field from the rows of `docs`, at most `sample_docs` of each language, picked by a hash of id and text.
 
     Rows without language or text are passed over; null if no row with a word is left.
     """
-    some = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where(
-        "lang IS NOT NULL AND text IS NOT NULL"
-    )
+    some = docs.select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text, doc_id).alias("h")
+    ).where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}  # a row per language
+    if not sizes:
+        return None
+    # a share of each language by hash first, so that what meets in the window is a few times the sample
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 4.0 * sample_docs / n)))])
+    some = some.where(F.pmod(F.col("h"), F.lit(1 << 30)) <= share[F.col("lang")] * float(1 << 30))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     texts: dict[str, list[list[str]]] = {}
     for row in some.withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("lang", "text").toLocalIterator():
