@@ -2,8 +2,8 @@
 
 A table of labelled rows teaches, for hashed words, how much likelier each domain is with a word than without it; a
 document's posterior over the domains is the softmax of its words' log-odds and the domains' shares.  Nonnegative rates are then
-fitted so that the expected tokens of every domain match the targets: least squares by projected gradient steps, each of
-which sums the whole corpus.  Rates depend on the posterior alone, so documents of one posterior cell (a grid of
+fitted so that the expected tokens of every domain match the targets: least squares, each domain in its own tokens, by
+gradient steps that the curvature preconditions, until they settle; each sums the whole corpus.  Rates depend on the posterior alone, so documents of one posterior cell (a grid of
 1/CELLS) share theirs; the sums use exact posteriors.  Everything is DataFrame functions.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,9 @@ PRIOR_SEEN = 5.0
 #: Different words whose evidence a long text counts for: its mean log-odds times so many.
 EVIDENCE = 200
 CELLS = 40
-STEPS = 25
 RIDGE = 1e-3
+#: Share of a domain's own tokens that its residual may be off the settled one; rates are then off by some TOLERANCE / RIDGE.
+TOLERANCE = 1e-9
 BROADCAST_ROWS = 200_000
 #: Labelled rows that the classifier learns from, about and at most.
 LABELLED_ROWS = 100_000
@@ -115,12 +117,12 @@ def _fold(names: list[str], history: list[list[float]], step: float, out: str) -
     return F.aggregate(met, start, move)[out]
 
 
-def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS) -> Column:
+def fit_rates(cells: DataFrame, targets: list[float], steps: int) -> Column:
     """The rate expression over a stored table of cells: tokens, and m_0, ...: their expected tokens by domain.
 
-    Minimises the squared distance of the domains' expected tokens from the targets, plus RIDGE times that of the rates
-    from 1, by `steps` projected gradient steps with momentum, in the tokens' measure.  A step sums all cells; the
-    driver gets a sum per domain and step.
+    Goes `steps` projected gradient steps with momentum, in the tokens' measure, towards the least squared distance of the
+    domains' expected tokens from the targets, plus RIDGE times that of the rates from 1.  It does not ask whether they
+    have settled, and a domain of few tokens moves slowly: `settled_rates` is what the operator uses.
     """
     k = range(len(targets))
     total = cells.agg(F.sum("tokens")).first()[0]
@@ -134,6 +136,53 @@ def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS) -> Col
     return _fold(names, history, step, "rate")
 
 
+def settled_rates(cells: DataFrame, targets: list[float]) -> Column:
+    """The rate expression over a stored table of cells: tokens, m_0, ...: their expected tokens by domain, and b_0, ...:
+    these for a token.
+
+    Minimises the squared distances of the domains' expected tokens from the targets, each over the domain's own tokens,
+    plus RIDGE times that of the rates from 1, so that a domain's share of the corpus does not slow or hold its rate.  At the
+    minimum a rate is 1 less the cell's mean of the domains' relative residuals over RIDGE, or 0 if that is negative: the
+    steps move these residuals, one a domain, by Newton's method with a search along its direction, until they agree with the rates to TOLERANCE.
+    There is no limit of steps.  A step sums all cells; the driver gets sums by domain and pair of domains.
+    """
+    k = range(len(targets))
+    own = cells.agg(*[F.sum(f"m_{i}") for i in k]).first()
+    if not any(own):
+        return F.lit(1.0)
+    own, aims = np.array([n or 1.0 for n in own]), np.array(targets)
+
+    def rate(at: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"b_{i}") * float(at[i] / RIDGE) for i in k), F.lit(0.0)))
+
+    def met(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """What is to be least, how far the residuals of the rates are from these, and the curvature."""
+        r, pairs = F.col("_rate"), [(i, j) for i in k for j in k if i <= j]
+        sums = cells.withColumn("_rate", rate(at)).agg(
+            F.sum(F.col("tokens") * r * r), *[F.sum(r * F.col(f"m_{i}")) for i in k],
+            *[F.sum(F.when(r > 0, F.col(f"m_{i}") * F.col(f"b_{j}")).otherwise(0.0)) for i, j in pairs],
+        ).first()
+        curve = np.diag(own)
+        for (i, j), n in zip(pairs, sums[1 + len(k) :], strict=True):
+            curve[i, j] = curve[j, i] = curve[i, j] + n / RIDGE
+        return RIDGE / 2 * sums[0] + aims @ at + (own * at * at).sum() / 2, np.array(sums[1 : 1 + len(k)]) - aims - own * at, curve
+
+    at = np.zeros(len(targets))
+    value, off, curve = met(at)
+    while (error := np.abs(off / own).max()) > TOLERANCE:
+        way, part = np.linalg.solve(curve, off), 1.0
+        while True:
+            value_there, off_there, curve_there = met(at + part * way)
+            # close to the minimum the values are equal to the last digit and the residuals decide
+            if value_there <= value - 1e-4 * part * (off @ way) or np.abs(off_there / own).max() <= error / 2:
+                break
+            part /= 2
+            if (at + part * way == at).all():
+                raise ArithmeticError(f"rates do not settle: residuals are {error} of the domains' tokens off")
+        at, value, off, curve = at + part * way, value_there, off_there, curve_there
+    return rate(at)
+
+
 def mixing_rates(
     docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], total: float | None = None
 ) -> DataFrame:
@@ -161,7 +210,7 @@ def mixing_rates(
     share = [weights[d] / sum(weights.values()) for d in domains]
     if total is None:
         total = min((have[i] / share[i] for i in k if share[i] > 0), default=0.0)
-    rate = fit_rates(cells, [total * s for s in share]) if learned else F.lit(1.0)
+    rate = settled_rates(cells, [total * s for s in share]) if learned else F.lit(1.0)
     rated = stored(cells.select(*[f"g_{i}" for i in k], rate.alias("rate")), "cell-rates")
     joined = rows.select("*", *grid).join(F.broadcast(rated), [f"g_{i}" for i in k])
     return joined.select("doc_id", "key", "tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -356,6 +357,38 @@ def test_gradient_steps_match_plain_ones(spark):
     assert got == pytest.approx(rates)
 
 
+@pytest.mark.parametrize("share", [1e-2, 1e-3, 1e-4])
+def test_rates_of_a_rare_domain_settle(spark, monkeypatch, share):
+    n = round(10 / share)
+    docs = documents(spark, [(1, "good " * (n - 10), "en", "a", 1), (2, "bad " * 10, "en", "a", 1)])
+    p = F.when(F.col("text").startswith("good"), 1.0).otherwise(0.0)
+    known = docs.select(F.xxhash64("text").alias("key"), F.when(p == 1, n - 10).otherwise(10).cast("long").alias("tokens"),
+                        p.alias("p_0"), F.lit(0.0).alias("p_1"), (1 - p).alias("p_2"))
+    monkeypatch.setattr(mixing, "posteriors", lambda *_: (known, True))
+    weights = {"good": 1.0, "low": 0.0, "toxic": 0.0}
+    rates = {r["doc_id"]: r["rate"] for r in mixing.mixing_rates(docs, docs, weights).collect()}
+    assert rates[1] == pytest.approx(1.0) and rates[2] < 0.01
+    assert [r["doc_id"] for r in mixing.mix(docs, docs, weights, drawn=False).collect()] == [1]
+
+
+@pytest.mark.parametrize("sharp", [1.0, 4.0])
+def test_settled_rates_are_the_least(spark, sharp):
+    rng, data = random.Random(21), []
+    for i in range(200):
+        e = [math.exp(rng.gauss(0, 1) + sharp * (k == i % 3)) for k in range(3)]
+        tokens = rng.randint(1, 1000) * (1 if i % 3 == 2 else 1000)
+        b = [x / sum(e) for x in e]
+        data.append((tokens, *[tokens * x for x in b], *b))
+    cells = stored(spark.createDataFrame(data, "tokens long, m_0 double, m_1 double, m_2 double, b_0 double, b_1 double, b_2 double").coalesce(1), "cells")
+    own = [sum(c[1 + k] for c in data) for k in range(3)]
+    aims = [own[0], own[0] / 9, 0.0]
+    rows = cells.select("*", mixing.settled_rates(cells, aims).alias("rate")).collect()
+    off = [(sum(r["rate"] * r[f"m_{k}"] for r in rows) - aims[k]) / own[k] for k in range(3)]
+    slopes = [(r["rate"], sum(r[f"b_{k}"] * off[k] for k in range(3)) + mixing.RIDGE * (r["rate"] - 1)) for r in rows]
+    assert any(rate == 0 for rate, _ in slopes)
+    assert all(abs(slope) < 1e-7 if rate > 0 else slope > -1e-7 for rate, slope in slopes)
+
+
 def test_mixing_drops_and_draws(spark):
     docs, labelled, domains = labelled_corpus(spark)
     got = mixing.mix(docs, labelled, {"good": 1.0, "low": 0.0, "toxic": 0.0}, drawn=False)
