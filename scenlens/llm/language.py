@@ -8,6 +8,7 @@ word by word, with forward-backward, and the mean of its words' posteriors gives
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,10 +47,28 @@ def normal(token: str) -> str:
 
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: Letters of a word; a longer run of letters is several words of the chain.
 _LONGEST = 40
 _POWERS = np.cumprod(np.full(_LONGEST + 2, _P[0]), dtype=np.uint64)
 
 
+def pieces(tokens: list[str]) -> list[str]:
+    """The tokens, those whose word is too long for one in parts that together hold all of it: split where no letter is,
+    and a run of letters (with the marks on them) that is still too long every _LONGEST characters."""
+    # a letter's lower case has two characters at most
+    if not any(len(t) > _LONGEST // 2 for t in tokens):
+        return tokens
+    out: list[str] = []
+    for token in tokens:
+        if len(token) <= _LONGEST // 2 or len(normal(token)) <= _LONGEST:
+            out.append(token)
+            continue
+        spaced = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in token.lower())
+        for run in spaced.split():
+            out += [run[i : i + _LONGEST] for i in range(0, len(run), _LONGEST)]
+    return out
+
+
 def _slot(x: np.ndarray, kind: int) -> np.ndarray:
     """Weight row of a feature: a mixing of its value, another for each kind of feature."""
     x = (x + np.uint64(kind)) * _P[3]
@@ -60,8 +79,8 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Weight rows of the features of some words, and the word that each belongs to.
 
     Lexicon entry, first and last one to three letters, n-grams of two and three letters with the word's edges.
+    A word has at most _LONGEST letters, as those of `pieces` have.
     """
-    words = [w[:_LONGEST] for w in words]
     c = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words])
     starts, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
@@ -230,7 +249,7 @@ class _Labeller:
         sizes: list[int] = []
         for i, text in enumerate(texts):
             if text:
-                found = text.split()
+                found = pieces(text.split())
                 tokens += found
                 owner.append(i)
                 sizes.append(len(found))
@@ -272,6 +291,7 @@ def _labeller(field: Field) -> _Labeller:
 def label_texts(docs: DataFrame, field: Field | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score and n_words of every row's whole text.
 
+    Words stand between white space; one of more than _LONGEST letters counts as the several words of its `pieces`.
     The score is the language's share of the words' posterior mass.  `und` with score 0 where the text is
     null or has no letter, and everywhere if there is no field.
     """
@@ -316,7 +336,7 @@ def train(
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     texts: dict[str, list[list[str]]] = {}
     for row in some.withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("lang", "text").toLocalIterator():
-        words = [w for w in map(normal, row["text"].split()) if w]
+        words = [w for w in map(normal, pieces(row["text"].split())) if w]
         if words:
             texts.setdefault(row["lang"], []).append(words)
     return fit_field({k: sorted(v) for k, v in texts.items()}, **options) if texts else None

@@ -129,6 +129,23 @@ def test_labels_of_texts(spark, field, monkeypatch):
     assert all(got[i]["n_words"] == len(t.split()) for i, t, *_ in rows)
 
 
+def test_texts_without_spaces_are_read_whole(spark, field):
+    rng = random.Random(5)
+    head, tail = "".join(speech(rng, "aa", 20)), "".join(speech(rng, "bb", 400))
+    texts = [head + tail, ",".join([head, *speech(rng, "bb", 400)]), "。".join([head, tail])]
+    got = language.label_texts(documents(spark, [(i, t, "bb", "a", 1) for i, t in enumerate(texts)]), field).collect()
+    assert {r["lang_pred"] for r in got} == {"bb"} and all(r["n_words"] > 20 for r in got)
+
+
+def test_pieces_hold_every_letter():
+    long = "Ab1" * 30 + "é" * 95 + "..." + "क्" * 60
+    got = language.pieces(["short", long, "-" * 90 + "word" + "!" * 90])
+    assert got[0] == "short" and language.normal(got[-1]) == "word"
+    assert all(len(language.normal(p)) <= 40 for p in got)
+    language.features([language.normal(p) for p in language.pieces(["\u0130" * 40, long])])
+    assert [c for p in got[1:-1] for c in p if c.isalpha()] == [c for c in long.lower() if c.isalpha()]
+
+
 def test_labels_of_odd_texts(spark, field):
     rows = language.label_texts(documents(spark), field).collect()
     assert len(rows) == len(odd_rows())
