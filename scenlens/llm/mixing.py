@@ -83,10 +83,12 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tupl
     table, other, shares, learned = word_table(labelled, domains)
     table = stored(table, "word-table")
     k = range(len(domains))
-    words = docs.select(
+    # beside an explode, Spark would take key and tokens from the text once more for every exploded word
+    texts = docs.select(
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.size(_words("text")).cast("long").alias("tokens"),
-        F.explode_outer(_kinds("text")).alias("bucket"),
+        _kinds("text").alias("kinds"),
     )
+    words = texts.select("key", "tokens", F.explode_outer("kinds").alias("bucket"))
     scored = words.join(F.broadcast(table), "bucket", "left")  # bounded rows
     # rows of equal texts add up alike, so their means are those of one; only the weight sees them together
     odds = [F.avg(F.when(F.col("bucket").isNotNull(), F.coalesce(f"o_{i}", F.lit(other[i])))).alias(f"s_{i}") for i in k]
