@@ -256,8 +256,9 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> D
         enc, end = encoder(vocabulary), np.array([end_id], ID).tobytes()
         for batch in batches:
             row, piece, start, length, sums = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = enc.encode(text) + end
+            texts = (text.as_py() for text in batch.column("text"))
+            for i, found in enumerate(enc.encode_many(texts)):
+                ids = found.tobytes() + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 for k, a in enumerate([0, *range(first, n, capacity)]):

@@ -1,18 +1,23 @@
-"""Token ids of whole texts, by the `tokenizers` library, through a memo of pieces.
+"""Token ids of whole texts, as the `tokenizers` library gives them, each different word encoded once.
 
-A text is cut only where its tokenizer always begins a new word, so the ids of the
-pieces, joined, are the ids of the text.  Pieces recur, so most are looked up.
+Texts of common Latin letters are cut into words, and the words numbered; words not met before are encoded together and
+every text gathers the ids of its words.  Words recur, so few are encoded; they are merged by `tiktoken`, from the ranks of
+the vocabulary file.  Any other text is cut only where its tokenizer always begins a new word, and its pieces go to
+the library through a memo.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 ID = np.dtype("<u4")
@@ -26,6 +31,24 @@ LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N
 #: Pieces of these characters split alike under every Unicode version; others go to the library whole.
 PLAIN = re.compile(r" ?[\x21-\x7eÀ-įı-ɏ]+")
 BEYOND = "ɐ"
+#: Texts of these characters are split, lower-cased and normalised alike by every library here.
+COMMON = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*")
+#: A character that is in no common text; it stands after every word that is to be encoded.
+MARK = "\x01"
+
+
+def _common(kind: str) -> str:
+    """The characters of common texts of a Unicode category, for a class of `re`, which is faster than `regex`."""
+    both = (chr(c) for c in range(0x21, ord(BEYOND)))
+    return "".join(re.escape(c) for c in both if COMMON.fullmatch(c) and regex.fullmatch(rf"\p{{{kind}}}", c))
+
+
+_L, _N = _common("L"), _common("N")
+COMMON_BYTE_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+COMMON_LOWER_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+CHUNK_CHARS = 1 << 21
+#: Longer words go to the library, whose time does not grow with their square.
+LONG_WORD = 256
 ALONE = re.compile(r"(?<=\S)([ \n])(?=\S)")
 
 
@@ -63,6 +86,74 @@ class _Memo(dict):
         return value
 
 
+class _Numbers(dict):
+    """Numbers words in the order they are first met."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class Words:
+    """Ids of numbered words, which are encoded together when they are first met."""
+
+    def __init__(self, path: str, lower: bool, whole: Callable[[str], bytes]):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        back = {ord(letter): b for b, letter in LETTERS.items()}
+        ranks = {}
+        for token, rank in model["vocab"].items():
+            ends = lower and token.endswith("</w>")
+            letters = (token.removesuffix("</w>") if ends else token).translate(back)
+            if all(ord(c) < 256 for c in letters) and not token.startswith("<|"):
+                ranks[letters.encode("latin-1") + (MARK.encode() if ends else b"")] = rank
+        merged = [model["vocab"][m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in model["merges"]]
+        if sorted(merged) != merged or min(merged) < 256 * (1 + lower):
+            raise ValueError("ids do not follow the order of the merges")
+        self.lower, self.whole = lower, whole
+        pattern = f"[^{MARK}]+{MARK}" if lower else f"[^{MARK}]+|{MARK}"
+        self.merger = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # what ends a word: ids of tokens that do, or the mark itself
+        last = np.zeros(max(ranks.values()) + 1, bool)
+        last[[r for t, r in ranks.items() if (t.endswith(MARK.encode()) and len(t) > 1 if lower else t == MARK.encode())]] = True
+        self.last = last
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.ids, self.ends = _Numbers(), np.empty(0, ID), np.zeros(1, np.int64)
+
+    def number(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+
+    def learn(self) -> None:
+        """Encodes the words numbered since it last did."""
+        new = list(islice(self.numbers, len(self.ends) - 1, None))
+        if not new:
+            return
+        long = {i: np.frombuffer(self.whole(w), ID) for i, w in enumerate(new) if len(w) > LONG_WORD}
+        for i in long:
+            new[i] = "a"
+        ids = self.merger.encode_to_numpy(MARK.join(new) + MARK).astype(ID)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("words and their ends differ in number")
+        if not self.lower:
+            ids, ends = ids[~self.last[ids]], ends - np.arange(1, len(ends) + 1)
+        if long:
+            parts = np.split(ids, ends[:-1])
+            for i, found in long.items():
+                parts[i] = found
+            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and how many there are of each word."""
+        first, many = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        before = np.cumsum(many) - many
+        return self.ids[np.repeat(first - before, many) + np.arange(many.sum())], many
+
+
 class Encoder:
     """`encode(text)` gives the ids as little-endian unsigned 32-bit integers, without special tokens.
 
@@ -79,6 +170,39 @@ class Encoder:
         self.heads = _Memo(self._head, MAX_PIECES)
         self.tails = _Memo(self._tail, MAX_PIECES)
         self.newline = b"" if self.lower else self._whole("\n")
+        self.plain_text = plain_text
+        self.table = Words(path, self.lower, self._whole)
+
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of every text, in turn."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size >= CHUNK_CHARS:
+                yield from self._chunk(held)
+                held, size = [], 0
+        yield from self._chunk(held)
+
+    def _chunk(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        split = (COMMON_LOWER_WORDS if self.lower else COMMON_BYTE_WORDS).findall
+        numbered = []
+        for text in texts:
+            common = not text or COMMON.fullmatch(text) and (self.plain_text or "<|" not in text)
+            numbered.append(self.table.number(split(text.lower() if self.lower else text) if text else []) if common else None)
+        self.table.learn()
+        words = [n for n in numbered if n is not None]
+        ids, many = self.table.gather(np.concatenate(words) if words else np.empty(0, np.int64))
+        ends, word, at = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)]), 0, 0
+        for text, n in zip(texts, numbered, strict=True):
+            if n is None:
+                yield np.frombuffer(self.encode(text), ID)
+            else:
+                word += len(n)
+                yield ids[at : ends[word]]
+                at = ends[word]
+        if len(self.table.numbers) > MAX_WORDS:
+            self.table.forget()
 
     def _whole(self, piece: str) -> bytes:
         return np.array(self.library.encode(piece, add_special_tokens=False).ids, ID).tobytes()
