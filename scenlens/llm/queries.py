@@ -8,10 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenlens.llm import ann, language, line_dedup, mixing, near_dup, packing, pii, quality, token_counts, token_files
+from scenlens.llm import (
+    alignment,
+    ann,
+    ball_search,
+    language,
+    line_dedup,
+    mixing,
+    near_dup,
+    packing,
+    pii,
+    quality,
+    token_counts,
+    token_files,
+    toxicity,
+)
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +94,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on labels that are not held out, then applied to every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(toxicity.labelled_texts(docs, labels.where(~held_out)))
+    named = docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("doc_id"), "text")
+    return toxicity.score_texts(named, model).select("doc_id.doc_id", "doc_id.held_out", "score", "predicted")
+
+
+def op12_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=20)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer_alignment(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_MODEL)
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_cross_polytope": op2_cross_polytope,
@@ -90,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_separator_counts": op9_separator_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_toxicity": op11_toxicity,
+    "op12_ball_search": op12_ball_search,
+    "op13_alignment": op13_alignment,
 }
 
 #: The others tokenise, search, fit or follow links; they are tested against plain Python.
@@ -103,4 +140,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE often) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN f USING (key) GROUP BY r, doc_id""",
+    "op12_ball_search": """
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS terms FROM documents),
+        asked AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS terms
+            FROM (SELECT DISTINCT item_id, text FROM benchmark) AS b),
+        held AS (SELECT r, doc_id, unnest(terms) AS term FROM docs),
+        tf AS (SELECT r, doc_id, term, count(*) AS tf FROM held GROUP BY ALL),
+        sizes AS (SELECT r, count(*) AS n FROM held GROUP BY r),
+        whole AS (SELECT count(*) AS docs_n, CAST(sum(n) AS BIGINT) AS terms_n FROM sizes),
+        weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs_n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM tf, whole GROUP BY term, docs_n),
+        wanted AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(terms) AS term FROM asked) AS u GROUP BY ALL),
+        factors AS (SELECT r, 100 - 25 + (25 * n * docs_n) // terms_n AS m FROM sizes, whole),
+        scored AS (SELECT q, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN factors USING (r) GROUP BY ALL),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+        SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 20""",
 }
