@@ -7,7 +7,8 @@ occurrences and length).  Only terms of the items can add to it, so a document's
    which the numbers of documents and terms of the whole corpus are added up.
 2. A task puts its rows into ball trees: nodes with the centre of their documents and a radius that all lie within.
    No document of a node scores more than the item's product with the centre, and the radius times the item's length.
-   Lengths and radii are measured twice, with terms scaled by their weight and by its square: either bound holds, the smaller one is used.
+   Radii are taken of the whole vector, twice, with terms scaled by their weight and by its square, and of each term alone, where they add up
+   over the item's terms: each bound holds, the smallest is used.
    Whatever rounding does, bounds are only ever made larger.
 3. An item searches a tree best bound first and leaves the subtrees whose bound is below its present last place; scores at the
    leaves are sums of 64-bit integers.  What a task has found already bounds its later trees.
@@ -82,7 +83,8 @@ class Tree:
     factor: np.ndarray
     #: Of each node: first document, end, and the numbers of its two halves (-1 for a leaf).
     nodes: np.ndarray
-    centres: list[tuple[np.ndarray, np.ndarray]]
+    #: Of each node: the terms its documents have, and of each its mean factor and how far the largest lies above.
+    centres: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     radii: np.ndarray
 
 
@@ -114,7 +116,9 @@ def grow(ids: np.ndarray, starts: np.ndarray, term: np.ndarray, factor: np.ndarr
             away.append(np.maximum(found, 0.0) + SAFETY * (norm + middle))
         radii.append([math.sqrt(d.max()) * (1 + SAFETY) for d in away])
         there = np.flatnonzero(centre)
-        centres.append((there, centre[there]))
+        reach = np.zeros(len(weights))
+        np.maximum.at(reach, own_term, own)
+        centres.append((there, centre[there], (reach - centre)[there]))
         nodes.append([a, b, -1, -1])
         if b - a <= LEAF_ROWS:
             continue
@@ -145,8 +149,9 @@ def bounds(tree: Tree, wanted: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For every node and each of the items (columns of `wanted`, occurrences times weight) what no document below exceeds."""
     long = [np.sqrt(((wanted / weights[:, None] ** p) ** 2).sum(axis=0)) for p in (1.0, 2.0)]
     reach = np.minimum(*(np.outer(tree.radii[:, i], long[i]) for i in (0, 1)))
-    middle = np.stack([value @ wanted[at] for at, value in tree.centres])
-    return (middle + reach) * (1 + SAFETY)
+    own = np.stack([np.stack(pair) @ wanted[at] for at, *pair in tree.centres])
+    middle, alone = own[:, 0], own[:, 1]
+    return (middle + np.minimum(reach, alone)) * (1 + SAFETY)
 
 
 class Best:
