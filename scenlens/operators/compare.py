@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scenlens.constants import PERCENT
 from scenlens.functions import safe_div, strict_sum, strict_sum_where
-from scenlens.operators.reshape import pivot_cells, pivot_sums, single_cell, sum_by, to_long
+from scenlens.operators.reshape import groups_of_all, pivot_cells, pivot_sums, single_cell, sum_by, to_long
 from scenlens.scenarios import ScenarioFamily
 
 
@@ -42,28 +42,24 @@ def spread(
     """
     if cells not in ("summed", "merged", "single"):
         raise ValueError(f"unknown kind of cells {cells!r}")
-    if cells == "single":
-        wide = pivot_cells(df, ids, family.canonical(raw), family.names, value)
+    rows = df if cells == "single" else sum_by(df, [raw, *ids], value)
+    name = family.canonical(raw)
+    if not complete:
+        return (pivot_sums if cells == "merged" else pivot_cells)(rows, ids, name, family.names, value)
+    if cells == "merged":
+        columns = [strict_sum_where(name.eqNullSafe(F.lit(n)), value).alias(n) for n in family.names]
     else:
-        summed = sum_by(df, [raw, *ids], value)
-        pivot = pivot_cells if cells == "summed" else pivot_sums
-        wide = pivot(summed, ids, family.canonical(raw), family.names, value)
-    return with_all_scenarios(wide, df, family, raw) if complete else wide
+        columns = [single_cell(name.eqNullSafe(F.lit(n)), n, ids, value, _cell(ids)) for n in family.names]
+    return groups_of_all(rows, ids, columns, _present(family, raw), AbsentScenario.__name__)
 
 
-def with_all_scenarios(wide: DataFrame, df: DataFrame, family: ScenarioFamily, raw: str = "scenario") -> DataFrame:
-    """`wide`, failing the job where a scenario of the family is in no row of `df`.
+def _cell(ids: Sequence[str]) -> Column | None:
+    """Whether a group is a cell and not the whole table."""
+    return F.grouping_id() == 0 if ids else None
 
-    The test is a scalar subquery over the distinct labels; a table without any row passes.
-    """
-    name = family.canonical(raw)
-    labels = df.select(raw).distinct()
-    lacking = F.array_compact(F.array(*[
-        F.when(F.coalesce(F.bool_or(name.eqNullSafe(F.lit(n))), F.lit(True)), None).otherwise(F.lit(n)) for n in family.names
-    ]))
-    lacks = labels.agg(F.array_join(lacking, ", ").alias("lacks")).scalar()
-    fail = F.raise_error(F.concat(F.lit(f"{AbsentScenario.__name__}: no row of "), lacks)).cast("boolean")
-    return wide.where(F.when(lacks == "", F.lit(True)).otherwise(fail))
+
+def _present(family: ScenarioFamily, raw: str) -> dict[str, Column]:
+    return {n: family.canonical(raw) == n for n in family.names}
 
 
 def compare(
@@ -93,11 +89,14 @@ def net_and_relative(
     summed = sum_by(df, [raw, *group, *detail], value)
     name = family.canonical(raw)
     keys = [*group, *detail]
-    cells = summed.groupBy(*keys).agg(*[
+    columns = [
         column
         for n in family.names
-        for column in (single_cell(name == n, n, keys, value), (F.count_if(name == n) > 0).alias(f"__has_{n}"))
-    ])
+        for column in (
+            single_cell(name == n, n, keys, value, _cell(keys)), (F.count_if(name == n) > 0).alias(f"__has_{n}"),
+        )
+    ]
+    cells = groups_of_all(summed, keys, columns, _present(family, raw), AbsentScenario.__name__)
     totals = cells.groupBy(*group).agg(
         *[strict_sum_where(F.col(f"__has_{n}"), n).alias(n) for n in family.names],
         *[
@@ -113,7 +112,7 @@ def net_and_relative(
         )
         for v in family.variants
     ])
-    return with_all_scenarios(totals, df, family, raw).select(*group, F.inline(rows))
+    return totals.select(*group, F.inline(rows))
 
 
 def gap_to_target(df: DataFrame, target: str, scenarios, ids: Sequence[str], out: str) -> DataFrame:

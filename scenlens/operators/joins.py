@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scenlens.operators.reshape import checked
+
 _COPIES = "__copies"
 
 
@@ -83,10 +85,9 @@ def strict_lookup(
 ) -> DataFrame:
     """`lookup` that fails the job when a row finds no match or several.
 
-    The check is a filter on the joined rows, so it is not pruned away when the
-    looked-up columns are unused.  A filter on `df` columns applied later may
-    be pushed below it; rows removed that way are not checked.  Use
-    `unmatched` to test a whole input.
+    The check is a filter on the joined rows that no later filter is moved below: it is not
+    pruned away when the looked-up columns are unused, and a row that a later `where` takes out is checked as well.
+    Filters that are to reach the files go before the lookup.
 
     `unique=True` states that `on` is a key of `right` by construction (for
     example right after a group-by on it) and saves the counting step, as does
@@ -107,9 +108,8 @@ def strict_lookup(
         return F.raise_error(F.concat(F.lit(f"strict lookup: {what} for "), key_text)).cast("boolean")
 
     copies = F.col(_COPIES)
-    return lookup(df, counted, on).where(
-        F.when(copies.isNull(), fail("no match")).when(copies > 1, fail("several matches")).otherwise(F.lit(True))
-    ).drop(_COPIES)
+    matched = F.when(copies.isNull(), fail("no match")).when(copies > 1, fail("several matches")).otherwise(F.lit(True))
+    return lookup(df, counted, on).where(checked(matched)).drop(_COPIES)
 
 
 def unmatched(df: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

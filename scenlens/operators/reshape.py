@@ -39,14 +39,24 @@ def pivot_sums(
     ])
 
 
-def single_cell(here: Column, name: str, ids: Sequence[str], value: str = "value") -> Column:
-    """The value of the one row of a group where `here` holds; fails the job when there are more."""
+def checked(test: Column) -> Column:
+    """A test that fails the job, as a filter that no other filter is moved below: rows that a later `where` takes out
+    are tested too."""
+    return test & (F.spark_partition_id() >= 0)
+
+
+def single_cell(here: Column, name: str, ids: Sequence[str], value: str = "value", group: Column | None = None) -> Column:
+    """The value of the one row of a group where `here` holds; fails the job when there are more.
+
+    Of grouping sets, `group` says which groups are cells.
+    """
     message = F.concat(
         F.lit(f"{DuplicateCell.__name__}: several rows for {name} at "),
         F.to_json(F.struct(*ids)) if ids else F.lit("the single row"),
     )
+    several = F.count_if(here) > 1
     return (
-        F.when(F.count_if(here) > 1, F.raise_error(message).cast("double"))
+        F.when(several if group is None else group & several, F.raise_error(message).cast("double"))
         .otherwise(F.max(F.when(here, F.col(value))))
         .alias(name)
     )
@@ -62,6 +72,29 @@ def pivot_cells(
     ])
 
 
+def groups_of_all(
+    df: DataFrame, ids: Sequence[str], columns: Sequence[Column], present: dict[str, Column], error: str
+) -> DataFrame:
+    """`columns` aggregated per id; fails the job, naming them with `error`, where a test of `present` holds in no row.
+
+    The whole table is one more group of the same aggregation, so the answer comes out of the groups' own exchange
+    and nothing is read twice.  A table without any row passes.
+    """
+    ids, level, lacking = list(ids), "__level", "__lacking"
+    names = F.array_compact(F.array(*[
+        F.when(F.bool_or(F.coalesce(test, F.lit(False))), None).otherwise(F.lit(n)) for n, test in present.items()
+    ]))
+    lacks = F.array_join(names, ", ").alias(lacking)
+    fail = F.raise_error(F.concat(F.lit(f"{error}: no row of "), F.col(lacking))).cast("boolean")
+    if not ids:
+        some = df.groupBy().agg(*columns, F.when(F.count(F.lit(1)) > 0, lacks).otherwise("").alias(lacking))
+        return some.where(checked(F.when(F.col(lacking) == "", F.lit(True)).otherwise(fail))).drop(lacking)
+    keys = [F.col(f"`{c}`") for c in ids]
+    sets = df.groupingSets([keys, []], *keys).agg(F.grouping_id().alias(level), *columns, lacks)
+    one = F.when(F.col(level) == 0, F.lit(True)).when(F.col(lacking) == "", F.lit(False)).otherwise(fail)
+    return sets.where(checked(one)).drop(level, lacking)
+
+
 def to_long(
     df: DataFrame, ids: Sequence[str] | None, columns: Sequence[str] | None,
     name: str = "scenario", value: str = "value",

@@ -61,56 +61,62 @@ def income_deciles(prj: Project) -> DataFrame:
     )
 
 
-def _world(prj: Project, query: str, rules) -> DataFrame:
-    """World sums by raw sector label, then the label rewritten."""
-    return sum_by(prj.query(query, "sector"), SECTOR_KEYS).withColumn("sector", recode_first("sector", rules))
-
-
-def _world_as(prj: Project, query: str, sector: str) -> DataFrame:
-    """World sums of a table without sectors, under one sector name."""
-    return sum_by(prj.query(query), ["scenario", "year", "Units"]).withColumn("sector", F.lit(sector))
+def _source(prj: Project, query: str, labelled: bool, source: str) -> DataFrame:
+    """A table of world energy beside a tag; one without sectors has none."""
+    rows = prj.query(query, *(["sector"] if labelled else []))
+    sector = F.col("sector") if labelled else F.lit(None).cast("string")
+    return rows.select("scenario", sector.alias("sector"), "year", "Units", "value", F.lit(source).alias("source"))
 
 
 def _buildings(prj: Project) -> DataFrame:
-    return _world(prj, BUILDINGS, C.BUILDING_SECTORS)
+    return _source(prj, BUILDINGS, True, "buildings")
 
 
 def _industry(prj: Project) -> DataFrame:
-    return _world_as(prj, INDUSTRY, "Industry")
+    return _source(prj, INDUSTRY, False, "industry")
 
 
 def _transport(prj: Project) -> DataFrame:
-    return _world(prj, TRANSPORT, C.TRANSPORT_SECTORS)
+    return _source(prj, TRANSPORT, True, "transport")
 
 
 def _transport_total(prj: Project) -> DataFrame:
-    return _world_as(prj, TRANSPORT_TOTAL, "Transport")
+    return _source(prj, TRANSPORT_TOTAL, False, "transport total")
+
+
+def _world(*tables: DataFrame) -> DataFrame:
+    """World sums of tagged tables by raw label, all in one exchange, then the label rewritten as its table asks."""
+    summed = sum_by(union_all(*tables), ["source", *SECTOR_KEYS])
+    named = (
+        F.when(F.col("source") == "buildings", recode_first("sector", C.BUILDING_SECTORS))
+        .when(F.col("source") == "transport", recode_first("sector", C.TRANSPORT_SECTORS))
+        .when(F.col("source") == "industry", "Industry").otherwise("Transport")
+    )
+    return summed.withColumn("sector", named).drop("source")
 
 
 def buildings_energy(prj: Project) -> DataFrame:
     """World energy of buildings by service.  N13, N76"""
-    return sum_by(_buildings(prj), SECTOR_KEYS)
+    return sum_by(_world(_buildings(prj)), SECTOR_KEYS)
 
 
 def industry_energy(prj: Project) -> DataFrame:
     """World energy of industry.  N14, N76"""
-    return _industry(prj)
+    return _world(_industry(prj))
 
 
 def transport_energy(prj: Project) -> DataFrame:
     """World energy of transport by mode.  N15"""
-    return sum_by(_transport(prj), SECTOR_KEYS)
+    return sum_by(_world(_transport(prj)), SECTOR_KEYS)
 
 
 def transport_total_energy(prj: Project) -> DataFrame:
     """World energy of transport as one sector.  N76"""
-    return _transport_total(prj)
+    return _world(_transport_total(prj))
 
 
 def _all_sectors(prj: Project, by_mode: bool) -> DataFrame:
-    keep = [*SECTOR_KEYS, "value"]
-    parts = (_buildings(prj), _industry(prj), _transport(prj) if by_mode else _transport_total(prj))
-    return union_all(*[p.select(*keep) for p in parts])
+    return _world(_buildings(prj), _industry(prj), _transport(prj) if by_mode else _transport_total(prj))
 
 
 def final_energy_change(prj: Project, family: ScenarioFamily = POLICY, by_mode: bool = True) -> DataFrame:
@@ -173,44 +179,44 @@ DECILE_KEYS = ["scenario", "region", "sector", "decile", "year", "Units"]
 REGION_KEYS = ["scenario", "region", "sector", "year", "Units"]
 
 
-def _label_sums(rows: DataFrame, decile: str | None, rules) -> DataFrame:
-    """Sums by raw label, then the decile split off and the label rewritten.
-
-    A wanted decile is tested on the raw label, before anything is split.
-    """
+def _tagged(prj: Project, query: str, wanted: str, decile: str | None, source: str) -> DataFrame:
+    """Rows of a table whose raw label is wanted, beside a tag; a decile is tested on the raw label, before anything is split."""
+    rows = prj.query(query, "sector", "region").where(contains("sector", wanted))
     if decile is not None:
         rows = rows.where(F.col("sector").endswith(f"_{decile}"))
-    return _with_decile(sum_by(rows, REGION_KEYS)).withColumn("sector", recode_first("sector", rules))
+    return rows.select(*REGION_KEYS, "value", F.lit(source).alias("source"))
 
 
-def _buildings_decile(prj: Project, decile: str | None = None) -> DataFrame:
-    rows = prj.query(BUILDINGS, "sector", "region").where(contains("sector", "resid"))
-    return _label_sums(rows, decile, C.BUILDING_SECTORS[1:])
+def _label_sums(*tables: DataFrame) -> DataFrame:
+    """Sums of tagged tables by raw label, all in one exchange, then the decile split off and the label rewritten."""
+    split = _with_decile(sum_by(union_all(*tables), ["source", *REGION_KEYS]))
+    named = F.when(F.col("source") == "buildings", recode_first("sector", C.BUILDING_SECTORS[1:])).otherwise(
+        recode_first("sector", C.PASSENGER_SECTORS)
+    )
+    return split.withColumn("sector", named).select(*DECILE_KEYS, "value")
 
 
-def _transport_decile(
-    prj: Project, wanted: str = "trn_pass|trn_aviation", decile: str | None = None
-) -> DataFrame:
-    rows = prj.query(TRANSPORT, "sector", "region").where(contains("sector", wanted))
-    return _label_sums(rows, decile, C.PASSENGER_SECTORS)
+def _residential(prj: Project, decile: str | None = None) -> DataFrame:
+    return _tagged(prj, BUILDINGS, "resid", decile, "buildings")
+
+
+def _passenger(prj: Project, wanted: str = "trn_pass|trn_aviation", decile: str | None = None) -> DataFrame:
+    return _tagged(prj, TRANSPORT, wanted, decile, "transport")
 
 
 def _decile_rows(prj: Project, decile: str | None = None) -> DataFrame:
     """Residential and passenger energy by decile; `decile` picks one by its label ending."""
-    keep = [*DECILE_KEYS, "value"]
-    return union_all(
-        _buildings_decile(prj, decile).select(*keep), _transport_decile(prj, decile=decile).select(*keep)
-    )
+    return _label_sums(_residential(prj, decile), _passenger(prj, decile=decile))
 
 
 def buildings_by_decile(prj: Project) -> DataFrame:
     """Residential energy by region and decile.  N21"""
-    return sum_by(_buildings_decile(prj), DECILE_KEYS)
+    return sum_by(_label_sums(_residential(prj)), DECILE_KEYS)
 
 
 def transport_by_decile(prj: Project) -> DataFrame:
     """Passenger energy by region and decile.  N22"""
-    return sum_by(_transport_decile(prj), DECILE_KEYS)
+    return sum_by(_label_sums(_passenger(prj)), DECILE_KEYS)
 
 
 def population_aggregate(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
@@ -328,7 +334,7 @@ def energy_need_chart(prj: Project, regions: DataFrame, family: ScenarioFamily =
 
 def aviation_change(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
     """Change of aviation energy by decile and aggregate region.  N29"""
-    rows = year_window(_transport_decile(prj, "trn_aviation"))
+    rows = year_window(_label_sums(_passenger(prj, "trn_aviation")))
     changed = compare(rows, ["year", "region", "decile", "sector", "Units"], family)
     return to_aggregate_region(
         changed, regions, ["scenario", "region", "year", "decile", "sector"]

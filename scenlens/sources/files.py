@@ -45,6 +45,45 @@ def _fronts(spark: SparkSession, path: str, comment: str | None = None) -> DataF
     return lines.where(kept & ~F.col("value").startswith(comment) if comment else kept)
 
 
+def _front_lines(spark: SparkSession, path: str, many: int, comment: str | None = None) -> list[str]:
+    """The first lines, blank ones and comments apart, of the first file in the order of names that has any.
+
+    They are read from the file's first bytes, by the driver and without a job; what other files begin with is checked in the scan.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    at = hadoop.fs.Path(path)
+    files = at.getFileSystem(conf)
+
+    def named(entries) -> list:
+        kept = [e for e in entries or [] if not e.getPath().getName().startswith(("_", "."))]
+        return sorted(kept, key=lambda e: e.getPath().getName())
+
+    def first_of(entries) -> list[str]:
+        for entry in entries:
+            inside = named(files.listStatus(entry.getPath())) if entry.isDirectory() else None
+            found = first_of(inside) if inside is not None else lines_of(entry.getPath())
+            if found:
+                return found
+        return []
+
+    def lines_of(name) -> list[str]:
+        codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(name)
+        stream = files.open(name)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        try:
+            found = []
+            while len(found) < many and (line := reader.readLine()) is not None:
+                if line and not (comment and line.startswith(comment)):
+                    found.append(line)
+            return found
+        finally:
+            reader.close()
+
+    return first_of(named(files.globStatus(at)))
+
+
 def _places(header: str, struct: T.StructType, path: str) -> list[str]:
     """Declared names in the order of the header; names of other columns are made up."""
     found = [c.strip().lower() for c in next(csv.reader([header.lstrip("﻿")]))]
@@ -59,24 +98,28 @@ def _places(header: str, struct: T.StructType, path: str) -> list[str]:
 def read_csv(
     spark: SparkSession, path: str, schema: str | T.StructType, *,
     missing: str | Sequence[str] = MISSING_TEXTS, comment: str | None = None, positional: bool = False,
+    every_field: bool = True,
 ) -> DataFrame:
-    """CSV with a header line, the declared columns in the declared order.
+    """CSV with a header line, the declared columns in the declared order.  No job runs before the scan.
 
-    `missing` marks absent values.  All files of a folder must have the same header.  `positional` takes the
-    header as it is and the columns by their place; then every line has exactly the declared fields.
+    `missing` marks absent values.  All files of a folder must have the same header, which the scan checks file by
+    file.  `positional` takes the header as it is and the columns by their place; then every line has exactly the declared fields.
+    With `every_field` each line's fields are counted whatever is selected; without it the parser skips columns that
+    are not selected, so lines of too few or too many fields are only met where all columns are read.
     """
     struct = _struct(schema)
     names = [f.name for f in struct.fields]
     header = None
     if not positional:
-        front = _fronts(spark, path, comment).orderBy("id").select("value").take(1)
+        front = _front_lines(spark, path, 1, comment)
         if not front:
             return spark.createDataFrame([], struct)
-        names = _places(front[0].value, struct, path)
-        header = [c.strip() for c in next(csv.reader([front[0].value.lstrip("﻿")]))]
+        names = _places(front[0], struct, path)
+        header = [c.strip() for c in next(csv.reader([front[0].lstrip("﻿")]))]
     reader = (
         spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in (header or names)]))
-        .option("header", True).option("enforceSchema", positional).option("mode", "FAILFAST").option("columnPruning", False)
+        .option("header", True).option("enforceSchema", positional).option("mode", "FAILFAST")
+        .option("columnPruning", not every_field)
     )
     if comment:
         reader = reader.option("comment", comment)
