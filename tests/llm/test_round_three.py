@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scenlens.llm import alignment, ball_search, toxicity
+from scenlens.llm import alignment, ball_search, mixing, toxicity
 from scenlens.llm.queries import BYTE_VOCABULARY, PIECE_MODEL, QUERIES, WORD_VOCABULARY
 from scenlens.llm.tokens import encoder
 from tests.llm.fixtures import documents, multiset, nothing, odd_rows, prose, words
@@ -258,3 +258,14 @@ def test_held_out_toxicity_of_the_given_table(spark, sf_dir):
     bad, good = ([r["score"] for r in got if r["toxic"] == k] for k in (1, 0))
     above = sum((b > g) + (b == g) / 2 for b in bad for g in good)
     assert above / len(bad) / len(good) > 0.85
+
+
+# ---- mixing -------------------------------------------------------------------------------
+
+
+def test_no_text_is_split_again_for_each_of_its_words(spark):
+    labelled = spark.createDataFrame([("good words here", "good"), ("low words there", "low")], "text string, domain string")
+    by_text, _ = mixing.posteriors(documents(spark), labelled, ["good", "low"])
+    lines = by_text._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    assert not any("split(" in line for line in lines[: at + 1])
