@@ -3,7 +3,10 @@
 Each text is measured inside its row.  A measure's distribution in a group is kept as a sketch of counts in
 log-linear buckets (relative width 1/32), which merge by adding: partial sums meet in a group-by, and the
 sketches of a language are the sums of its sources'.  A document is rejected where a measure lies beyond a
-far fence of its group.  Everything is DataFrame functions; a hot source is a few hundred sketch rows.
+far fence of its group: the third quartile and `FENCE` times the spread of the quartiles, which is that of the
+language or of all where the group's is narrower.  No cut-off is a fixed number: a measure whose quartiles
+coincide over the whole table has no scale and rejects nothing.  Everything is DataFrame functions; a hot source is a few
+hundred sketch rows.
 """
 
 from __future__ import annotations
@@ -13,13 +16,9 @@ from pyspark.sql import functions as F
 
 from scenlens.llm.shared import free_name, stored
 
-#: Measures in thousandths that may lie too high, and the least cut-off that a fence may set (parameters).
-HIGH = {
-    "symbol_rate": 60, "dup_line_rate": 400, "repeat_rate": 300, "caps_rate": 500, "mark_rate": 150,
-}
 MIN_GROUP = 100
 MIN_WORDS = 50
-FENCE = 3.0
+FENCE = 5.0
 BROADCAST_ROWS = 100_000
 
 _SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"
@@ -36,9 +35,9 @@ def _steps(text: str) -> list[dict[str, str]]:
             "_lines": "filter(transform(split(_text, '\\n', -1), l -> l), l -> btrim(l, ' \\t\\n\\u000B\\f\\r') != '')",
             "word_chars": f"char_length(regexp_replace(_text, '{_SPACE}', ''))",
             "n_symbols": "char_length(_text) - char_length(translate(_text, '#*$%&|<>', ''))",
-            "n_upper": "char_length(_text) - char_length(regexp_replace(_text, '\\\\p{Lu}', ''))",
-            "n_letters": "char_length(_text) - char_length(regexp_replace(_text, '\\\\p{L}', ''))",
-            "n_marks": "char_length(_text) - char_length(translate(_text, '!?', ''))",
+            "n_upper": "char_length(_text) - char_length(regexp_replace(_text, '\\\\p{Lu}+', ''))",
+            "n_letters": "char_length(_text) - char_length(regexp_replace(_text, '\\\\p{L}+', ''))",
+            "n_other": "char_length(regexp_replace(_text, '[\\\\p{L}\\\\p{M}\\\\p{N}\\\\p{Z}\\\\x09-\\\\x0D]+', ''))",
         },
         {
             "n_words": "size(_words)",
@@ -62,7 +61,7 @@ def _steps(text: str) -> list[dict[str, str]]:
     ]
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_other")
 
 
 def measured(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFrame:
@@ -74,13 +73,12 @@ def measured(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> Da
     return df.select(*names, *[F.col(c).cast("long").alias(c) for c in COUNTS])
 
 
-#: The measures, in thousandths: part and whole of each.
+#: The measures, in thousandths, that may lie too high: part and whole of each.
 RATES = {
-    "symbol_rate": ("n_symbols", "word_chars"),
+    "other_rate": ("n_other", "word_chars"),
     "dup_line_rate": ("n_dup_lines", "n_lines"),
     "repeat_rate": ("n_repeat_words", "n_words"),
     "caps_rate": ("n_upper", "n_letters"),
-    "mark_rate": ("n_marks", "word_chars"),
 }
 
 
@@ -109,7 +107,7 @@ def bucket_top(b: Column) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, level, measure, bucket, n: sketches of each language and source, language, and all."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in HIGH]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in RATES]))
     own = rows.select("lang", "source", pairs.alias("p")).groupBy(
         "lang", "source", "p.measure", "p.bucket"
     ).agg(F.count("*").alias("n"))
@@ -122,10 +120,10 @@ def sketches(rows: DataFrame) -> DataFrame:
     return merged.groupBy("g.level", "g.lang", "g.source", "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, fence: float = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
-    """level, lang, source, measure, cut: the third quartile plus `fence` times the spread, not under the least cut-off.
+def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """level, lang, source, measure, q3 (third quartile), spread (its distance from the first).
 
-    The spread is the distance of the quartiles; groups of fewer than `min_group` documents give none.
+    Groups of fewer than `min_group` documents give none.
     """
     group = ["level", "lang", "source", "measure"]
     up_to = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -133,17 +131,17 @@ def fences(sketch: DataFrame, fence: float = FENCE, min_group: int = MIN_GROUP)
         *group, "bucket", F.sum("n").over(up_to).alias("up_to"), F.sum("n").over(Window.partitionBy(*group)).alias("all")
     )
     at = lambda q: F.min(F.when(F.col("up_to") * 4 >= F.col("all") * q, bucket_top(F.col("bucket"))))
-    quartiles = ranked.where(F.col("all") >= min_group).groupBy(*group).agg(at(1).alias("q1"), at(3).alias("q3"))
-    least = F.create_map(*[x for m, v in HIGH.items() for x in (F.lit(m), F.lit(v))])
-    cut = F.col("q3") + F.floor((F.col("q3") - F.col("q1")) * F.lit(fence)).cast("long")
-    return quartiles.select(*group, F.greatest(least[F.col("measure")].cast("long"), cut).alias("cut"))
+    return ranked.where(F.col("all") >= min_group).groupBy(*group).agg(
+        at(3).alias("q3"), (at(3) - at(1)).alias("spread")
+    )
 
 
 def _cuts(rows: DataFrame, fence: float, min_group: int) -> DataFrame:
-    """One row per language and source: cut-offs of its own sketches, else its language's, else everyone's."""
-    found = fences(sketches(rows), fence, min_group)
+    """One row per language and source: the third quartile of its own sketch, else its language's, else everyone's, and
+    `fence` times the widest of their spreads; none where everyone's is 0."""
+    found = fences(sketches(rows), min_group)
     wide = found.groupBy("level", "lang", "source").agg(*[
-        F.max(F.when(F.col("measure") == m, F.col("cut"))).alias(m) for m in HIGH
+        F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}") for m in RATES for c in ("q3", "spread")
     ])
     groups = rows.select("lang", "source").distinct().alias("g")
     own, lang, every = (wide.where(F.col("level") == k).alias(f"l{k}") for k in (2, 1, 0))
@@ -152,9 +150,13 @@ def _cuts(rows: DataFrame, fence: float, min_group: int) -> DataFrame:
         .join(lang, F.col("l1.lang").eqNullSafe(F.col("g.lang")), "left")
         .join(F.broadcast(every), F.lit(True), "left")  # a single row
     )
-    return joined.select("g.lang", "g.source", *[
-        F.coalesce(f"l2.{m}", f"l1.{m}", f"l0.{m}").alias(f"cut_{m}") for m in HIGH
-    ])
+
+    def cut(m: str) -> Column:
+        q3 = F.coalesce(*[F.col(f"{t}.q3_{m}") for t in ("l2", "l1", "l0")])
+        spread = F.greatest(*[F.col(f"{t}.spread_{m}") for t in ("l2", "l1", "l0")])
+        return F.when(F.col(f"l0.spread_{m}") > 0, q3 + F.floor(spread * F.lit(fence)).cast("long"))
+
+    return joined.select("g.lang", "g.source", *[cut(m).alias(f"cut_{m}") for m in RATES])
 
 
 def judged(docs: DataFrame, keep: dict[str, Column], fence: float = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
@@ -165,16 +167,16 @@ def judged(docs: DataFrame, keep: dict[str, Column], fence: float = FENCE, min_g
     }).withColumns(rates()), "quality-measures")
     cuts = stored(_cuts(rows, fence, min_group), "quality-cuts")
     small = cuts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = cuts.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"cut_{m}" for m in HIGH])
+    side = cuts.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"cut_{m}" for m in RATES])
     joined = rows.join(
         F.broadcast(side) if small else side,
         F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left",
     )
     over = F.lit(False)
-    for m in HIGH:
+    for m in RATES:
         over = over | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
     return joined.select(
-        *[F.col(f"_keep_{n}").alias(n) for n in keep], *COUNTS, *HIGH, *[f"cut_{m}" for m in HIGH],
+        *[F.col(f"_keep_{n}").alias(n) for n in keep], *COUNTS, *RATES, *[f"cut_{m}" for m in RATES],
         base_failed().alias("base_failed"), (~base_failed() & ~over).alias("kept"),
     )
 
@@ -184,19 +186,27 @@ def quality_scores(docs: DataFrame, **options) -> DataFrame:
 
     Null text counts as empty, which fails the base rule (under 50 words).  A null language or source is a
     group like others.  Groups of fewer than `min_group` rows take their language's cut-offs, then
-    everyone's, then none.  Repeated rows count each; an empty table gives no rows; other columns are not read.
+    everyone's, then none; a measure without spread over the whole table has none.  Repeated rows count each; an empty table gives
+    no rows; other columns are not read.
     """
     return judged(docs, {"doc_id": F.col("doc_id")}, **options)
 
 
 def drop_poor(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that pass, with all their columns."""
-    key = F.xxhash64("text", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
-    rejected = judged(docs, {"doc_id": F.col("doc_id"), "key": key}, **options).where(~F.col("kept"))
-    own, other = free_name(docs, "rejected_id"), free_name(docs, "rejected_key")
-    rejected = stored(rejected.select(F.col("doc_id").alias(own), F.col("key").alias(other)).distinct(), "rejected")
+    """The rows of `docs` that pass, with all their columns.
+
+    Rows are told apart by id, text, language and source, nulls being values like others: a row goes only with rows
+    that are equal to it in all four.  Repeated rows stay or go together; an empty table gives no rows.
+    """
+    identity = {
+        "doc_id": F.col("doc_id"), "key": F.xxhash64("text"),
+        "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"),
+    }
+    names = {n: free_name(docs, f"rejected_{n}") for n in identity}
+    rejected = judged(docs, identity, **options).where(~F.col("kept"))
+    rejected = stored(rejected.select(*[F.col(n).alias(o) for n, o in names.items()]).distinct(), "rejected")
     small = rejected.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(
-        F.broadcast(rejected) if small else rejected,
-        F.col("doc_id").eqNullSafe(F.col(own)) & (key == F.col(other)), "left_anti",
-    )
+    same = F.lit(True)
+    for n, c in identity.items():
+        same = same & c.eqNullSafe(F.col(names[n]))
+    return docs.join(F.broadcast(rejected) if small else rejected, same, "left_anti")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,43 +216,81 @@ def test_sketch_buckets_hold_their_values(spark):
     assert tops[63] == 63 and tops[0] == 0
 
 
-def brute_cut(values, least):
-    """The fence that the sketch must give, from the sorted values of small integers."""
-    values = sorted(values)
-    at = lambda q: values[-(-len(values) * q // 4) - 1]
+def brute_rates(text):
+    """The measures of a text, in thousandths."""
+    n, t = brute_counts(text), text or ""
+    kinds = [unicodedata.category(c) for c in t]
+    lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+    letters = sum(k[0] == "L" for k in kinds)
+    other = sum(k[0] not in "LMNZ" and not "\t" <= c <= "\r" for k, c in zip(kinds, t, strict=True))
+    parts = {
+        "other_rate": (other, n[1]), "dup_line_rate": (n[3], lines), "repeat_rate": (n[4], n[0]),
+        "caps_rate": (kinds.count("Lu"), letters),
+    }
+    return {m: 1000 * part // whole if whole else 0 for m, (part, whole) in parts.items()}
+
+
+def brute_cut(levels):
+    """The fence that the sketches of a group, its language and all must give, from their values."""
     top = lambda v: v if v < 64 else ((v >> (v.bit_length() - 6)) + 1 << (v.bit_length() - 6)) - 1
-    q1, q3 = top(at(1)), top(at(3))
-    return max(least, q3 + 3 * (q3 - q1))
+    found = []
+    for values in levels:
+        if len(values) >= quality.MIN_GROUP:
+            values = sorted(values)
+            q1, q3 = (top(values[-(-len(values) * q // 4) - 1]) for q in (1, 3))
+            found.append((q3, q3 - q1))
+    return found[0][0] + int(quality.FENCE * max(s for _, s in found)) if found and found[-1][1] else None
+
+
+def compare_cuts(spark, rows):
+    got = {r["doc_id"]: r for r in quality.quality_scores(documents(spark, rows)).collect()}
+    rates = {i: brute_rates(t) for i, t, *_ in rows}
+    by_group = collections.defaultdict(list)
+    for i, _, lang, source, _ in rows:
+        for g in ((lang, source), (lang,), ()):
+            by_group[g].append(rates[i])
+    for i, _, lang, source, _ in rows:
+        over = False
+        for m in quality.RATES:
+            cut = brute_cut([[r[m] for r in by_group[g]] for g in ((lang, source), (lang,), ())])
+            assert (got[i][m], got[i][f"cut_{m}"]) == (rates[i][m], cut)
+            over |= cut is not None and rates[i][m] > cut
+        assert got[i]["kept"] == (not over and not got[i]["base_failed"])
+    return got, by_group
 
 
 def test_thresholds_come_from_the_group_and_its_levels(spark):
     rng = random.Random(9)
 
     def marked(share):
-        return " ".join(w + ("#" if rng.random() < share else "") for w in words(rng, 80))
+        text = [w + ("#" if rng.random() < share else "") for w in words(rng, 80)]
+        text = [w.title() if rng.random() < 0.2 else w for w in text]
+        return "\n".join([" ".join(text), *[rng.choice(("a b c", "d e")) for _ in range(rng.randint(0, 3))]])
 
     rows = [(i, marked(0.5 if i % 2 else 0.05), "en", "noisy" if i % 2 else "clean", 1) for i in range(400)]
     rows += [(1000 + i, marked(0.05), "en", "small", 1) for i in range(5)] + [(2000, marked(0.9), "xx", None, 1)]
-    got = {r["doc_id"]: r for r in quality.quality_scores(documents(spark, rows)).collect()}
-    rate = {i: 1000 * (n := brute_counts(t))[2] // n[1] for i, t, *_ in rows}
-    by_group = collections.defaultdict(list)
-    for i, _, lang, source, _ in rows:
-        for g in ((lang, source), (lang,), ()):
-            by_group[g].append(rate[i])
-    for i, _, lang, source, _ in rows:
-        group = next(g for g in ((lang, source), (lang,), ()) if len(by_group[g]) >= quality.MIN_GROUP)
-        cut = brute_cut(by_group[group], quality.HIGH["symbol_rate"])
-        assert got[i]["cut_symbol_rate"] == cut
-        assert got[i]["kept"] == (rate[i] <= cut and not got[i]["base_failed"])
-    assert {len(by_group[g]) for g in by_group} >= {5, 1, 200, 406}
+    rows += [(3000, "ÀÉ e\u0301 \u00a0\u3000 \u0967\u0968 ?!¿ " * 30, "en", "clean", 1)]
+    got, by_group = compare_cuts(spark, rows)
+    assert {len(by_group[g]) for g in by_group} >= {5, 1, 201, 407}
+    assert len({r["cut_other_rate"] for r in got.values()}) > 2
 
 
-def test_rejected_documents_go_with_their_columns(spark):
-    docs = documents(spark)
-    kept = found(quality.quality_scores(docs).where("kept"), "doc_id")
-    got = quality.drop_poor(docs)
-    assert got.columns == docs.columns and found(got, "doc_id") == kept
-    assert quality.drop_poor(nothing(spark)).count() == 0 == quality.quality_scores(nothing(spark)).count()
+def test_measures_without_spread_reject_nothing(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(words(rng, 60)), "en", "a", 1) for i in range(150)]
+    rows += [(500, " ".join(words(rng, 60)).upper(), "en", "a", 1)]
+    got, _ = compare_cuts(spark, rows)
+    assert all(r["kept"] and r["cut_caps_rate"] is None for r in got.values())
+
+
+def test_rejected_rows_leave_others_of_their_id_and_text(spark):
+    rng = random.Random(12)
+    plain = [" ".join(words(rng, 60)) + "?" * rng.randint(0, 9) for _ in range(900)]
+    rows = [(i, t if i % 8 else t.replace(" ", "! "), "en", "" if i % 8 else None, 1) for i, t in enumerate(plain)]
+    odd = rows[0][1]
+    rows += [(900, odd, "en", "", 1), (900, odd, "en", None, 1), (900, odd, "en", None, 1)]
+    got = quality.drop_poor(documents(spark, rows)).where("doc_id = 900").select("source").collect()
+    assert [r["source"] for r in got] == [None, None]
 
 
 # ---- personal data -------------------------------------------------------------------------
