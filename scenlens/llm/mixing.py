@@ -3,8 +3,9 @@
 A table of labelled rows teaches, for hashed words, how much likelier each domain is with a word than without it; a
 document's posterior over the domains is the softmax of its words' log-odds and the domains' shares.  Nonnegative rates are then
 fitted so that the expected tokens of every domain match the targets: least squares, each domain in its own tokens, by
-gradient steps that the curvature preconditions, until they settle; each sums the whole corpus.  Rates depend on the posterior alone, so documents of one posterior cell (a grid of
-1/CELLS) share theirs; the sums use exact posteriors.  Everything is DataFrame functions.
+projected gradient steps with momentum until they settle; each sums the whole corpus.  Rates depend on the posterior
+alone, so documents of one posterior cell (a grid of 1/CELLS) share theirs; the sums use exact posteriors.  Everything
+is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,10 @@ PRIOR_SEEN = 5.0
 EVIDENCE = 200
 CELLS = 40
 RIDGE = 1e-3
-#: Share of a domain's own tokens that its residual may be off the settled one; rates are then off by some TOLERANCE / RIDGE.
-TOLERANCE = 1e-9
+#: How far the last gradient step may move a rate; the rates are then off by some 2 * TOLERANCE / RIDGE in the mean square.
+TOLERANCE = 1e-6
+#: Steps after which the cells' state is written, so that no expression holds more.
+HELD_STEPS = 32
 BROADCAST_ROWS = 200_000
 #: Labelled rows that the classifier learns from, about and at most.
 LABELLED_ROWS = 100_000
@@ -103,86 +105,61 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tupl
     return raised.select("key", "tokens", *[(F.col(f"e_{i}") / whole).alias(f"p_{i}") for i in k]), learned
 
 
-def _fold(names: list[str], history: list[list[float]], step: float, out: str) -> Column:
-    """A cell's rate, or the point that the next gradient is taken at, after the steps whose residuals are given."""
-    if not history:
-        return F.lit(1.0)
-    rows = [[*residuals, t / (t + 3.0)] for t, residuals in enumerate(history)]
-    met = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])
+#: What a cell carries: its rate, the point where the next gradient is taken, the rate a step earlier, and the point that
+#: the last step left.
+_STATE = ("rate", "point", "before", "origin")
 
-    def move(s: Column, row: Column) -> Column:
-        pull = sum((F.col(n) * row[i] for i, n in enumerate(names)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), s["point"] - step * (pull + RIDGE * (s["point"] - 1.0)))
-        return F.struct(rate.alias("rate"), (rate + row[len(names)] * (rate - s["rate"])).alias("point"))
 
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("point"))
-    return F.aggregate(met, start, move)[out]
+def _moved(cells: DataFrame, k: int, steps: list[list[float]]) -> DataFrame:
+    """The cells with _state, theirs after the steps; a step is given by its residuals and its momentum.
 
-
-def fit_rates(cells: DataFrame, targets: list[float], steps: int) -> Column:
-    """The rate expression over a stored table of cells: tokens, and m_0, ...: their expected tokens by domain.
-
-    Goes `steps` projected gradient steps with momentum, in the tokens' measure, towards the least squared distance of the
-    domains' expected tokens from the targets, plus RIDGE times that of the rates from 1.  It does not ask whether they
-    have settled, and a domain of few tokens moves slowly: `settled_rates` is what the operator uses.
+    One SQL text: it is made some hundred times, and columns would be put together call by call.
     """
-    k = range(len(targets))
-    total = cells.agg(F.sum("tokens")).first()[0]
-    if not total:
-        return F.lit(1.0)
-    names, history, step = [f"b_{i}" for i in k], [], 1.0 / (1.0 + RIDGE)
-    for _ in range(steps):
-        point = cells.withColumn("_point", _fold(names, history, step, "point"))
-        got = point.agg(*[F.sum(F.col("_point") * F.col(f"m_{i}")) for i in k]).first()
-        history.append([(got[i] - targets[i]) / total for i in k])
-    return _fold(names, history, step, "rate")
+    if not steps:
+        return cells.selectExpr("*", f"struct({', '.join(_STATE)}) AS _state")
+    rows = ", ".join("array(" + ", ".join(f"{x!r}D" for x in row) + ")" for row in steps)
+    pull = " + ".join(f"b_{i} * row[{i}]" for i in range(k))
+    rate = f"greatest(0.0D, s.point - ({pull} + {RIDGE!r}D * (s.point - 1.0D)) / {1.0 + RIDGE!r}D)"
+    # a lambda of its own, as each mention of a rate would compute it anew
+    made = f"r -> struct(r AS rate, r + row[{k}] * (r - s.rate) AS point, s.rate AS before, s.point AS origin)"
+    state = f"transform(array({rate}), {made})[0]"
+    return cells.selectExpr(
+        "*", f"aggregate(array({rows}), struct({', '.join(_STATE)}), (s, row) -> {state}) AS _state"
+    )
 
 
-def settled_rates(cells: DataFrame, targets: list[float]) -> Column:
-    """The rate expression over a stored table of cells: tokens, m_0, ...: their expected tokens by domain, and b_0, ...:
-    these for a token.
+def projected_rates(cells: DataFrame, targets: list[float], tolerance: float = TOLERANCE, few: bool = True) -> DataFrame:
+    """The rows of a stored table of cells, tokens, m_0, ...: their expected tokens by domain, and b_0, ...: these for a
+    token, with their rate.
 
     Minimises the squared distances of the domains' expected tokens from the targets, each over the domain's own tokens,
-    plus RIDGE times that of the rates from 1, so that a domain's share of the corpus does not slow or hold its rate.  At the
-    minimum a rate is 1 less the cell's mean of the domains' relative residuals over RIDGE, or 0 if that is negative: the
-    steps move these residuals, one a domain, by Newton's method with a search along its direction, until they agree with the rates to TOLERANCE.
-    There is no limit of steps.  A step sums all cells; the driver gets sums by domain and pair of domains.
+    plus RIDGE times that of the rates from 1, over rates of 0 and more.  So measured no curvature is above 1 + RIDGE,
+    however small a domain's share, and steps of 1 / (1 + RIDGE) settle.  Momentum grows with the steps and starts anew
+    where a step goes against it.  There is no limit of steps: they end where one moves no rate by more than `tolerance`.  A step
+    is a sum over all cells, in one task where they are `few`; the driver gets a residual a domain.
     """
     k = range(len(targets))
     own = cells.agg(*[F.sum(f"m_{i}") for i in k]).first()
+    begun = cells.withColumns({c: F.lit(1.0) for c in _STATE})
     if not any(own):
-        return F.lit(1.0)
-    own, aims = np.array([n or 1.0 for n in own]), np.array(targets)
-
-    def rate(at: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"b_{i}") * float(at[i] / RIDGE) for i in k), F.lit(0.0)))
-
-    def met(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """What is to be least, how far the residuals of the rates are from these, and the curvature."""
-        r, pairs = F.col("_rate"), [(i, j) for i in k for j in k if i <= j]
-        sums = cells.withColumn("_rate", rate(at)).agg(
-            F.sum(F.col("tokens") * r * r), *[F.sum(r * F.col(f"m_{i}")) for i in k],
-            *[F.sum(F.when(r > 0, F.col(f"m_{i}") * F.col(f"b_{j}")).otherwise(0.0)) for i, j in pairs],
-        ).first()
-        curve = np.diag(own)
-        for (i, j), n in zip(pairs, sums[1 + len(k) :], strict=True):
-            curve[i, j] = curve[j, i] = curve[i, j] + n / RIDGE
-        return RIDGE / 2 * sums[0] + aims @ at + (own * at * at).sum() / 2, np.array(sums[1 : 1 + len(k)]) - aims - own * at, curve
-
-    at = np.zeros(len(targets))
-    value, off, curve = met(at)
-    while (error := np.abs(off / own).max()) > TOLERANCE:
-        way, part = np.linalg.solve(curve, off), 1.0
-        while True:
-            value_there, off_there, curve_there = met(at + part * way)
-            # close to the minimum the values are equal to the last digit and the residuals decide
-            if value_there <= value - 1e-4 * part * (off @ way) or np.abs(off_there / own).max() <= error / 2:
-                break
-            part /= 2
-            if (at + part * way == at).all():
-                raise ArithmeticError(f"rates do not settle: residuals are {error} of the domains' tokens off")
-        at, value, off, curve = at + part * way, value_there, off_there, curve_there
-    return rate(at)
+        return begun.drop(*_STATE[1:])
+    own, steps, momentum, first = [n or 1.0 for n in own], [], 0, True
+    sums = [
+        *[f"sum(_state.point * m_{i})" for i in k],
+        "sum(tokens * (_state.origin - _state.rate) * (_state.rate - _state.before))", "max(abs(_state.rate - _state.origin))",
+    ]
+    plain = [c for c in cells.columns if c != "rate"]
+    while True:
+        now = _moved(begun.coalesce(1) if few else begun, len(targets), steps)
+        *got, against, far = now.selectExpr(*sums).first()
+        if not first and far <= tolerance:
+            return now.selectExpr(*plain, "_state.rate")
+        if len(steps) == HELD_STEPS:
+            begun, held, steps = stored(now.selectExpr(*plain, "_state.*"), "cell-steps"), begun, []
+            if hasattr(held, "folder"):
+                drop_stored(held)
+        momentum, first = 1 if against > 0 else momentum + 1, False
+        steps.append([*[(got[i] - targets[i]) / own[i] for i in k], (momentum - 1) / (momentum + 2)])
 
 
 def mixing_rates(
@@ -207,14 +184,18 @@ def mixing_rates(
         F.sum("tokens").alias("tokens"), *[F.sum(F.col("tokens") * F.col(f"p_{i}")).alias(f"m_{i}") for i in k]
     )
     mean = {f"b_{i}": F.when(F.col("tokens") > 0, F.col(f"m_{i}") / F.col("tokens")).otherwise(F.col(f"g_{i}") / CELLS) for i in k}
-    cells = stored(cells.withColumns(mean).coalesce(1), "cells")  # at most a grid of CELLS + 1 to the domains less one
+    cells = stored(cells.withColumns(mean), "cells")  # at most a grid of CELLS + 1 to the domains less one
+    few = cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:  # one file for the many small sums
+        cells, scattered = stored(cells.coalesce(1), "cells"), cells
+        drop_stored(scattered)
     have = cells.agg(*[F.coalesce(F.sum(f"m_{i}"), F.lit(0.0)) for i in k]).first()
     share = [weights[d] / sum(weights.values()) for d in domains]
     if total is None:
         total = min((have[i] / share[i] for i in k if share[i] > 0), default=0.0)
-    rate = settled_rates(cells, [total * s for s in share]) if learned else F.lit(1.0)
-    rated = stored(cells.select(*[f"g_{i}" for i in k], rate.alias("rate")), "cell-rates")
-    joined = rows.select("*", *grid).join(F.broadcast(rated), [f"g_{i}" for i in k])
+    fitted = projected_rates(cells, [total * s for s in share], few=few) if learned else cells.withColumn("rate", F.lit(1.0))
+    rated = stored(fitted.select(*[f"g_{i}" for i in k], "rate"), "cell-rates")
+    joined = rows.select("*", *grid).join(F.broadcast(rated) if few else rated, [f"g_{i}" for i in k])
     return joined.select("doc_id", "key", "tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
 
 

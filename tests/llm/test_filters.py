@@ -7,6 +7,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,18 +383,54 @@ def test_rates_bring_domains_to_their_targets(spark):
     assert all(r["rate"] >= 0 for r in rows) and max(r["rate"] for r in rows) < 1.05
 
 
-def test_gradient_steps_match_plain_ones(spark):
-    cells = spark.createDataFrame([(100, 90.0, 10.0, 0.9, 0.1), (50, 5.0, 45.0, 0.1, 0.9), (30, 15.0, 15.0, 0.5, 0.5)],
-                                  "tokens long, m_0 double, m_1 double, b_0 double, b_1 double")
-    targets = [90.0, 0.0]
-    got = [r["r"] for r in cells.select(mixing.fit_rates(cells, targets, 25).alias("r")).collect()]
-    data, rates, points, step = [tuple(r) for r in cells.collect()], [1.0] * 3, [1.0] * 3, 1 / (1 + mixing.RIDGE)
-    for t in range(25):
-        res = [(sum(p * c[1 + k] for p, c in zip(points, data, strict=True)) - targets[k]) / 180 for k in (0, 1)]
-        moved = [max(0.0, p - step * (c[3] * res[0] + c[4] * res[1] + mixing.RIDGE * (p - 1))) for p, c in zip(points, data, strict=True)]
-        points = [m + t / (t + 3) * (m - r) for m, r in zip(moved, rates, strict=True)]
-        rates = moved
-    assert got == pytest.approx(rates)
+def plain_rates(data, targets, tolerance):
+    """Rates of cells (tokens, m_0, ..., b_0, ...) by the same steps, in numpy; and how many there were."""
+    k = len(targets)
+    data = np.array(data, float)
+    tokens, m, b = data[:, 0], data[:, 1 : 1 + k], data[:, 1 + k :]
+    rate = point = np.ones(len(data))
+    momentum, against, n = 0, 0.0, 0
+    while True:
+        off = (point @ m - targets) / m.sum(0)
+        new = np.maximum(0, point - (b @ off + mixing.RIDGE * (point - 1)) / (1 + mixing.RIDGE))
+        momentum, n = 1 if against > 0 else momentum + 1, n + 1
+        against = (tokens * (point - new) * (new - rate)).sum()
+        if np.abs(new - point).max() <= tolerance:
+            return new, n
+        rate, point = new, new + (momentum - 1) / (momentum + 2) * (new - rate)
+
+
+def soft_cells(spark, sharp):
+    """Cells of three domains, one of which holds a thousandth of the tokens, and their targets."""
+    rng, data = random.Random(21), []
+    for i in range(200):
+        e = [math.exp(rng.gauss(0, 1) + sharp * (k == i % 3)) for k in range(3)]
+        tokens = rng.randint(1, 1000) * (1 if i % 3 == 2 else 1000)
+        b = [x / sum(e) for x in e]
+        data.append((tokens, *[tokens * x for x in b], *b))
+    columns = "tokens long, m_0 double, m_1 double, m_2 double, b_0 double, b_1 double, b_2 double"
+    cells = stored(spark.createDataFrame(data, columns).coalesce(1), "cells")
+    own = [sum(c[1 + k] for c in data) for k in range(3)]
+    return data, cells, own, [own[0], own[0] / 9, 0.0]
+
+
+@pytest.mark.parametrize("sharp", [1.0, 4.0])
+def test_gradient_steps_settle_where_the_least_is(spark, monkeypatch, sharp):
+    monkeypatch.setattr(mixing, "HELD_STEPS", 20)
+    data, cells, own, aims = soft_cells(spark, sharp)
+    rows = {tuple(r[:7]): r["rate"] for r in mixing.projected_rates(cells, aims).collect()}
+    plain, n = plain_rates(data, np.array(aims), mixing.TOLERANCE)
+    assert n > 20
+    assert [rows[c] for c in data] == pytest.approx(list(plain), abs=1e-5)
+    off = [(sum(rows[c] * c[1 + k] for c in data) - aims[k]) / own[k] for k in range(3)]
+    slopes = [(rows[c], sum(c[4 + k] * off[k] for k in range(3)) + mixing.RIDGE * (rows[c] - 1)) for c in data]
+    assert any(rate == 0 for rate, _ in slopes)
+    assert all(abs(slope) < 5e-6 if rate > 0 else slope > -5e-6 for rate, slope in slopes)
+
+
+def test_rates_of_no_tokens_stay(spark):
+    cells = spark.createDataFrame([(0, 0.0, 0.5), (0, 0.0, 0.1)], "tokens long, m_0 double, b_0 double")
+    assert [r["rate"] for r in mixing.projected_rates(cells, [3.0]).collect()] == [1.0, 1.0]
 
 
 @pytest.mark.parametrize("share", [1e-2, 1e-3, 1e-4])
@@ -410,24 +447,6 @@ def test_rates_of_a_rare_domain_settle(spark, monkeypatch, share):
     assert [r["doc_id"] for r in mixing.mix(docs, docs, weights, drawn=False).collect()] == [1]
 
 
-@pytest.mark.parametrize("sharp", [1.0, 4.0])
-def test_settled_rates_are_the_least(spark, sharp):
-    rng, data = random.Random(21), []
-    for i in range(200):
-        e = [math.exp(rng.gauss(0, 1) + sharp * (k == i % 3)) for k in range(3)]
-        tokens = rng.randint(1, 1000) * (1 if i % 3 == 2 else 1000)
-        b = [x / sum(e) for x in e]
-        data.append((tokens, *[tokens * x for x in b], *b))
-    cells = stored(spark.createDataFrame(data, "tokens long, m_0 double, m_1 double, m_2 double, b_0 double, b_1 double, b_2 double").coalesce(1), "cells")
-    own = [sum(c[1 + k] for c in data) for k in range(3)]
-    aims = [own[0], own[0] / 9, 0.0]
-    rows = cells.select("*", mixing.settled_rates(cells, aims).alias("rate")).collect()
-    off = [(sum(r["rate"] * r[f"m_{k}"] for r in rows) - aims[k]) / own[k] for k in range(3)]
-    slopes = [(r["rate"], sum(r[f"b_{k}"] * off[k] for k in range(3)) + mixing.RIDGE * (r["rate"] - 1)) for r in rows]
-    assert any(rate == 0 for rate, _ in slopes)
-    assert all(abs(slope) < 1e-7 if rate > 0 else slope > -1e-7 for rate, slope in slopes)
-
-
 def test_mixing_drops_and_draws(spark):
     docs, labelled, domains = labelled_corpus(spark)
     got = mixing.mix(docs, labelled, {"good": 1.0, "low": 0.0, "toxic": 0.0}, drawn=False)
