@@ -13,6 +13,7 @@ from scenlens.functions import (
     recode_last,
     safe_div,
     strict_sum,
+    strict_sum_where,
 )
 from scenlens.operators import (
     compare,
@@ -23,8 +24,10 @@ from scenlens.operators import (
     strict_lookup,
     sum_by,
     to_aggregate_region,
+    union_all,
     year_window,
 )
+from scenlens.operators.reshape import checked
 from scenlens.plans.energy import display_region, percent_label, population_by_decile
 from scenlens.scenarios import POLICY, ScenarioFamily
 from scenlens.sources import Project
@@ -215,6 +218,36 @@ def intake_rows(prj: Project, regions: DataFrame, family: ScenarioFamily = POLIC
     return _kcal_per_day(rolled, population_decile_aggregate(prj, regions, family))
 
 
+def intake_and_people(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
+    """Persons of every decile beside their daily calories per person, by raw region name.
+
+    Food and persons are tagged, stacked and rolled up in one exchange, so the persons are read once.  A decile
+    without food keeps its row, without a value; food without persons, or in several units, fails the job.
+    """
+    keys = ["scenario", "region", "decile", "year"]
+    food = year_window(food_sums(prj, "region", "Units")).withColumn("scenario", family.canonical())
+    people = year_window(population_by_decile(prj, family)).withColumnRenamed("pop", "value")
+    both = union_all(
+        food.select(*keys, "Units", "value", F.lit(True).alias("food")),
+        people.select(*keys, "value", F.lit(False).alias("food")),
+    )
+    named = strict_lookup(both, regions, ["region"])
+    rolled = named.groupBy("scenario", F.col("region_agg").alias("region"), "decile", "year").agg(
+        strict_sum_where(F.col("food"), "value").alias("eaten"), strict_sum_where(~F.col("food"), "value").alias("pop"),
+        F.count_if(~F.col("food")).alias("people"), F.min("Units").alias("unit"), F.max("Units").alias("other"),
+    )
+
+    def fail(what: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{what} at "), F.to_json(F.struct(*keys)))).cast("boolean")
+
+    sound = F.when(F.col("people") == 0, fail("food without persons")).when(
+        F.col("unit") != F.col("other"), fail("food in several units")
+    ).otherwise(F.lit(True))
+    return rolled.where(checked(sound)).select(
+        *keys, "pop", (safe_div(F.col("eaten") * C.PCAL_TO_KCAL, "pop") / C.DAYS_PER_YEAR).alias("value")
+    )
+
+
 def intake_level(prj: Project, regions: DataFrame, family: ScenarioFamily = POLICY) -> DataFrame:
     """Daily calories per person by decile, with the population.  N53"""
     return intake_rows(prj, regions, family).withColumn("region", display_region())

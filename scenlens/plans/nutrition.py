@@ -9,7 +9,7 @@ from scenlens import constants as C
 from scenlens.functions import not_in_nor_null, safe_div, strict_sum
 from scenlens.operators import lookup, year_window
 from scenlens.plans.energy import display_region
-from scenlens.plans.food import intake_rows, population_decile_aggregate
+from scenlens.plans.food import intake_and_people
 from scenlens.scenarios import POLICY, ScenarioFamily
 from scenlens.sources import Project, read_csv, read_wide_years
 
@@ -151,10 +151,7 @@ def adequacy(
 ) -> DataFrame:
     """Dietary energy supply in percent of the need; below 100 is too little.  N54"""
     need = need_per_person(shares, countries, needs)
-    eaten = intake_rows(prj, regions, family)
-    people = population_decile_aggregate(prj, regions, family)
-    fed = lookup(need, people, ["region", "year"])
-    joined = lookup(fed, eaten.drop("pop", "Units"), ["scenario", "region", "year", "decile"])
+    joined = lookup(need, intake_and_people(prj, regions, family), ["region", "year"])
 
     def index(total):
         return safe_div("value", F.col(total) * F.col("pop")) * F.col("pop") * C.PERCENT

@@ -8,9 +8,12 @@ few or too many fields, a value that is not of its type, a declared column that
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +38,47 @@ def _typed(text: Column, field: T.StructField, marks: list[str]) -> Column:
     return F.when(gap, None).when(value.isNotNull(), value).otherwise(misfit.cast(field.dataType)).alias(field.name)
 
 
-def _fronts(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
-    """Lines of the block that begins each file, numbered as the scan meets them: file, id, value."""
+def _after_fronts(spark: SparkSession, path: str, skip: int, header: list[str] | None) -> DataFrame:
+    """The lines, blank ones apart, that follow `skip` lines and a header in every file: value.
+
+    One scan: a task meets a file's first block from its first line on and counts, so there is nothing to number,
+    join or shuffle, and any number of blank lines may stand in front.  A file with another header than
+    `header` fails the job; None takes any.  So does a file whose header lies beyond its first block.
+    """
+    meta = F.col("_metadata")
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
+        "value", F.xxhash64(meta.file_path).alias("file"), (meta.file_block_start == 0).alias("first"),
+        (meta.file_block_length >= meta.file_size).alias("whole"),
     )
-    kept = (F.col("block") == 0) & (F.length("value") > 0)
-    return lines.where(kept & ~F.col("value").startswith(comment) if comment else kept)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, seen, whole = None, skip + 1, True
+
+        def leave() -> None:
+            if seen <= skip and not whole:
+                raise ValueError("a file's header lies beyond its first block: raise spark.sql.files.maxPartitionBytes")
+
+        for batch in batches:
+            values = batch.column("value")
+            keep = np.asarray(pc.greater(pc.binary_length(values), 0)).astype(bool)
+            files, first, wholes = (np.asarray(batch.column(c)) for c in ("file", "first", "whole"))
+            change = (files[1:] != files[:-1]) | (first[1:] != first[:-1])
+            starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(files)), bool), change)))
+            for at, end in zip(starts, [*starts[1:], len(batch)], strict=True):
+                if (files[at], first[at]) != file:
+                    leave()
+                    file, seen, whole = (files[at], first[at]), 0 if first[at] else skip + 1, wholes[at]
+                front = at + np.flatnonzero(keep[at:end])[: skip + 1 - seen]
+                keep[front] = False
+                seen += len(front)
+                if header is not None and len(front) and seen == skip + 1:
+                    found = [c.strip() for c in next(csv.reader([values[front[-1]].as_py().lstrip("\ufeff")]))]
+                    if found != header:
+                        raise ValueError(f"header {found} in place of {header}")
+            yield pa.RecordBatch.from_arrays([values.filter(pa.array(keep))], names=["value"])
+        leave()
+
+    return lines.mapInArrow(rest, "value string")
 
 
 def _front_lines(spark: SparkSession, path: str, many: int, comment: str | None = None) -> list[str]:
@@ -133,37 +169,24 @@ def read_csv_after(
 ) -> DataFrame:
     """CSV whose header follows `skip` free-text lines; blank lines do not count.
 
-    The front lines of every file are left out by their place in the file's first block, so a line of data
-    may repeat their text, and the files are still read in splits.
+    The front lines of every file are left out by their place, so a line of data may repeat their text, and the
+    files are still read in splits, once.  The header's names come from the first file without a job; the scan
+    checks the others'.  `positional` takes headers as they are.
     """
     struct = _struct(schema)
-    front = _fronts(spark, path)
-    first = [r.value for r in front.orderBy("id").select("value").take(skip + 1)]
-    if len(first) <= skip:
+    front = _front_lines(spark, path, skip + 1)
+    if len(front) <= skip:
         return spark.createDataFrame([], struct)
-    names = [f.name for f in struct.fields] if positional else _places(first[skip], struct, path)
-    # the place of a line is its number less that of its file's first line: a row per file
-    starts = front.groupBy("file").agg(F.min("id").alias("start"))
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-    ).where(F.length("value") > 0)
-    ranked = front.join(F.broadcast(starts), "file").where(F.col("id") <= F.col("start") + _BLANKS + skip)
-    nth = F.row_number().over(Window.partitionBy("file").orderBy("id"))
-    heads = ranked.withColumn("nth", nth).where(F.col("nth") <= skip + 1).select(F.col("id").alias("head"))
-    rows = lines.join(F.broadcast(heads), F.col("id") == F.col("head"), "left_anti")
+    names = [f.name for f in struct.fields] if positional else _places(front[skip], struct, path)
+    header = None if positional else [c.strip() for c in next(csv.reader([front[skip].lstrip("\ufeff")]))]
+    rows = _after_fronts(spark, path, skip, header)
     ddl = ", ".join(f"`{n}` string" for n in names) + ", `__broken` string"
     parsed = rows.select("value", F.from_csv("value", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}).alias("r"))
-    # not a filter, which would move below the join and meet the front lines
     misfit = F.raise_error(F.concat(F.lit("not a line of the file's columns: "), "value")).cast("string")
     text = lambda name: F.when(F.col("r.__broken").isNull(), F.col(f"r.`{name}`")).otherwise(misfit)
     return parsed.select(*[_typed(text(f.name), f, _marks(missing)) for f in struct.fields])
 
 
-#: Blank lines that may stand before the header of a file.
-_BLANKS = 1000
-
-
 def read_sheets(
     spark: SparkSession, paths: Mapping[str, str], schemas: Mapping[str, str | T.StructType]
 ) -> dict[str, DataFrame]:

@@ -35,6 +35,18 @@ def tidy_header(name: str) -> str:
     return name.replace("...", "_")
 
 
+def _has_index(spark: SparkSession, root: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{_INDEX}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _index(spark: SparkSession, root: str) -> DataFrame:
+    """The entries of all saves: query, folder, version."""
+    return spark.read.schema("query string, folder string, version long").option("recursiveFileLookup", True).json(
+        f"{root}/{_INDEX}"
+    )
+
+
 class Project:
     """Named tables, fetched by name; missing names and columns are errors."""
 
@@ -53,22 +65,28 @@ class Project:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> Project:
-        """Tables written by `save`; of several under one name, the latest."""
-        index = spark.read.schema("query string, folder string, saved timestamp").json(f"{root}/{_INDEX}")
-        latest = index.groupBy("query").agg(F.max_by("folder", "saved").alias("folder"))
+        """Tables written by `save`; of several under one name, that of the highest version, then of the last folder name."""
+        latest = _index(spark, root).groupBy("query").agg(F.max_by("folder", F.struct("version", "folder")).alias("folder"))
         return cls({
             r.query: (lambda f=r.folder: spark.read.parquet(f"{root}/{f}")) for r in latest.collect()
         })
 
     @staticmethod
     def save(df: DataFrame, root: str, name: str, partition_by: tuple[str, ...] = ("scenario",)) -> None:
-        """Write one named table, partitioned so that scenario filters prune files."""
+        """Write one named table, partitioned so that scenario filters prune files.
+
+        The table is listed under the version after the highest one that was listed when its files were whole.  Each
+        entry is a folder of its own, so saves at one time do not touch each other's files: both are listed, and of
+        two with one version the folder name decides, for every reader alike.
+        """
         folder = f"{_slug(name)}_{uuid.uuid4().hex[:8]}"
         df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(f"{root}/{folder}")
-        index = df.sparkSession.range(1).select(
-            F.lit(name).alias("query"), F.lit(folder).alias("folder"), F.current_timestamp().alias("saved")
+        spark = df.sparkSession
+        listed = _index(spark, root).agg(F.max("version")).first()[0] if _has_index(spark, root) else None
+        entry = spark.range(1).select(
+            F.lit(name).alias("query"), F.lit(folder).alias("folder"), F.lit((listed or 0) + 1).cast("long").alias("version")
         )
-        index.write.mode("append").json(f"{root}/{_INDEX}")
+        entry.write.json(f"{root}/{_INDEX}/{folder}")
 
     def names(self) -> list[str]:
         return sorted(self._tables)

@@ -297,3 +297,16 @@ def test_exchanges_of_the_need_per_person(spark):
     shares = nutrition.demographic_shares(nutrition.demographic_population(codes, demography))
     need = nutrition.need_per_person(shares, nutrition.region_of_country(region_map(spark), codes), needs)
     assert need._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 10
+
+
+def test_intake_and_people_checks_units_and_persons(spark):
+    people = long(spark, [(B, "USA", 2030, "x", 20.0)], "label")
+    deciles = long(spark, [(B, "USA", 2030, "resid_d1", 1.0), (B, "USA", 2030, "resid_d2", 1.0)], "consumer")
+    def prj(*eaten):
+        facts = table(spark, [(B, "USA", y, "FoodDemand_Group1", "FoodDemand_Staples", u, v) for y, u, v in eaten],
+                      "scenario string, region string, year int, consumer string, input string, Units string, value double")
+        return Project({energy.POPULATION: lambda: people, energy.INCOME_QUERY: lambda: deciles, food.FOOD_DEMAND: lambda: facts})
+    got = rows(food.intake_and_people(prj((2030, "Pcal", 1.0), (2030, "Pcal", 2.0)), region_map(spark)).select("decile", "pop", "value"))
+    assert got == [("d1", 10_000.0, 3e12 / 10_000 / 365), ("d2", 10_000.0, None)]
+    assert "without persons" in message_of(food.intake_and_people(prj((2040, "Pcal", 1.0)), region_map(spark)))
+    assert "several units" in message_of(food.intake_and_people(prj((2030, "Pcal", 1.0), (2030, "t", 1.0)), region_map(spark)))

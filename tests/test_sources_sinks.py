@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -21,6 +23,7 @@ from scenlens.sources import (
     shared_folder,
     with_code_list,
 )
+from scenlens.sources.project import _index
 from tests.helpers import message_of, one, rows, table
 
 
@@ -179,3 +182,45 @@ def test_chart_and_map_tables(spark):
 def test_calorie_needs_file(spark, tmp_path):
     path = write(tmp_path / "needs.csv", "variable,unit,mder,std,min,max\nPopulation|Male|Aged0-4,kcal/day,1108.5,0,1100,1200\n", "utf-8-sig")
     assert one(calorie_needs(spark, path)) == ("Population|Male|Aged0-4", "kcal/capita/day", 1108.5, 0.0, 1100.0, 1200.0)
+
+
+def test_front_lines_are_counted_in_every_file_in_one_scan(spark, tmp_path):
+    blank = "\n" * 3000
+    for i in range(6):
+        data = "".join(f"{i},{j}\n" + ("note, kept\n" if j == 5 else "") for j in range(400))
+        (tmp_path / f"{i}.csv").write_text(f"{blank if i == 3 else ''}note, kept\n\nk,v\n{data}")
+    (tmp_path / "empty.csv").write_text("")
+    wanted = sorted([(str(i), str(j)) for i in range(6) for j in range(400)] + [("note", " kept")] * 6)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for split, size in (("134217728", batch), ("4096", batch), ("134217728", "1"), ("3500", "7")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            df = read_csv_after(spark, str(tmp_path), "k string, v string", 1)
+            assert sorted(tuple(r) for r in df.collect()) == wanted
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        assert "beyond its first block" in message_of(read_csv_after(spark, str(tmp_path), "k string, v string", 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    (tmp_path / "9.csv").write_text("note\nv,k\n1,2\n")
+    assert "header ['v', 'k']" in message_of(read_csv_after(spark, str(tmp_path), "k string, v string", 1))
+
+
+def test_saves_at_one_time_are_both_listed(spark, tmp_path):
+    root = str(tmp_path / "project")
+    tables = [table(spark, [("s", 2020, float(i))], "scenario string, year int, value double") for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda df: Project.save(df, root, "food demand"), tables))
+    entries = _index(spark, root).collect()
+    assert len(entries) == len({e.folder for e in entries}) == 4
+    last = max(entries, key=lambda e: (e.version, e.folder)).folder
+    kept = one(spark.read.parquet(f"{root}/{last}").select("value"))
+    assert one(Project.from_parquet(spark, root).query("food demand").select("value")) == kept
+    Project.save(tables[0].withColumn("value", F.lit(9.0)), root, "food demand")
+    assert one(Project.from_parquet(spark, root).query("food demand").select("value")) == 9.0
