@@ -2,8 +2,9 @@
 
 A table turns unit vectors by pseudo-rotations, three rounds of random signs and a fast Hadamard
 transform, and hashes each to the nearest of the signed axes.  A query visits, in every table, the axes
-nearest to it.  Equal vectors are one point of the index; large buckets and many queries of a bucket are
-split over tasks; distances are taken on the original vectors in double precision.
+nearest to it.  Equal vectors are one point of the index.  Buckets are numbers beside a vector, which is written
+once and not once a table: a task holds a block of points and a slice of the queries, and distances are taken
+where a query visits a point's bucket, on the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from scenlens.llm.shared import ready, stored
 
-BUCKET_ROWS = 8192
-BUCKET_QUERIES = 2048
+#: Points and queries that one task compares.
+BLOCK_POINTS = 1 << 13
+BLOCK_QUERIES = 1 << 14
 SEED = 20240229
 
 
@@ -51,78 +53,88 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
-def nearest_in(queries: np.ndarray, points: np.ndarray, ids: list, most: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
-    """For each query its `most` nearest (distance, id) among the points, each of which has one id or more."""
+def nearest_in(
+    queries: np.ndarray, visits: np.ndarray, points: np.ndarray, homes: np.ndarray, buckets: int, most: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the numbers and distances of its nearest `most` points, and of all as near, among those it visits.
+
+    A point lies in one bucket of every table (`homes`); a query visits several (`visits`: query, table, probe).
+    """
     square = (points**2).sum(1)
-    for i, q in enumerate(queries):
-        rough = square - 2.0 * (points @ q)
-        if len(rough) > most:
-            slack = 1e-9 * (1.0 + (q**2).sum() + square.max())
-            near = np.flatnonzero(rough <= np.partition(rough, most - 1)[most - 1] + slack)
-        else:
-            near = np.arange(len(rough))
-        exact = np.sqrt(((points[near] - q) ** 2).sum(axis=1))
-        yield i, sorted((float(s), int(x)) for s, k in zip(exact, near, strict=True) for x in ids[k])[:most]
+    for lo in range(0, len(queries), 256):
+        part = queries[lo : lo + 256]
+        met = np.zeros((len(part), len(points)), bool)
+        for t in range(homes.shape[1]):
+            visited = np.zeros((len(part), buckets), bool)
+            np.put_along_axis(visited, visits[lo : lo + 256, t], True, axis=1)
+            met |= visited[:, homes[:, t]]
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = square - 2.0 * (part @ points.T)
+            slack = 1e-9 * (1.0 + (part**2).sum(1) + square.max(initial=0.0))
+        for i, q in enumerate(part):
+            near = np.flatnonzero(met[i])
+            some = rough[i, near]
+            if len(near) > most and np.isfinite(some).all():
+                near = near[some <= np.partition(some, most - 1)[most - 1] + slack[i]]
+            with np.errstate(over="ignore"):
+                yield lo + i, near, np.sqrt(((points[near] - q) ** 2).sum(axis=1))
 
 
 def _search(points: DataFrame, queries: DataFrame, dimension: int, tables: int, probes: int, most: int) -> DataFrame:
-    """q, vec_id, score: the nearest found of every query vector (q, embedding) among points (ids, embedding)."""
+    """q, vec_id, score: the nearest found of every query vector (q, embedding) among points (ids, embedding).
+
+    Points are dealt into blocks and queries into slices.  A vector's buckets travel beside it as numbers, so a
+    point is moved once for every slice of queries, whatever the number of tables, and a pair is met in one place only.
+    """
     signs = rotations(dimension, tables)
-    probes = min(probes, 2 * signs.shape[2])
+    buckets = 2 * signs.shape[2]
+    probes = min(probes, buckets)
 
-    def hashes(batches: Iterator[pd.DataFrame], visited: int, name: str) -> Iterator[pd.DataFrame]:
+    def hashes(batches: Iterator[pd.DataFrame], visited: int) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 2048):
                 part = batch.iloc[lo : lo + 2048]
                 x = _matrix(part["embedding"])
+                best = np.empty((len(part), tables, visited), "<i4")
                 for t in range(tables):
                     scores = axis_scores(x, signs[t])
                     if visited == 1:
-                        best = scores.argmax(1)[:, None]
+                        best[:, t, 0] = scores.argmax(1)
                     else:
-                        best = np.argsort(-scores, axis=1, kind="stable")[:, :visited]
-                    at = np.repeat(np.arange(len(part)), visited)
-                    out = part.iloc[at].assign(tbl=np.int32(t), bucket=best.ravel().astype(np.int32))
-                    yield out[["tbl", "bucket", name, "embedding"]]
-
-    vector = "embedding array<double>"
-    homes = points.mapInPandas(
-        lambda b: hashes(b, 1, "ids"), f"tbl int, bucket int, ids array<long>, {vector}"
-    )
-    visits = queries.mapInPandas(lambda b: hashes(b, probes, "q"), f"tbl int, bucket int, q long, {vector}")
-    homes, visits = stored(homes, "ann-homes"), stored(visits, "ann-visits")
-    # at most 2 * dimension buckets a table
-    split = lambda df, size, name: F.broadcast(
-        df.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    )
-    parts, slices = split(homes, BUCKET_ROWS, "parts"), split(visits, BUCKET_QUERIES, "slices")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (
-        homes.join(slices, ["tbl", "bucket"]).join(parts, ["tbl", "bucket"])
-        .withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).withColumn("slice", every("slices"))
-        .select("tbl", "bucket", "part", "slice", "ids", "embedding")
-    )
-    right = (
-        visits.join(slices, ["tbl", "bucket"]).join(parts, ["tbl", "bucket"])
-        .withColumn("slice", F.pmod(F.xxhash64("q"), F.col("slices")).cast("int")).withColumn("part", every("parts"))
-        .select("tbl", "bucket", "part", "slice", "q", "embedding")
-    )
+                        best[:, t] = np.argsort(-scores, axis=1, kind="stable")[:, :visited]
+                yield part.assign(at=[row.tobytes() for row in best])
+
+    blocks, slices = -(-points.count() // BLOCK_POINTS), -(-queries.count() // BLOCK_QUERIES)
+    dealt = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = points.mapInPandas(lambda b: hashes(b, 1), _ddl(points, "at binary")).withColumn(
+        "block", dealt("ids", max(1, blocks))
+    ).withColumn("slice", every(max(1, slices)))
+    right = queries.mapInPandas(lambda b: hashes(b, probes), _ddl(queries, "at binary")).withColumn(
+        "slice", dealt("q", max(1, slices))
+    ).withColumn("block", every(max(1, blocks)))
 
     def rerank(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(p) and len(v):
             names, ids = v["q"].to_numpy(), list(p["ids"])
-            for i, near in nearest_in(_matrix(v["embedding"]), _matrix(p["embedding"]), ids, most):
-                found += [(names[i], x, s) for s, x in near]
+            homes = np.frombuffer(b"".join(p["at"]), "<i4").reshape(len(p), tables)
+            visits = np.frombuffer(b"".join(v["at"]), "<i4").reshape(len(v), tables, probes)
+            for i, near, score in nearest_in(_matrix(v["embedding"]), visits, _matrix(p["embedding"]), homes, buckets, most):
+                best = sorted((float(s), int(x)) for s, k in zip(score, near, strict=True) for x in ids[k])[:most]
+                found += [(names[i], x, s) for s, x in best]
         return pd.DataFrame(found, columns=["q", "vec_id", "score"])
 
-    by = ["tbl", "bucket", "part", "slice"]
+    by = ["block", "slice"]
     near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(rerank, "q long, vec_id long, score double")
-    near = near.groupBy("q", "vec_id").agg(F.min("score").alias("score"))
     nth = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
     return near.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
 
 
+def _ddl(df: DataFrame, *more: str) -> str:
+    return ", ".join([f"{name} {kind}" for name, kind in df.dtypes] + list(more))
+
+
 def nearest(
     vectors: DataFrame, is_query, neighbours: int = 10, tables: int = 12, probes: int = 8,
     vec_id: str = "vec_id", embedding: str = "embedding",
@@ -135,8 +147,9 @@ def nearest(
     than `neighbours` rows is searched again through all buckets of a table, which is exact; an empty table gives no rows.
     """
     spark = ready(vectors.sparkSession)
+    kind = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
     rows = vectors.select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"),
+        F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding"),
         is_query.alias("asks"),
     ).where(
         F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenlens.llm import ann, language
+from scenlens.llm.queries import op2_cross_polytope
+from scenlens.llm.shared import stored
 from scenlens.llm.queries import ORACLES, QUERIES
 from tests.llm.fixtures import documents, nothing, odd_rows, words
 
@@ -65,9 +67,31 @@ def test_recall_and_order(spark):
         assert [r[1] for r in near] == list(range(1, 11)) and [(r[3], r[2]) for r in near] == sorted((r[3], r[2]) for r in near)
 
 
+def test_recall_on_the_given_embeddings(spark, sf_dir):
+    given = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    x = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in given.collect()}
+    got, hit, want = op2_cross_polytope(spark, sf_dir).collect(), 0, 0
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    assert all(abs(r["score"] - np.linalg.norm(x[r["query_id"]] - x[r["vec_id"]])) < 1e-12 for r in got)
+    for q in (i for i in x if i % 100 == 0):
+        near = sorted((np.linalg.norm(v - x[q]), i) for i, v in x.items() if i != q)[:10]
+        hit, want = hit + sum((q, i) in found for _, i in near), want + len(near)
+    assert hit >= 0.9 * want > 0
+
+
+def test_a_vector_is_moved_once_whatever_the_tables(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = vectors(spark, [(i, [float(x) for x in rng.normal(size=8)]) for i in range(200)])
+    dealt = []
+    monkeypatch.setattr(ann, "stored", lambda df, label: dealt.append((label, df)) or stored(df, label))
+    ann.nearest(rows, F.col("vec_id") % 10 == 0, tables=12, probes=8)
+    plan = next(df for label, df in dealt if label == "ann-found")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 1 and "Join" not in plan and "explode(" in plan
+
+
 def test_buckets_split_over_tasks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BUCKET_ROWS", 5)
-    monkeypatch.setattr(ann, "BUCKET_QUERIES", 2)
+    monkeypatch.setattr(ann, "BLOCK_POINTS", 5)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 2)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(80)]
     assert searched(vectors(spark, rows), 4, probes=8) == brute_neighbours(rows, lambda i: i % 4 == 0, 10)
