@@ -2,7 +2,8 @@
 
 Lines are counted by their 64-bit hash; no line text is shuffled.  The hashes found in two documents or
 more are split into shards, and each shard becomes a minimal perfect hash with a 32-bit fingerprint and
-a saturated count per slot.  Documents look their lines' hashes up in those arrays.
+a count per slot, a file in the shared folder.  Tasks map the shards that their documents' lines fall in
+into memory and look the hashes up there, whatever the size of the index; nothing of it passes the driver.
 
 Two different lines may share a 64-bit hash (for n distinct lines, expect n * n / 2^65 such pairs), and a
 line of a single document, which has no slot, may meet another's fingerprint (one in 2^32).
@@ -10,22 +11,25 @@ line of a single document, which has no slot, may meet another's fingerprint (on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenlens.llm.shared import free_name, ready, stored
+from scenlens.llm.shared import free_name, new_folder, ready, stored
+from scenlens.llm.token_files import file_system, read_array
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SHARD_KEYS = 100_000
-#: Bytes of shards that every Python worker may hold.
-BROADCAST_BYTES = 32 << 20
+#: Keys of a shard, which takes about 13 bytes each.
+SHARD_KEYS = 1 << 20
 _WORD = np.uint64(64)
 
 
@@ -65,7 +69,7 @@ class Shard:
 
     @classmethod
     def build(cls, keys: np.ndarray, counts: np.ndarray) -> Shard:
-        """Distinct unsigned 64-bit keys and their counts, which saturate at 255."""
+        """Distinct unsigned 64-bit keys and their counts, which saturate at 2^32 - 1; the order of keys does not matter."""
         rest, sizes, bits = keys, [], []
         while len(rest):
             size = -(-2 * len(rest) // 64) * 64
@@ -78,11 +82,11 @@ class Shard:
         ones = np.cumsum(np.bitwise_count(packed), dtype=np.int64)
         shard = cls(
             np.array(sizes, "<i8"), packed, np.concatenate(([0], ones[:-1])).astype("<u4") if len(ones) else ones.astype("<u4"),
-            np.zeros(len(keys), "<u4"), np.zeros(len(keys), "u1"),
+            np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4"),
         )
         slots = shard.slots(keys)
         shard.fingerprints[slots] = _fingerprint(keys)
-        shard.counts[slots] = np.minimum(counts, 255)
+        shard.counts[slots] = np.minimum(counts, 2**32 - 1)
         return shard
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
@@ -106,24 +110,54 @@ class Shard:
         out[found] = self.counts[slots[found]]
         return out
 
-    def row(self) -> dict[str, bytes]:
-        return {k: getattr(self, k).tobytes() for k in _KINDS}
+    def tobytes(self) -> bytes:
+        """The lengths of the arrays as 64-bit integers, then the arrays."""
+        arrays = [getattr(self, k) for k in _KINDS]
+        return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays)
 
     @classmethod
-    def of(cls, row: dict) -> Shard:
-        return cls(**{k: np.frombuffer(row[k], kind) for k, kind in _KINDS.items()})
-
-
-_KINDS = {"sizes": "<i8", "words": "<u8", "ranks": "<u4", "fingerprints": "<u4", "counts": "u1"}
-_ARRAYS = ", ".join(f"{k} binary" for k in _KINDS)
+    def of(cls, data: np.ndarray) -> Shard:
+        """The shard in the bytes of a file, of which nothing is copied."""
+        lengths, at, arrays = data[: 8 * len(_KINDS)].view("<i8"), 8 * len(_KINDS), {}
+        for (name, kind), n in zip(_KINDS.items(), lengths, strict=True):
+            end = at + int(n) * np.dtype(kind).itemsize
+            arrays[name], at = data[at:end].view(kind), end
+        return cls(**arrays)
+
+
+#: Wider kinds first, so that each array begins at a multiple of its width.
+_KINDS = {"sizes": "<i8", "words": "<u8", "ranks": "<u4", "fingerprints": "<u4", "counts": "<u4"}
+
+
+def _write_shard(folder: str, number: int, shard: Shard) -> None:
+    """A task's file gets its name when it is whole; a repeated task would write the same bytes and leaves it."""
+    fs, path = file_system(folder)
+    fs.create_dir(path, recursive=True)
+    own, name = f"{path}/_{uuid.uuid4().hex}", f"{path}/shard-{number}"
+    with fs.open_output_stream(own) as f:
+        f.write(shard.tobytes())
+    try:
+        fs.move(own, name)
+    except OSError:
+        if fs.get_file_info(name).type != arrow_fs.FileType.File:
+            raise
+
+
+@lru_cache(maxsize=16)
+def open_shard(folder: str, number: int) -> Shard | None:
+    """A shard, mapped into memory where the file system is local; None for one without keys, which has no file."""
+    fs, path = file_system(folder)
+    if fs.get_file_info(f"{path}/shard-{number}").type != arrow_fs.FileType.File:
+        return None
+    return Shard.of(np.asarray(read_array(folder, f"shard-{number}", "u1")))
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((_mix(keys, 1 << 21) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def line_index(docs: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """A row per shard over the line hashes of two documents or more, and the number of shards."""
+def line_index(docs: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS) -> tuple[str, int]:
+    """A folder with a file per shard over the line hashes of two documents or more, and the number of shards."""
     spark = ready(docs.sparkSession)
     hashes = F.transform(lines_of(F.col(text)), line_hash)
     counted = (
@@ -131,104 +165,57 @@ def line_index(docs: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS
         .groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     )
     counted = stored(counted, "line-counts")
-    shards = max(1, -(-counted.count() // shard_keys))
+    shards, folder = max(1, -(-counted.count() // shard_keys)), new_folder(spark, "line-shards")
 
     def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for h in batches:
             yield pd.Series(shard_of(h.to_numpy(np.int64).view(np.uint64), shards))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        shard = Shard.build(rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy())
-        return pd.DataFrame([{"shard": key[0]} | shard.row()])
+        _write_shard(folder, key[0], Shard.build(rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy()))
+        return pd.DataFrame({"keys": [len(rows)]})
 
     numbered = counted.withColumn("shard", F.pandas_udf(number, "long")("h"))
-    built = numbered.groupBy("shard").applyInPandas(build, f"shard long, {_ARRAYS}")
-    return stored(built, "line-shards"), shards
+    numbered.groupBy("shard").applyInPandas(build, "keys long").agg(F.sum("keys")).first()
+    return folder, shards
 
 
-def _flags_by_broadcast(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, hashes: Column, flag: str) -> DataFrame:
-    arrays = docs.sparkSession.sparkContext.broadcast({r["shard"]: r.asDict() for r in index.collect()})
+def often_in(folder: str, shards: int, min_docs: int) -> Callable[[Column], Column]:
+    """Column function: for each hash of an array, whether `min_docs` documents or more have it."""
 
     @F.arrow_udf("array<boolean>")
     def often(column: pa.Array) -> pa.Array:
         keys = column.flatten()
-        known = np.asarray(keys.is_valid())
+        known = np.flatnonzero(np.asarray(keys.is_valid()))
         values = keys.fill_null(0).to_numpy().view(np.uint64)
-        homes = shard_of(values, shards)
+        homes = shard_of(values[known], shards)
+        order = np.argsort(homes, kind="stable")
+        cuts = np.flatnonzero(np.diff(homes[order])) + 1
         flags = np.zeros(len(values), bool)
-        for shard in np.unique(homes[known]):
-            if shard in arrays.value:
-                at = np.flatnonzero(known & (homes == shard))
-                flags[at] = Shard.of({k: arrays.value[shard][k] for k in _KINDS}).look_up(values[at]) >= min_docs
+        for some in np.split(order, cuts) if len(order) else []:
+            shard = open_shard(folder, int(homes[some[0]]))
+            if shard is not None:
+                flags[known[some]] = shard.look_up(values[known[some]]) >= min_docs
         ends = np.cumsum(np.concatenate(([0], column.value_lengths().to_numpy())))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flags))
 
-    return docs.withColumn(flag, often(hashes))
-
-
-def _flags_by_shuffle(
-    docs: DataFrame, index: DataFrame, shards: int, min_docs: int, hashes: Column, text: str, doc_id: str, flag: str
-) -> DataFrame:
-    """The probes go to their shards, spread over copies of them; what a document has to drop comes back."""
-    probes = docs.select(
-        F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text"), F.explode(F.array_distinct(hashes)).alias("h")
-    ).where("h IS NOT NULL")
-    copies = 8
+    return often
 
-    def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for h in batches:
-            yield pd.Series(shard_of(h.to_numpy(np.int64).view(np.uint64), shards))
 
-    def probe(rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if len(shard) and len(rows):
-            found = Shard.of(shard.iloc[0].to_dict()).look_up(rows["h"].to_numpy(np.int64).view(np.uint64))
-            rows = rows[found >= min_docs]
-        else:
-            rows = rows[:0]
-        return rows[["_doc", "_text", "h"]]
-
-    # equal hashes of many documents are spread over the copies; a group holds a bounded slice of documents
-    slices = max(copies, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probes = probes.withColumn("shard", F.pandas_udf(number, "long")("h")).withColumn(
-        "slice", F.pmod(F.xxhash64("_doc", "_text"), F.lit(slices))
-    )
-    spread = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>")))
-    kinds = dict(docs.dtypes)
-    hits = probes.groupBy("shard", "slice").cogroup(spread.groupBy("shard", "slice")).applyInPandas(
-        probe, f"_doc {kinds[doc_id]}, _text long, h long"
-    )
-    own, other, list_ = (free_name(docs, n) for n in ("drop_id", "drop_text", "drop_list"))
-    drops = hits.distinct().groupBy("_doc", "_text").agg(F.collect_list("h").alias(list_)).select(
-        F.col("_doc").alias(own), F.col("_text").alias(other), list_
-    )
-    joined = docs.join(drops, F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(other)), "left")
-    flags = F.transform(hashes, lambda h: F.coalesce(F.array_contains(F.col(list_), h), F.lit(False)))
-    return joined.withColumn(flag, flags).drop(own, other, list_)
-
-
-def drop_common_lines(
-    docs: DataFrame, min_docs: int = 10, text: str = "text", doc_id: str = "doc_id",
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
     """Every row with its text less the lines whose key is in `min_docs` documents or more; adds n_lines, n_dropped.
 
-    A key is a line without white space at its ends, A-Z in lower case; empty keys stay.  `min_docs` is 2 to
-    255.  A document counts once however often it repeats a line; rows of one id are documents of their own.
+    A key is a line without white space at its ends, A-Z in lower case; empty keys stay.  `min_docs` is 2 or
+    more.  A document counts once however often it repeats a line; rows of one id are documents of their own.
     Null text becomes empty; a text that loses all lines becomes empty.  The columns n_lines and n_dropped are
-    replaced where they are there; others stay.  The index is broadcast up to `broadcast_bytes`; beyond
-    that the probes are shuffled to its shards.
+    replaced where they are there; others stay, whatever their names.  An empty table gives no rows.
     """
-    if not 2 <= min_docs <= 255:
-        raise ValueError("min_docs must be from 2 to 255")
-    index, shards = line_index(docs, text)
-    size = index.select(F.sum(sum((F.octet_length(k) for k in _KINDS), F.lit(0)))).first()[0] or 0
+    if not 2 <= min_docs < 2**32:
+        raise ValueError("min_docs must be from 2 to 2^32 - 1")
+    folder, shards = line_index(docs, text, shard_keys)
     rows = docs.drop("n_lines", "n_dropped")
-    hashes = F.transform(lines_of(F.col(text)), line_hash)
     flag = free_name(rows, "often")
-    if size <= broadcast_bytes:
-        flagged = _flags_by_broadcast(rows, index, shards, min_docs, hashes, flag)
-    else:
-        flagged = _flags_by_shuffle(rows, index, shards, min_docs, hashes, text, doc_id, flag)
+    flagged = rows.withColumn(flag, often_in(folder, shards, min_docs)(F.transform(lines_of(F.col(text)), line_hash)))
     kept = F.filter(lines_of(F.col(text)), lambda _, i: ~F.get(F.col(flag), i))
     dropped = F.size(F.filter(flag, lambda x: x))
     return flagged.select(

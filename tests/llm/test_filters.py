@@ -148,22 +148,41 @@ def brute_lines(rows, least):
     return out
 
 
-@pytest.mark.parametrize("broadcast_bytes", [line_dedup.BROADCAST_BYTES, -1])
+@pytest.mark.parametrize("shard_keys", [line_dedup.SHARD_KEYS, 3])
 @pytest.mark.parametrize("least", [2, 10])
-def test_common_lines_go(spark, broadcast_bytes, least):
-    got = line_dedup.drop_common_lines(documents(spark), least, broadcast_bytes=broadcast_bytes)
+def test_common_lines_go(spark, shard_keys, least):
+    got = line_dedup.drop_common_lines(documents(spark), least, shard_keys=shard_keys)
     assert found(got, "doc_id", "n_lines", "n_dropped", "text") == brute_lines(odd_rows(), least)
     assert set(got.columns) == {"doc_id", "text", "lang", "source", "n_chars", "n_lines", "n_dropped", *CLASHES}
 
 
-def test_several_shards(spark, monkeypatch):
+@pytest.mark.parametrize("shard_keys", [1000, 37, 2])
+def test_several_shards(spark, shard_keys):
     rng = random.Random(2)
     pool = [" ".join(words(rng, 3)) for _ in range(300)]
     rows = [(i, "\n".join(rng.choices(pool, k=20)), "en", "a", 1) for i in range(120)]
-    monkeypatch.setattr(line_dedup.line_index, "__defaults__", ("text", 37))
-    for size in (line_dedup.BROADCAST_BYTES, -1):
-        got = line_dedup.drop_common_lines(documents(spark, rows), 9, broadcast_bytes=size)
-        assert found(got, "doc_id", "n_lines", "n_dropped", "text") == brute_lines(rows, 9)
+    got = line_dedup.drop_common_lines(documents(spark, rows), 9, shard_keys=shard_keys)
+    assert found(got, "doc_id", "n_lines", "n_dropped", "text") == brute_lines(rows, 9)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_lines_of_more_than_255_documents_are_told_apart(spark):
+    rows = [(i, "often\n" + ("less often" if i < 299 else "own"), "en", "a", 1) for i in range(300)]
+    got = line_dedup.drop_common_lines(documents(spark, rows), 300)
+    assert found(got, "doc_id", "n_lines", "n_dropped", "text") == brute_lines(rows, 300)
+
+
+def test_a_repeated_task_leaves_the_shard(tmp_path):
+    import numpy as np
+
+    keys, counts = np.arange(1, 500, dtype=np.uint64), np.full(499, 7)
+    for order in (slice(None), slice(None, None, -1)):
+        line_dedup._write_shard(str(tmp_path), 3, line_dedup.Shard.build(keys[order], counts[order]))
+        assert [p.name for p in tmp_path.iterdir()] == ["shard-3"]
+        line_dedup.open_shard.cache_clear()
+        assert (line_dedup.open_shard(str(tmp_path), 3).look_up(keys) == 7).all()
+    assert line_dedup.open_shard(str(tmp_path), 4) is None
 
 
 def test_no_lines(spark):
@@ -176,9 +195,9 @@ def test_shard_knows_its_keys_and_no_others():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 2**64, 20_000, np.uint64))
     counts = rng.integers(2, 400, len(keys))
-    shard = line_dedup.Shard.of(line_dedup.Shard.build(keys, counts).row())
+    shard = line_dedup.Shard.of(np.frombuffer(line_dedup.Shard.build(keys, counts).tobytes(), np.uint8))
     assert sorted(shard.slots(keys)) == list(range(len(keys)))  # minimal and perfect
-    assert (shard.look_up(keys) == np.minimum(counts, 255)).all()
+    assert (shard.look_up(keys) == counts).all()
     assert not shard.look_up(np.setdiff1d(rng.integers(0, 2**64, 50_000, np.uint64), keys)).any()
 
 
