@@ -60,7 +60,7 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, h1, h2 (the identity of the set) and sketch: its smallest values' upper halves, ascending."""
+    """doc_id, text_hash, n, h1, h2 (the identity of the set) and sketch: its smallest values' upper halves, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,13 +72,14 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 second.append(xxhash.xxh64_intdigest(s.tobytes(), 1))
                 sketches.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)),
                  pa.array(np.array(second, np.uint64).view(np.int64)), pa.array(sketches, pa.list_(pa.int32()))],
-                names=["doc_id", "n", "h1", "h2", "sketch"],
+                names=["doc_id", "text_hash", "n", "h1", "h2", "sketch"],
             )
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch array<int>")
+    text = F.col("text").cast("string")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return kept.mapInArrow(run, "doc_id long, text_hash long, n long, h1 long, h2 long, sketch array<int>")
 
 
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -238,6 +239,11 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, words: int = WORDS) -
     nothing.  Rows of one id are documents of their own and may link each other.  A row without an id is its own
     component, null, and kept.  An empty table gives no rows; other columns are not read.
     """
+    return _decided(docs, similarity, words).drop("text_hash")
+
+
+def _decided(docs: DataFrame, similarity: int = 75, words: int = WORDS) -> DataFrame:
+    """`near_duplicates` beside the hash of each row's text."""
     if similarity < 75:
         raise ValueError("sketches are laid out for a similarity of 75 or more")
     ready(docs.sparkSession)
@@ -299,24 +305,28 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, words: int = WORDS) -
         joined.join(smallest, "label").select("node", "component"), "node", "left"
     ).select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     by_class = by_class.withColumn("linkable", F.lit(True))
-    out = rows.select("doc_id", "n", "h1", "h2", (F.col("doc_id").isNotNull() & (F.col("n") > 0)).alias("linkable")).join(
+    out = rows.select("doc_id", "text_hash", "n", "h1", "h2", (F.col("doc_id").isNotNull() & (F.col("n") > 0)).alias("linkable")).join(
         by_class, ["h1", "h2", "linkable"], "left"
     )
     component = F.coalesce("component", "doc_id")
     component = F.when(F.col("linkable"), component).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stand for their component, with all their columns.
 
-    Of rows that share the smallest id of a component, all stay.
+    A row goes by its id and its text: another row of the id, with another text, is judged for itself.  Of rows that
+    share the smallest id of a component, all stay.
     """
-    name = free_name(docs, "duplicate_id")
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    own, other = free_name(docs, "duplicate_id"), free_name(docs, "duplicate_text")
+    gone = _decided(docs, **options).where(~F.col("kept")).select(
+        F.col("doc_id").alias(own), F.col("text_hash").alias(other)
+    ).distinct()
     gone = stored(gone, "duplicates")
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col(name), "left_anti")
+    same = (F.col("doc_id") == F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(other))
+    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scenlens.llm import line_dedup, mixing, near_dup, pii, quality
-from scenlens.llm.components import components
+from scenlens.llm.components import SALTS, _with_least, components
 from scenlens.llm.shared import stored
 from tests.llm.fixtures import CLASHES, documents, multiset, nothing, odd_rows, prose, words
 
@@ -115,6 +115,27 @@ def test_dropping_near_duplicates_keeps_columns(spark):
     assert multiset(got.collect()) == multiset(r for r in docs.collect() if r["doc_id"] in keep)
 
 
+def test_rows_of_one_id_are_dropped_by_their_own_text(spark):
+    rng = random.Random(8)
+    first, second, third = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(1, first, "en", "a", 1), (5, first + " more", "en", "a", 1), (5, second, "en", "a", 1), (5, None, "en", "a", 1),
+            (7, third, "en", "a", 1), (7, third, "en", "a", 1), (9, second, "en", "b", 1), (None, third, "en", "a", 1)]
+    got = near_dup.drop_near_duplicates(documents(spark, rows)).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(
+        [(1, first), (5, second), (5, None), (7, third), (7, third), (None, third)])
+
+
+def test_a_hub_is_spread_over_tasks(spark):
+    edges = spark.range(1, 4001).selectExpr("id % 3 + 5000 AS a", "id AS b").unionByName(
+        spark.range(3).selectExpr("9000 AS a", "id + 5000 AS b"))
+    pairs = edges.selectExpr("a AS u", "b AS v")
+    least = {r["u"]: r["m"] for r in _with_least(pairs).select("u", "m").distinct().collect()}
+    assert least == {5000: 3, 5001: 1, 5002: 2, 9000: 5000} and _with_least(pairs).count() == edges.count()
+    salted = pairs.groupBy("u", (F.xxhash64("v") % SALTS).alias("s")).count().agg(F.max("count")).first()[0]
+    assert salted < 4000 / 3 / 16
+    assert {r["label"] for r in components(edges).collect()} == {1}
+
+
 def test_lower_similarities_are_refused(spark):
     with pytest.raises(ValueError):
         near_dup.near_duplicates(nothing(spark), similarity=50)
