@@ -2,7 +2,7 @@
 
 1. A word is coded by two bytes a byte, a hash of the word up to there: words match as far as they begin alike, and what
    does not match costs its whole length, as nothing but dictionaries can compress it.
-2. A window is `WINDOW` words in a row.  zstandard dictionaries are trained on
+2. A window is `WINDOW` words in a row; every word of a text begins one, however long the text.  zstandard dictionaries are trained on
    different windows of ordinary and of toxic documents.  A toxic document is mostly ordinary, so the toxic
    dictionary is trained again, `ROUNDS` times, with `REPEATS` more copies of those toxic windows that it shortens by
    more than it does nearly all ordinary ones; ordinary words stay in both dictionaries and cancel out.
@@ -16,7 +16,6 @@ Dictionaries, thresholds and weights are some hundred kilobytes whatever the inp
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -31,8 +30,6 @@ from pyspark.sql import functions as F
 from scenlens.llm.shared import ready, stored
 
 WINDOW = 3
-#: When texts are scored, every word of a text of so many words begins a window, in a longer text every second one.
-DENSE_WORDS = 320
 ROUNDS = 3
 REPEATS = 10
 #: Least and most bytes of each of the two dictionaries, and bytes of toxic windows that it takes to have one more.
@@ -55,46 +52,114 @@ SURPASSED = 0.999
 EXCEEDING = (0.05, 0.02, 0.005, 0.002, 0.0005)
 PRIOR_COUNT = 0.5
 RIDGE = 1.0
-MAX_WORDS = 200_000
-CHUNK_BYTES = 4 << 20
-_MARKS = b".,;:!?\"'()[]|"
+#: Characters of texts that are coded and compressed at once, and one text more.
+CHUNK_CHARACTERS = 2 << 20
+#: Words that are coded in step; fewer that are longer than all others are finished one by one.
+IN_STEP = 64
+_SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_MARKS = np.isin(np.arange(256), list(b".,;:!?\"'()[]|"))
 
 
-def _code(word: bytes) -> bytes:
-    return array("H", [crc32(word[:i]) & 0xFFFF for i in range(1, len(word) + 1)]).tobytes()
+def _checksums() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
 
 
-class Coder:
-    """Codes of words, remembered in a bounded memo."""
+_CRC32 = _checksums()
+
+
+@dataclass
+class Coded:
+    """Texts as coded words, one after another: how many bytes each word has, and how many words each text."""
 
-    def __init__(self):
-        self.codes: dict[bytes, bytes] = {}
+    data: bytes
+    sizes: np.ndarray
+    words: np.ndarray
+
+
+class Coder:
+    """Codes of words: of each byte the low half of the CRC-32 of the word up to there, in two bytes."""
 
     def words(self, text: str | None) -> list[bytes]:
         """The coded words of a text, A-Z in lower case and without marks at their ends."""
-        if len(self.codes) > MAX_WORDS:
-            self.codes.clear()
-        codes, out = self.codes, []
-        for word in (text or "").encode().lower().split():
-            code = codes.get(word)
-            if code is None:
-                code = codes[word] = _code(word.strip(_MARKS) or word)
-            out.append(code)
+        coded = self.texts([text])
+        ends = np.cumsum(coded.sizes)
+        return [coded.data[a:b] for a, b in zip((ends - coded.sizes).tolist(), ends.tolist(), strict=True)]
+
+    def texts(self, texts: list[str | None]) -> Coded:
+        raw = [(text or "").encode() for text in texts]
+        held = np.frombuffer(b" ".join([b"", *raw, b""]).lower(), np.uint8)
+        begins, ends = self._bare(held)
+        past = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)  # the space after each text
+        words = np.diff(np.searchsorted(begins, past), prepend=0)
+        return Coded(self._codes(held, begins, ends).tobytes(), (ends - begins) * 2, words)
+
+    def _bare(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end, marks at their ends left out; a word of marks alone keeps them."""
+        spaces, marks = _SPACES[held], _MARKS[held]
+        edges = np.flatnonzero(spaces[1:] != spaces[:-1]) + 1
+        begins, ends = edges[::2].copy(), edges[1::2].copy()
+        plain = np.flatnonzero(~(spaces | marks))
+        if not plain.size:
+            return begins, ends
+        first, last = np.flatnonzero(marks[begins]), np.flatnonzero(marks[ends - 1])
+        to = plain[np.minimum(np.searchsorted(plain, begins[first]), plain.size - 1)]
+        back = plain[np.maximum(np.searchsorted(plain, ends[last]) - 1, 0)] + 1
+        leads, trails = (to >= begins[first]) & (to < ends[first]), (back > begins[last]) & (back <= ends[last])
+        begins[first[leads]], ends[last[trails]] = to[leads], back[trails]
+        return begins, ends
+
+    def _codes(self, held: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The words' bytes are taken in step, the first of every word, then the second of all that have one, and so on."""
+        sizes = ends - begins
+        out = np.empty(int(sizes.sum()), "<u2")
+        order = np.argsort(-sizes, kind="stable")
+        at, to, sizes = begins[order], (np.cumsum(sizes) - sizes)[order], sizes[order]
+        state = np.full(len(order), 0xFFFFFFFF, np.uint32)
+        longer = np.searchsorted(-sizes, -np.arange(1, (sizes[IN_STEP - 1] if len(sizes) >= IN_STEP else 0) + 1), side="right")
+        for i, n in enumerate(longer.tolist()):
+            now = state[:n]
+            state = _CRC32[(now ^ held[at[:n] + i]) & 0xFF] ^ now >> 8
+            out[to[:n] + i] = ~state
+        for j in range(min(len(order), IN_STEP - 1)):
+            done, size = len(longer), int(sizes[j])
+            if size <= done:
+                break
+            word = held[at[j] : at[j] + size].tobytes()
+            code, rest = crc32(word[:done]), []
+            for k in range(done, size):
+                code = crc32(word[k : k + 1], code)
+                rest.append(code & 0xFFFF)
+            out[to[j] + done : to[j] + size] = rest
         return out
 
 
-def windows(words: list[bytes], step: int = 1) -> np.ndarray:
-    """Where each window of coded words begins, and its length: one every `step` words, and one at the end.
+def chunks(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= CHUNK_CHARACTERS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-    A text of fewer words is one window."""
-    if not words:
-        return np.empty((0, 2), np.uint64)
-    ends = np.cumsum([len(w) for w in words], dtype=np.uint64)
-    begins = np.concatenate([np.zeros(1, np.uint64), ends[:-1]])
-    size = min(WINDOW, len(words))
-    first = np.arange(0, len(words) - size + step, step)
-    first[-1] = len(words) - size
-    return np.stack([begins[first], ends[first + size - 1] - begins[first]], axis=1)
+
+def windows(coded: Coded) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the coded texts each window begins, and its length; and how many windows each text has.
+
+    Every word begins one that has `WINDOW` words of its text from there on.  A text of fewer words is one window."""
+    past = np.cumsum(coded.words)
+    ends = np.cumsum(coded.sizes)
+    begins = ends - coded.sizes
+    number = np.where(coded.words > 0, np.maximum(coded.words - WINDOW + 1, 1), 0)
+    text = np.repeat(np.arange(len(number)), number)
+    first = np.arange(len(text)) + (past - coded.words - (np.cumsum(number) - number))[text]
+    last = np.minimum(first + WINDOW, past[text]) - 1
+    return np.stack([begins[first], ends[last] - begins[first]], axis=1).astype(np.uint64), number
 
 
 class Compressor:
@@ -134,31 +199,25 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "pair": None}
 
-    def distances(self, texts: Iterable[str | None], coder: Coder) -> Iterator[np.ndarray]:
-        """The distances of every text's windows."""
+    def measured(self, texts: Iterable[str | None], coder: Coder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The distances of all windows of some texts at a time, and how many of them each text has."""
         if self.pair is None:
             self.pair = Compressor(self.ordinary), Compressor(self.toxic)
+        for chunk in chunks(texts):
+            coded = coder.texts(chunk)
+            places, number = windows(coded)
+            yield self.pair[0].lengths(coded.data, places) - self.pair[1].lengths(coded.data, places), number
+
+    def distances(self, texts: Iterable[str | None], coder: Coder) -> Iterator[np.ndarray]:
+        """The distances of every text's windows."""
+        for away, number in self.measured(texts, coder):
+            yield from np.split(away, np.cumsum(number)[:-1])
 
-        def flush(held: list[tuple[bytes, np.ndarray]]) -> Iterator[np.ndarray]:
-            shift = np.cumsum([0, *(len(d) for d, _ in held)]).astype(np.uint64)
-            places = [p + np.array([s, 0], np.uint64) for (_, p), s in zip(held, shift, strict=False)]
-            data, all_places = b"".join(d for d, _ in held), np.concatenate(places)
-            away = self.pair[0].lengths(data, all_places) - self.pair[1].lengths(data, all_places)
-            yield from np.split(away, np.cumsum([len(p) for p in places])[:-1])
-
-        held, size = [], 0
-        for text in texts:
-            words = coder.words(text)
-            held.append((b"".join(words), windows(words, 1 if len(words) <= DENSE_WORDS else 2)))
-            size += len(held[-1][0])
-            if size >= CHUNK_BYTES:
-                yield from flush(held)
-                held, size = [], 0
-        if held:
-            yield from flush(held)
-
-    def counts(self, away: np.ndarray) -> np.ndarray:
-        return (away[:, None] > self.thresholds[None, :]).sum(axis=0)
+    def counts(self, texts: Iterable[str | None], coder: Coder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """How many windows of each text exceed each threshold, and how many it has, some texts at a time."""
+        for away, number in self.measured(texts, coder):
+            text = np.repeat(np.arange(len(number)), number)
+            yield np.stack([np.bincount(text[away > t], minlength=len(number)) for t in self.thresholds], axis=1), number
 
     def features(self, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
         return features(counts, n, self.expected)
@@ -270,14 +329,16 @@ def train(labelled: DataFrame) -> Model:
         coder = Coder()
         for batch in batches:
             kinds, folds, found = [], [], []
-            for text, kind, at in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("toxic", "fold")), strict=True):
-                words = coder.words(text.as_py())
-                data = b"".join(words)
-                some = {data[a : a + n] for a, n in windows(words).tolist()}
-                some = [w for w in some if xxhash.xxh3_64_intdigest(w) < shares[kind] * 2.0**64]
-                found += some
-                kinds += [kind] * len(some)
-                folds += [at % 2 * kind] * len(some)
+            labels = zip(*(batch.column(c).to_pylist() for c in ("toxic", "fold")), strict=True)
+            for chunk in chunks(t.as_py() for t in batch.column("text")):
+                coded = coder.texts(chunk)
+                places, number = windows(coded)
+                for part, (kind, at) in zip(np.split(places, np.cumsum(number)[:-1]), labels, strict=False):
+                    some = {coded.data[a : a + n] for a, n in part.tolist()}
+                    some = [w for w in some if xxhash.xxh3_64_intdigest(w) < shares[kind] * 2.0**64]
+                    found += some
+                    kinds += [kind] * len(some)
+                    folds += [at % 2 * kind] * len(some)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.int32()), pa.array(folds, pa.int32()), pa.array(found, pa.binary())],
                 names=["toxic", "half", "part"],
@@ -336,9 +397,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
         coder, model = Coder(), held.value
         for batch in batches:
             if model.thresholds.size:
-                found = [(model.counts(away), len(away)) for away in model.distances((t.as_py() for t in batch.column("text")), coder)]
-                counts = np.array([c for c, _ in found], np.int64).reshape(len(found), model.thresholds.size)
-                scores = model.scores(counts, np.array([n for _, n in found], np.int64))
+                met = model.counts((t.as_py() for t in batch.column("text")), coder)
+                scores = np.concatenate([np.empty(0), *(model.scores(counts, n) for counts, n in met)])
             else:
                 scores = np.full(batch.num_rows, 1.0 / (1.0 + np.exp(-model.weights[0])))
             yield pa.RecordBatch.from_arrays(

@@ -4,6 +4,7 @@ import functools
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -251,6 +252,52 @@ def test_toxicity_of_odd_documents(spark):
         assert {round(r["score"], 9) for r in toxicity.score_texts(documents(spark), one).collect()} == {score}
 
 
+def plain_code(word):
+    word = word.strip(b".,;:!?\"'()[]|") or word
+    sums, code = [], 0
+    for i in range(len(word)):
+        code = zlib.crc32(word[i : i + 1], code)
+        sums.append((code & 0xFFFF).to_bytes(2, "little"))
+    assert len(word) > 100 or code == zlib.crc32(word)
+    return b"".join(sums)
+
+
+def plain_distances(model, text):
+    codes = [plain_code(w) for w in (text or "").encode().lower().split()]
+    pair = toxicity.Compressor(model.ordinary).zstd, toxicity.Compressor(model.toxic).zstd
+    parts = [b"".join(codes[i : i + 3]) for i in range(max(1, len(codes) - 2))] if codes else []
+    return [len(pair[0].compress(p)) - len(pair[1].compress(p)) for p in parts]
+
+
+def test_every_word_of_a_text_begins_a_window_however_long_it_is(spark):
+    model = toxicity.train(spark.createDataFrame(labelled_corpus(spark, 600), "text string, toxic int"))
+    rng = random.Random(4)
+    texts = [insulting(rng, prose(rng, n)) for n in (300, 318, 319, 320, 321, 322, 700, 3001)]
+    # windows of a hundred kilobytes and more, of bytes that no dictionary has; texts of less than a window
+    texts += [None, "", " \t ", "one", "one two", "a " + "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(40_000)) + " b c", texts[-1]]
+    expected = [plain_distances(model, t) for t in texts]
+    assert [d.tolist() for d in model.distances(texts, toxicity.Coder())] == expected
+    counts, number = (np.concatenate(x) for x in zip(*model.counts(texts, toxicity.Coder()), strict=True))
+    over = [[sum(x > t for x in d) for t in model.thresholds] for d in expected]
+    assert counts.tolist() == over and number.tolist() == [len(d) for d in expected]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), model).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], model.scores(np.array(over), np.array([len(d) for d in expected])), atol=1e-12)
+
+
+def test_words_are_coded_as_one_by_one():
+    rng = random.Random(5)
+    texts = [None, "", "...", "(a) b. c!", "!!!a a!!! !a!", "\x1c x\x0by\x0cz\xa0w", "É!É ß", "|" * 300 + " q", "x y " + "ab" * 3000 + " z"]
+    texts += ["".join(rng.choice("abC.,! \n\té日") for _ in range(rng.randint(0, 60))) for _ in range(1000)]
+    plain = [[plain_code(w) for w in (t or "").encode().lower().split()] for t in texts]
+    coder = toxicity.Coder()
+    assert [coder.words(t) for t in texts] == plain
+    coded = coder.texts(texts)
+    assert coded.data == b"".join(map(b"".join, plain)) and coded.words.tolist() == [len(p) for p in plain]
+    assert coded.sizes.tolist() == [len(w) for p in plain for w in p]
+    # a chunk ends after the text that fills it; texts before and after are coded alike
+    assert [t for chunk in toxicity.chunks(iter(texts)) for t in chunk] == texts
+
+
 def test_held_out_toxicity_of_the_given_table(spark, sf_dir):
     big = sf_dir.replace("sf0.01", "sf0.1")
     rows = QUERIES["op11_toxicity"](spark, big).join(spark.read.parquet(f"{big}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out")
