@@ -33,6 +33,8 @@ TOLERANCE = 1e-6
 #: Steps after which the cells' state is written, so that no expression holds more.
 HELD_STEPS = 32
 BROADCAST_ROWS = 200_000
+#: Cells that take their steps in one row; of more, each step is a Spark sum.
+ROW_CELLS = 20_000
 #: Labelled rows that the classifier learns from, about and at most.
 LABELLED_ROWS = 100_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -110,24 +112,61 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tupl
 _STATE = ("rate", "point", "before", "origin")
 
 
-def _moved(cells: DataFrame, k: int, steps: list[list[float]]) -> DataFrame:
-    """The cells with _state, theirs after the steps; a step is given by its residuals and its momentum.
+def _next(k: int, state: str, cell: str, more: str = "") -> str:
+    """SQL of the fields `more` and _STATE after a step, given by its residuals and its momentum in `row`.
 
-    One SQL text: it is made some hundred times, and columns would be put together call by call.
+    SQL texts, not columns: these would be put together call by call.
     """
+    pull = " + ".join(f"{cell}b_{i} * row[{i}]" for i in range(k))
+    rate = f"greatest(0.0D, {state}.point - ({pull} + {RIDGE!r}D * ({state}.point - 1.0D)) / {1.0 + RIDGE!r}D)"
+    # a lambda of its own, as each mention of a rate would compute it anew
+    fields = f"r AS rate, r + row[{k}] * (r - {state}.rate) AS point, {state}.rate AS before, {state}.point AS origin"
+    return f"transform(array({rate}), r -> struct({more}{fields}))[0]"
+
+
+def _moved(cells: DataFrame, k: int, steps: list[list[float]]) -> DataFrame:
+    """The cells with _state, theirs after the steps; a step is given by its residuals and its momentum."""
     if not steps:
         return cells.selectExpr("*", f"struct({', '.join(_STATE)}) AS _state")
     rows = ", ".join("array(" + ", ".join(f"{x!r}D" for x in row) + ")" for row in steps)
-    pull = " + ".join(f"b_{i} * row[{i}]" for i in range(k))
-    rate = f"greatest(0.0D, s.point - ({pull} + {RIDGE!r}D * (s.point - 1.0D)) / {1.0 + RIDGE!r}D)"
-    # a lambda of its own, as each mention of a rate would compute it anew
-    made = f"r -> struct(r AS rate, r + row[{k}] * (r - s.rate) AS point, s.rate AS before, s.point AS origin)"
-    state = f"transform(array({rate}), {made})[0]"
     return cells.selectExpr(
-        "*", f"aggregate(array({rows}), struct({', '.join(_STATE)}), (s, row) -> {state}) AS _state"
+        "*", f"aggregate(array({rows}), struct({', '.join(_STATE)}), (s, row) -> {_next(k, 's', '')}) AS _state"
     )
 
 
+def _stepped(plain: list[str], targets: list[float], own: list[float], tolerance: float) -> str:
+    """SQL of cells (an array of the plain columns and _STATE), momentum and settled after HELD_STEPS steps, or fewer where
+    one settles them."""
+    k = range(len(targets))
+
+    def over(value: str) -> str:
+        return f"aggregate(s.cells, 0.0D, (x, c) -> {value})"
+
+    against = over("x + c.tokens * (c.origin - c.rate) * (c.rate - c.before)")
+    far = over("greatest(x, abs(c.rate - c.origin))")
+    off = ", ".join(f"({over(f'x + c.point * c.m_{i}')} - {float(targets[i])!r}D) / {float(own[i])!r}D" for i in k)
+    cell = _next(len(targets), "c", "c.", "".join(f"c.{n} AS {n}, " for n in plain))
+    cells = f"transform(array(array({off}, (m - 1) / (m + 2))), row -> transform(s.cells, c -> {cell}))[0]"
+    step = f"transform(array(if({against} > 0, 1, s.momentum + 1)), m -> struct({cells} AS cells, m AS momentum, false AS settled))[0]"
+    ended = "struct(s.cells AS cells, s.momentum AS momentum, true AS settled)"
+    made = f"CASE WHEN s.settled THEN s WHEN s.momentum > 0 AND {far} <= {tolerance!r}D THEN {ended} ELSE {step} END"
+    return f"aggregate(sequence(1, {HELD_STEPS}), struct(cells, momentum, settled), (s, i) -> {made})"
+
+
+def _few_settled(begun: DataFrame, plain: list[str], targets: list[float], own: list[float], tolerance: float) -> DataFrame:
+    """The steps within one row of all cells, HELD_STEPS in a job: with a job a step, the driver's memory and time would go
+    into hundreds of plans of some hundred cells each."""
+    now = begun.coalesce(1).agg(F.collect_list(F.struct(*plain, *_STATE)).alias("cells"))
+    now = now.withColumns({"momentum": F.lit(0), "settled": F.lit(False)})
+    steps = _stepped(plain, targets, own, tolerance)
+    while True:
+        now, held = stored(now.selectExpr(f"{steps} AS s").select("s.*"), "cell-steps"), now
+        if hasattr(held, "folder"):
+            drop_stored(held)
+        if now.select("settled").first()[0]:
+            return now.selectExpr("inline(cells)").select(*plain, "rate")
+
+
 def projected_rates(cells: DataFrame, targets: list[float], tolerance: float = TOLERANCE, few: bool = True) -> DataFrame:
     """The rows of a stored table of cells, tokens, m_0, ...: their expected tokens by domain, and b_0, ...: these for a
     token, with their rate.
@@ -135,22 +174,25 @@ def projected_rates(cells: DataFrame, targets: list[float], tolerance: float = T
     Minimises the squared distances of the domains' expected tokens from the targets, each over the domain's own tokens,
     plus RIDGE times that of the rates from 1, over rates of 0 and more.  So measured no curvature is above 1 + RIDGE,
     however small a domain's share, and steps of 1 / (1 + RIDGE) settle.  Momentum grows with the steps and starts anew
-    where a step goes against it.  There is no limit of steps: they end where one moves no rate by more than `tolerance`.  A step
-    is a sum over all cells, in one task where they are `few`; the driver gets a residual a domain.
+    where a step goes against it.  There is no limit of steps: they end where one moves no rate by more than `tolerance`.
+    Where the cells are `few`, a job makes HELD_STEPS steps in one row of all cells, and the driver gets whether they have
+    settled; else a step is a Spark sum over all cells, and the driver gets a residual a domain.
     """
     k = range(len(targets))
     own = cells.agg(*[F.sum(f"m_{i}") for i in k]).first()
     begun = cells.withColumns({c: F.lit(1.0) for c in _STATE})
     if not any(own):
         return begun.drop(*_STATE[1:])
+    plain = [c for c in cells.columns if c != "rate"]
     own, steps, momentum, first = [n or 1.0 for n in own], [], 0, True
+    if few:
+        return _few_settled(begun, plain, targets, own, tolerance)
     sums = [
         *[f"sum(_state.point * m_{i})" for i in k],
         "sum(tokens * (_state.origin - _state.rate) * (_state.rate - _state.before))", "max(abs(_state.rate - _state.origin))",
     ]
-    plain = [c for c in cells.columns if c != "rate"]
     while True:
-        now = _moved(begun.coalesce(1) if few else begun, len(targets), steps)
+        now = _moved(begun, len(targets), steps)
         *got, against, far = now.selectExpr(*sums).first()
         if not first and far <= tolerance:
             return now.selectExpr(*plain, "_state.rate")
@@ -185,7 +227,8 @@ def mixing_rates(
     )
     mean = {f"b_{i}": F.when(F.col("tokens") > 0, F.col(f"m_{i}") / F.col("tokens")).otherwise(F.col(f"g_{i}") / CELLS) for i in k}
     cells = stored(cells.withColumns(mean), "cells")  # at most a grid of CELLS + 1 to the domains less one
-    few = cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    counted = cells.limit(BROADCAST_ROWS + 1).count()
+    few = counted <= BROADCAST_ROWS
     if few:  # one file for the many small sums
         cells, scattered = stored(cells.coalesce(1), "cells"), cells
         drop_stored(scattered)
@@ -193,7 +236,7 @@ def mixing_rates(
     share = [weights[d] / sum(weights.values()) for d in domains]
     if total is None:
         total = min((have[i] / share[i] for i in k if share[i] > 0), default=0.0)
-    fitted = projected_rates(cells, [total * s for s in share], few=few) if learned else cells.withColumn("rate", F.lit(1.0))
+    fitted = projected_rates(cells, [total * s for s in share], few=counted <= ROW_CELLS) if learned else cells.withColumn("rate", F.lit(1.0))
     rated = stored(fitted.select(*[f"g_{i}" for i in k], "rate"), "cell-rates")
     joined = rows.select("*", *grid).join(F.broadcast(rated) if few else rated, [f"g_{i}" for i in k])
     return joined.select("doc_id", "key", "tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")

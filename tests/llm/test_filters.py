@@ -468,6 +468,25 @@ def test_gradient_steps_settle_where_the_least_is(spark, monkeypatch, sharp):
     assert all(abs(slope) < 5e-6 if rate > 0 else slope > -5e-6 for rate, slope in slopes)
 
 
+def test_few_cells_take_no_job_a_step(spark, monkeypatch):
+    """A job a step brings the driver's memory over its limit, as each is planned there."""
+    monkeypatch.setattr(mixing, "HELD_STEPS", 8)
+    data, cells, _, aims = soft_cells(spark, 1.0)
+    context = spark.sparkContext
+    context.setJobGroup("few-cells", "steps within a row")
+    try:
+        few = mixing.projected_rates(cells, aims, 1e-2)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(context.statusTracker().getJobIdsForGroup("few-cells"))
+    _, n = plain_rates(data, np.array(aims), 1e-2)
+    assert n > 30 and 0 < jobs <= 4 + 3 * (n // 8 + 1)
+    rows = {tuple(r[:7]): r["rate"] for r in few.collect()}
+    many = {tuple(r[:7]): r["rate"] for r in mixing.projected_rates(cells, aims, 1e-2, few=False).collect()}
+    assert few.columns == [*cells.columns, "rate"] and rows.keys() == many.keys() == set(data)
+    assert [rows[c] for c in data] == pytest.approx([many[c] for c in data], abs=1e-9)
+
+
 def test_rates_of_no_tokens_stay(spark):
     cells = spark.createDataFrame([(0, 0.0, 0.5), (0, 0.0, 0.1)], "tokens long, m_0 double, b_0 double")
     assert [r["rate"] for r in mixing.projected_rates(cells, [3.0]).collect()] == [1.0, 1.0]
